@@ -9,6 +9,8 @@ from tessera.llm.common import cut, n_words
 WEIGHTS, EPOCHS = (5, 2, 1), 3
 #: Documents of a source that one range of its random order holds on average.
 RANGE_ROWS = 4096
+#: Parts that each source's rows are dealt to where they meet its target.
+SALTS = 64
 _KEY_BITS = 60
 
 
@@ -70,8 +72,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
         F.round("target").cast("bigint").alias("budget"),
         F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / RANGE_ROWS))).cast("int").alias("bits"),
     )
-    # No hint: the number of sources has no bound, so the join is broadcast only where its measured size allows.
-    placed = rows.join(plan, "skey").withColumn("range", F.expr(f"key div shiftleft(1L, {_KEY_BITS} - bits)"))
+    # The number of sources has no bound, so nothing is broadcast; salts keep a source with a third of all rows apart.
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
+    placed = rows.join(plan, ["skey", "salt"]).withColumn("range", F.expr(f"key div shiftleft(1L, {_KEY_BITS} - bits)"))
     ranges = placed.groupBy("skey", "range").agg(F.sum("size").alias("words"))
     offsets = ranges.select(
         "skey",
