@@ -2,13 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, simhash
+from tessera.llm import exact_dedup, mixing, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_dups(_documents(spark, sf_dir))
@@ -24,5 +29,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op8_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op8_exact_dedup, op9_mixing)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
