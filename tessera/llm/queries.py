@@ -1,8 +1,9 @@
 """The registered queries of this subpackage: thin digests of the operators' results."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, simhash, toxicity
+from tessera.llm import exact_dedup, langid, mixing, simhash, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +15,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return langid.language_id(_documents(spark, sf_dir)).withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_dups(_documents(spark, sf_dir))
 
 
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on all pages' URLs."""
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact_dedup.dedup(_documents(spark, sf_dir))
@@ -29,5 +40,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op8_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op5_urlfilter, op8_exact_dedup, op9_mixing)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
