@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, langid, mixing, simhash, toxicity, urlfilter
+from tessera.llm import ann, exact_dedup, langid, mixing, simhash, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +40,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op5_urlfilter, op8_exact_dedup, op9_mixing)}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector, against all vectors."""
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op5_urlfilter, op8_exact_dedup, op9_mixing, op10_ann)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
