@@ -78,12 +78,16 @@ def _counted(batches):
 class Model:
     """Languages, their n-gram log-probabilities (slot, language) and the scripts that they use."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.langs = sorted(counts)
-        n = np.array([counts[x][0] for x in self.langs], np.float64).reshape(-1, SLOTS) + 0.5
-        self.logp = np.log(n / n.sum(axis=1, keepdims=True)).T.astype(np.float32)
-        seen = np.array([counts[x][1] for x in self.langs], np.float64).reshape(-1, len(SCRIPTS))
-        self.uses = seen >= LEAST_SHARE * np.maximum(seen.sum(axis=1, keepdims=True), 1)
+    def __init__(self, langs: list[str], logp: np.ndarray, uses: np.ndarray) -> None:
+        self.langs, self.logp, self.uses = langs, logp, uses
+
+    @classmethod
+    def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> "Model":
+        langs = sorted(counts)
+        n = np.array([counts[x][0] for x in langs], np.float64).reshape(-1, SLOTS) + 0.5
+        seen = np.array([counts[x][1] for x in langs], np.float64).reshape(-1, len(SCRIPTS))
+        logp = np.log(n / n.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        return cls(langs, logp, seen >= LEAST_SHARE * np.maximum(seen.sum(axis=1, keepdims=True), 1))
 
     def words(self, words: list[str]) -> np.ndarray:
         """Score of each word in each language; words without a letter score 0 in all."""
@@ -111,7 +115,7 @@ def fit(docs: DataFrame) -> Model:
         a, b = np.frombuffer(r.slots, np.int64), np.frombuffer(r.scripts, np.int64)
         old = counts.get(r.lang, (0, 0))
         counts[r.lang] = (old[0] + a, old[1] + b)
-    return Model(counts)
+    return Model.of(counts)
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -154,10 +158,10 @@ def labelled(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     ``spans`` are runs of words of one label, from word ``first`` to ``last``; the prediction is the
     label of most letters, its score their share. ``und`` and 0 for texts without a letter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.uses))
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         names = pa.array(model.langs or ["und"])
         at_word: dict[bytes, int] = {}
         table, size = np.zeros((0, max(1, len(model.langs))), np.float32), np.zeros(0, np.int64)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, exact_dedup, langid, mixing, simhash, toxicity, urlfilter
+from tessera.llm import ann, exact_dedup, langid, mixing, sentencepiece_lattice, simhash, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,18 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and what their ids decode to."""
+    decoded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(_documents(spark, sf_dir)))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
     return exact_dedup.dedup(_documents(spark, sf_dir))
@@ -45,5 +57,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op5_urlfilter, op8_exact_dedup, op9_mixing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op5_urlfilter, op7_sentencepiece, op8_exact_dedup, op9_mixing, op10_ann)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -129,26 +129,43 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], np.ndarray]
     return column, np.stack([train(x, positive, prior, seed) for seed in range(CLASSIFIERS)])
 
 
+def _scorer(column: dict[int, int], theta: np.ndarray):
+    """Mean probability of the classifiers for one text."""
+    features, weight, bias = _Features(column), theta[:, :-1], theta[:, -1]
+
+    def score(text: bytes | None) -> float:
+        at = sorted(features.of(text))
+        g = weight[:, at].sum(axis=1) + bias if at else bias
+        return float(np.mean(1 / (1 + np.exp(np.clip(-g.astype(np.float64), -60, 60)))))
+
+    return score
+
+
 def scored(docs: DataFrame, model: tuple[dict[int, int], np.ndarray]) -> DataFrame:
     """``doc_id, score`` of every row's whole text, by the words that it holds."""
-    column, theta = model
-    shared = docs.sparkSession.sparkContext.broadcast((column, theta))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        column, theta = shared.value
-        weight, bias = theta[:, :-1], theta[:, -1]
-        features = _Features(column)
+        score = _scorer(*shared.value)
         for batch in slices(batches, "text", 4 << 20):
-            scores = []
-            for t in text_bytes(batch, "text"):
-                at = sorted(features.of(t))
-                g = weight[:, at].sum(axis=1) + bias if at else bias
-                scores.append(float(np.mean(1 / (1 + np.exp(np.clip(-g.astype(np.float64), -60, 60))))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            scores = pa.array([score(t) for t in text_bytes(batch, "text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
 
 
+def clean(docs: DataFrame, model: tuple[dict[int, int], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores under one half; text never leaves its partition."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        score = _scorer(*shared.value)
+        for batch in slices(batches, "text", 4 << 20):
+            yield batch.filter(pa.array([score(t) < 0.5 for t in text_bytes(batch, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
