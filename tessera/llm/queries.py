@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, exact_dedup, langid, mixing, sentencepiece_lattice, simhash, toxicity, urlfilter
+from tessera.llm import ann, exact_dedup, langid, mixing, sentencepiece_lattice, simhash, substring_dedup, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dups(_documents(spark, sf_dir))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages removed from all documents."""
+    found = substring_dedup.dedup(_documents(spark, sf_dir))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on all pages' URLs."""
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -57,5 +63,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op5_urlfilter, op7_sentencepiece, op8_exact_dedup, op9_mixing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op4_substring, op5_urlfilter, op7_sentencepiece, op8_exact_dedup, op9_mixing, op10_ann)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
