@@ -182,7 +182,7 @@ def labelled(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             word = np.fromiter((at_word[w] for t in texts for w in t), np.int64, starts[-1])
             label = viterbi(table[word], starts[:-1], lens, switch)
             doc = np.repeat(np.arange(len(texts)), lens)
-            mass = np.bincount(doc * len(names) + label, size[word], len(texts) * len(names)).reshape(len(texts), -1)
+            mass = np.bincount(doc * len(names) + label, size[word], len(texts) * len(names)).astype(np.float64).reshape(len(texts), -1)
             total, best = mass.sum(axis=1), mass.argmax(axis=1)
             known = (total > 0) & bool(model.langs)
             pred = np.where(known, np.array(names.to_pylist(), object)[best], "und")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, exact_dedup, langid, mixing, sentencepiece_lattice, simhash, substring_dedup, toxicity, urlfilter
+from tessera.llm import ann, exact_dedup, langid, mixing, pseudo_likelihood, sentencepiece_lattice, simhash, substring_dedup, toxicity, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents."""
+    return pseudo_likelihood.pseudo_likelihood(_documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and what their ids decode to."""
     decoded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(_documents(spark, sf_dir)))
@@ -63,5 +68,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op4_substring, op5_urlfilter, op7_sentencepiece, op8_exact_dedup, op9_mixing, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op4_substring, op5_urlfilter, op6_pseudo_likelihood, op7_sentencepiece, op8_exact_dedup, op9_mixing, op10_ann)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}

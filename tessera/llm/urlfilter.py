@@ -73,7 +73,7 @@ def log_likelihood(counts: np.ndarray, urls: list[bytes]) -> np.ndarray:
         p = np.full(len(of), 1 / 256)
         for n in range(ORDER + 1):
             p = (np.minimum(both[n][joint[n]], alone[n][before[n]]) + BACKOFF * p) / (alone[n][before[n]] + BACKOFF)
-        out[c] = np.bincount(of, np.log(p), len(urls))
+        out[c] = np.bincount(of, np.log(p), len(urls))  # every URL has at least its end
     return out / (np.fromiter(map(len, urls), np.int64, len(urls)) + 1)
 
 
