@@ -1,10 +1,10 @@
 """The registered queries of the reference's operators: name, Spark plan, DuckDB twin."""
 
-from tessera.plans import product
+from tessera.plans import directory, product, revenue
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (product,):
+for module in (product, directory, revenue):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
