@@ -1,10 +1,10 @@
 """The registered queries of the reference's operators: name, Spark plan, DuckDB twin."""
 
-from tessera.plans import directory, product, revenue
+from tessera.plans import directory, evidence, product, revenue, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (product, directory, revenue):
+for module in (product, directory, revenue, scalars, evidence):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
