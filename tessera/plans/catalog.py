@@ -1,10 +1,10 @@
 """The registered queries of the reference's operators: name, Spark plan, DuckDB twin."""
 
-from tessera.plans import directory, evidence, product, revenue, scalars
+from tessera.plans import directory, evidence, ledger, mutations, product, revenue, scalars, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (product, directory, revenue, scalars, evidence):
+for module in (product, directory, revenue, scalars, evidence, ledger, mutations, streams):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
