@@ -5,10 +5,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, slices, text_bytes
+from tessera.llm.common import cut, held_out, slices, text_bytes
 
 #: Bound of the training sample (documents of each language), and parts it is counted in.
 PER_LANGUAGE, PARTS = 1500, 16
+#: Rows of the sample's ids up to which they are broadcast.
+BROADCAST = 100_000
 #: Byte n-grams of a word, its ends marked, are counted in this many hash slots.
 ORDERS, SLOTS = (1, 2, 3, 4), 1 << 15
 #: Log-probability that a span's end costs; share of a language's letters that a script of it needs.
@@ -107,8 +109,10 @@ def fit(docs: DataFrame) -> Model:
     labelled = docs.select("doc_id", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
     some = labelled.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).drop("n")
-    # The sample's size is bounded for each language; the join is broadcast where its measured size allows.
-    sample = docs.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"]).select("lang", "text")
+    some = cut(some)
+    # PER_LANGUAGE rows a language; with very many languages the ids meet the texts in a shuffle instead.
+    ids = F.broadcast(some) if some.count() <= BROADCAST else some
+    sample = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("lang", "text")
     rows = sample.repartition(PARTS).mapInArrow(_counted, "lang string, slots binary, scripts binary")
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for r in rows.toLocalIterator():
