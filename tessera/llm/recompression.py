@@ -96,9 +96,12 @@ def witnesses(words: np.ndarray, lens: np.ndarray, window: int, rounds: int = RO
         name, first, last, of = levels[r]
         key = (name >> np.uint64(3)) | (np.uint64(rounds - r) << np.uint64(61))
         a, b = np.maximum(last - window, low[of]), np.minimum(first, high[of])
-        found = np.where(found == _NONE, _least(n, a, b, key), found)
-        if (found[is_window] != _NONE).all():
+        # Lower rounds only serve the windows that no higher symbol lies in.
+        open_ = np.concatenate([[0], np.cumsum(is_window & (found == _NONE))])
+        if not open_[-1]:
             break
+        near = np.flatnonzero((a <= b) & (open_[np.clip(b + 1, 0, n)] > open_[np.clip(a, 0, n)]))
+        found = np.where(found == _NONE, _least(n, a[near], b[near], key[near]), found)
     at = np.flatnonzero(is_window)
     return at, found[at]
 

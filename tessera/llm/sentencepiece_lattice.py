@@ -18,7 +18,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest unit in characters: longer ones are cut, and no piece crosses the cut.
 UNIT = 128
 #: Text bytes of a block, whose distinct units are looked up once.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
+#: Documents of a block whose ids are put together at once.
+_ASSEMBLED = 256
+#: Partitions of units for each one that the session's shuffles have.
+SPREAD = 4
 _MARK = "▁"
 _UNK_PENALTY = 10.0
 _CONTROLS = "\t\n\x0b\f\r"
@@ -125,8 +129,8 @@ def _blocks(pattern: str, want_units: bool):
 # ---- the lattice ----
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Edges ``unit, start, end, id, score``: all substrings of each unit that are pieces.
+def lattice(words: DataFrame, pieces: Pieces, shortest: int = 1) -> DataFrame:
+    """Edges ``unit, start, end, id, score``: all substrings of at least ``shortest`` characters that are pieces.
 
     Substrings of up to the longest piece's length are exploded and equi-joined to the piece table,
     which has a fixed size (the vocabulary), so it is broadcast and the units stay where they are. A
@@ -137,9 +141,11 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     n = F.char_length("unit")
     starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     last = F.least(n - F.col("start"), F.lit(pieces.longest))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), last)).alias("len"))
+    starts = starts.filter(last >= shortest)
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(shortest), last)).alias("len"))
     spans = spans.withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len")))
-    edges = spans.join(F.broadcast(table), "piece", "left").filter((F.col("len") == 1) | F.col("id").isNotNull())
+    edges = spans.join(F.broadcast(table), "piece", "left" if shortest == 1 else "inner")
+    edges = edges.filter((F.col("len") == 1) | F.col("id").isNotNull())
     return edges.select(
         "unit",
         "start",
@@ -177,47 +183,61 @@ def merged_paths(edges: DataFrame) -> DataFrame:
     """``unit, ids``: each unit's path by merges in order of score, folded over the same lattice.
 
     For models whose scores are ranks of merges (BPE), where sums of scores mean nothing. The fold's
-    state is the bounds of the unit's symbols; a step takes the best edge that spans two neighbouring
-    symbols, of equal scores the first, and drops the bound between them.
+    state is the bounds of the unit's symbols. Edges come by falling score, then by place: one that
+    spans two neighbouring symbols merges them. A piece ranks after the pieces that it is merged from,
+    so one pass meets every merge after its parts. Single characters need no edge: they come out as
+    their negated code points.
     """
     step = """
-      aggregate(sequence(2, char_length(unit)), sequence(0, char_length(unit)),
-        (bounds, _) -> transform(array(array_max(transform(
-            filter(edges, e -> e.end > e.start + 1 AND array_position(bounds, e.start) > 0
-                               AND get(bounds, cast(array_position(bounds, e.start) + 1 AS int)) = e.end),
-            e -> named_struct('score', e.score, 'first', -e.start, 'end', e.end)))),
-          m -> IF(m IS NULL, bounds, filter(bounds, x -> x <= -m.first OR x >= m.end)))[0])
+      aggregate(sort_array(transform(edges, e -> named_struct('rank', -e.score, 'start', e.start, 'end', e.end))),
+        sequence(0, char_length(unit)),
+        (bounds, e) -> IF(coalesce(get(bounds, cast(array_position(bounds, e.start) AS int) + 1), -1) = e.end
+                          AND array_contains(bounds, e.start),
+                          filter(bounds, x -> x <= e.start OR x >= e.end), bounds))
     """
     ids = """
-      transform(sequence(1, size(bounds) - 1), i -> element_at(
-        filter(edges, e -> e.start = bounds[i - 1] AND e.end = bounds[i]), 1).id)
+      transform(sequence(1, size(bounds) - 1), i -> IF(bounds[i] = bounds[i - 1] + 1, -ascii(substring(unit, bounds[i], 1)),
+        element_at(filter(edges, e -> e.start = bounds[i - 1] AND e.end = bounds[i]), 1).id))
     """
     rows = _grouped(edges).select("unit", "edges", F.expr(step).alias("bounds"))
     return rows.select("unit", F.expr(ids).alias("ids"))
 
 
-#: How a model's scores are read: log-probabilities to sum, or ranks of merges.
-FOLDS = {"unigram": best_paths, "bpe": merged_paths}
+#: How a model's scores are read: log-probabilities to sum, or ranks of merges; and the shortest edge that matters.
+FOLDS = {"unigram": (best_paths, 1), "bpe": (merged_paths, 2)}
 
 
 # ---- back to documents ----
 
 
-def _packed(byte_ids: list[int]):
-    """Rows of ``block, idx, ids`` as one compressed row per block and batch; unknown characters become bytes."""
+def _packed(single: dict[int, int], byte_ids: list[int]):
+    """Rows of ``block, idx, ids`` as one compressed row per block and batch.
+
+    Negated code points become the character's piece or, where there is none, its bytes.
+    """
 
     def run(batches):
+        piece = np.zeros(0x110000, np.int32)
+        piece[list(single)] = list(single.values())
         for batch in batches:
             if not batch.num_rows:
                 continue
             block = batch.column("block").to_numpy(zero_copy_only=False)
             lists = batch.column("ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
             lens = lists.value_lengths().to_numpy(zero_copy_only=False)
-            if (flat < 0).any():
-                each = [[b for c in ids for b in ([c] if c >= 0 else [byte_ids[x] for x in chr(-c).encode()])] for ids in lists.to_pylist()]
-                lens = np.array([len(x) for x in each], np.int32)
-                flat = np.array([c for x in each for c in x], np.int32)
+            at = np.flatnonzero(flat < 0)
+            known = piece[-flat[at]]
+            flat[at[known > 0]] = known[known > 0]
+            if (odd := at[known == 0]).size:
+                made = [[byte_ids[x] for x in chr(-c).encode()] for c in flat[odd].tolist()]
+                rows = np.searchsorted(np.cumsum(lens), odd, "right")
+                lens = lens + np.bincount(rows, [len(m) - 1 for m in made], len(lens)).astype(lens.dtype)
+                size = np.ones(len(flat), np.int64)
+                size[odd] = [len(m) for m in made]
+                wide = np.repeat(flat, size)
+                wide[np.repeat(np.cumsum(size)[odd] - size[odd], size[odd]) + _within(size[odd])] = [x for m in made for x in m]
+                flat = wide
             idx = batch.column("idx").to_numpy(zero_copy_only=False)
             ends = np.cumsum(lens)
             order = np.argsort(block, kind="stable")
@@ -260,12 +280,19 @@ def _assembled(docs: pa.Table, paths: pa.Table) -> pa.Table:
     idx, size, flat = (np.concatenate(x or empty) for x in (idx, size, flat))
     begin, many = np.zeros(len(idx), np.int64), np.zeros(len(idx), np.int64)
     begin[idx], many[idx] = np.cumsum(size) - size, size
-    counts = many[tokens]
-    of = np.concatenate([[0], np.cumsum(counts)])
-    offsets = of[np.concatenate([[0], np.cumsum(lens)])]
-    at = np.repeat(begin[tokens], counts) + _within(counts)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))
-    return pa.table([pa.array(ids, mask=~known), pa.array(lens.astype(np.int64)), lists], names=["doc_id", "n_units", "ids"])
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    out = []
+    for a in range(0, n, _ASSEMBLED):
+        some = slice(ends[a], ends[min(n, a + _ASSEMBLED)])
+        counts = many[tokens[some]]
+        of = np.concatenate([[0], np.cumsum(counts)])
+        offsets = of[ends[a : a + _ASSEMBLED + 1] - ends[a]]
+        at = np.repeat(begin[tokens[some]], counts) + _within(counts)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))
+        rows = slice(a, a + _ASSEMBLED)
+        own = pa.array(ids[rows], mask=~known[rows])
+        out.append(pa.record_batch([own, pa.array(lens[rows].astype(np.int64)), lists], names=["doc_id", "n_units", "ids"]))
+    return pa.Table.from_batches(out)
 
 
 def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
@@ -284,13 +311,18 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     pieces = load(model)
     pattern = unit_pattern(pieces).pattern
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    seen = rows.mapInArrow(_blocks(pattern, True), _UNIT_DDL).repartition("unit")
+    # Each unit's edges are many times its own size, so its partitions are that much smaller.
+    parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = rows.mapInArrow(_blocks(pattern, True), _UNIT_DDL).repartition(parts, "unit")
     # The condition holds always; it keeps all columns, so that both branches read one and the same exchange.
     once = seen.groupBy("unit").agg(F.max("block").alias("b"), F.max("idx").alias("i")).filter("b >= 0 AND i >= 0")
-    paths = FOLDS[kind](lattice(once.select("unit"), pieces))
+    fold, shortest = FOLDS[kind]
+    paths = fold(lattice(once.select("unit"), pieces, shortest))
     # Both sides are partitioned by unit already; the merge join keeps that.
-    found = seen.join(paths.hint("merge"), "unit").select("block", "idx", "ids")
-    found = found.mapInArrow(_packed(pieces.byte_ids), "block bigint, paths binary").groupBy("block")
+    lone = F.expr("transform(sequence(1, char_length(unit)), i -> -ascii(substring(unit, i, 1)))")
+    found = seen.join(paths.hint("merge"), "unit", "left").select("block", "idx", F.coalesce("ids", lone).alias("ids"))
+    single = {ord(p): i for i, p, _ in pieces.rows if len(p) == 1}
+    found = found.mapInArrow(_packed(single, pieces.byte_ids), "block bigint, paths binary").groupBy("block")
     # Each side is a stage of its own, so that both scans see the same partition numbers.
     payload = rows.mapInArrow(_blocks(pattern, False), _PAYLOAD_DDL).groupBy("block")
     return payload.cogroup(found).applyInArrow(_assembled, "doc_id bigint, n_units bigint, ids array<int>")
@@ -304,16 +336,22 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     decoded = load(model).decoded
 
     def run(batches):
+        data = np.frombuffer(b"".join(decoded), np.uint8)
+        size = np.array([len(x) for x in decoded])
+        start = np.cumsum(size) - size
         for batch in batches:
-            lists = batch.column("ids")
-            flat = lists.flatten().to_pylist()
-            ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64).tolist()
-            texts, a = [], 0
-            for b in ends:
-                texts.append(b"".join([decoded[i] for i in flat[a:b]]).decode("utf-8", "replace"))
-                a = b
-            texts = [t[1:] if t.startswith(" ") else t for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts)], names=["doc_id", "ids", "text"])
+            for i in range(0, batch.num_rows, _ASSEMBLED):
+                some = batch.slice(i, _ASSEMBLED)
+                lists = some.column("ids")
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                raw = data[np.repeat(start[ids], size[ids]) + _within(size[ids])].tobytes()
+                lens = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(lens)].tolist()
+                texts, a = [], 0
+                for b in ends:
+                    texts.append(raw[a + raw.startswith(b" ", a, b) : b].decode("utf-8", "replace"))
+                    a = b
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     rows = encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, text string")

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, slices, text_bytes
@@ -11,6 +11,8 @@ from tessera.llm.recompression import window_hashes, witnesses
 
 #: Words of a window; documents under one symbol from which on its windows are salted.
 WINDOW, HOT = 50, 1000
+#: Windows of one row on their way to each other; their places are the bits of one number.
+RUN = 60
 _CACHE = 400_000
 _TEXT = 4 << 20
 
@@ -59,7 +61,7 @@ def _symbols(window: int):
 
 
 def _windows(window: int):
-    """``symbol, hash, salt, doc_id, at``: windows under shared symbols, hashed whole."""
+    """``symbol, salt, doc_id, first, hashes``: runs of windows under one shared symbol, each window hashed whole."""
 
     def run(batches):
         hashes = _Hashes()
@@ -70,16 +72,26 @@ def _windows(window: int):
             symbol, one = np.unique(shared.field("symbol").to_numpy(zero_copy_only=False), return_index=True)
             salts = shared.field("salts").to_numpy(zero_copy_only=False)[one]
             rows, words, lens, at, found = _parsed(batch, hashes, window)
+            if not len(at):
+                continue
             found = found.view(np.int64)
             spot = np.minimum(np.searchsorted(symbol, found), len(symbol) - 1)
             hit = symbol[spot] == found
             at, found, salts = at[hit], found[hit], salts[spot[hit]]
+            if not len(at):
+                continue
             doc = np.repeat(np.arange(len(rows)), lens)[at]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)[doc]
-            salt = np.where(salts > 0, ids % np.maximum(salts, 1), -1)
+            new = np.ones(len(at), bool)
+            new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+            head = np.flatnonzero(new)
+            place = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+            head = np.flatnonzero(place % RUN == 0)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)[doc[head]]
+            salt = np.where(salts[head] > 0, ids % np.maximum(salts[head], 1), -1)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), pa.array(window_hashes(words, at, window).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(window_hashes(words, at, window).view(np.int64)), pa.array(salt, pa.int64()), pa.array(ids), pa.array(at - (np.cumsum(lens) - lens)[doc], pa.int32())],
-                names=["symbol", "hash", "salt", "doc_id", "at"],
+                [pa.array(found[head]), pa.array(salt, pa.int64()), pa.array(ids), pa.array(at[head] - (np.cumsum(lens) - lens)[doc[head]], pa.int32()), lists],
+                names=["symbol", "salt", "doc_id", "first", "hashes"],
             )
 
     return run
@@ -89,11 +101,15 @@ def _kept(window: int):
     def run(batches):
         for batch in slices(batches, "text", _TEXT):
             n_words, n_removed, kept = [], [], []
-            places = batch.column("at")
+            places = batch.column("runs")
             for i, text in enumerate(text_bytes(batch, "text")):
                 words = (text or b"").split()
                 if places[i].is_valid:
-                    starts = places[i].values.to_numpy(zero_copy_only=False)
+                    runs = places[i].values
+                    mask = runs.field("mask").to_numpy(zero_copy_only=False).view(np.uint64)
+                    bit = (mask[:, None] >> np.arange(RUN, dtype=np.uint64)) & np.uint64(1)
+                    run, place = np.nonzero(bit)
+                    starts = np.unique(runs.field("first").to_numpy(zero_copy_only=False)[run] + place)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, starts[starts <= len(words) - window], 1)
                     np.add.at(edge, starts[starts <= len(words) - window] + window, -1)
@@ -113,29 +129,32 @@ def _kept(window: int):
 
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, at``: starts of the windows that also start in a document with a smaller doc_id.
+    """``doc_id, first, mask``: windows that also start in a document with a smaller doc_id, at ``first`` + each bit of ``mask``.
 
-    ``docs``: ``doc_id, text``, partitioned by doc_id. Symbols that only one document has end their windows' search; documents
-    get the shared ones back and hash the windows under them. Windows meet by symbol and hash, and the smallest doc_id
-    of each is joined to them in the same exchange. Symbols of more than ``HOT`` documents are
-    salted: each salt's smallest then meet once more.
+    Symbols that only one document has end their windows' search; documents get the shared ones back and
+    hash the windows under them. Windows meet by symbol, runs of them in one row, and the smallest
+    doc_id of each symbol and hash is found in the same exchange. Symbols of more than ``HOT``
+    documents are salted: each salt's smallest then meet once more.
     """
-    symbols = docs.select("doc_id", "text").mapInArrow(_symbols(window), "symbol bigint, doc_id bigint")
+    symbols = cut(docs.mapInArrow(_symbols(window), "symbol bigint, doc_id bigint"))
     shared = symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     salts = F.when(F.col("n") > HOT, F.ceil(F.col("n") / HOT)).otherwise(0).cast("bigint")
     shared = shared.filter("low < high").select("symbol", salts.alias("salts"))
     back = symbols.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "salts")).alias("shared"))
     # A left join, so that this and the last join read the same exchange of texts.
     found = docs.join(back, "doc_id", "left").filter("shared IS NOT NULL")
-    met = found.mapInArrow(_windows(window), "symbol bigint, hash bigint, salt bigint, doc_id bigint, at int")
-    met = met.repartition("symbol", "hash", "salt")
-    low = met.groupBy("symbol", "hash", "salt").agg(F.min("doc_id").alias("low"), F.max("at").alias("last")).filter("last >= 0").drop("last")
-    rows = met.join(low.hint("merge"), ["symbol", "hash", "salt"])
-    rows = cut(rows.filter("low < doc_id OR salt >= 0").withColumn("done", F.col("low") < F.col("doc_id")))
-    hot = rows.filter("NOT done").select("symbol", "hash", "doc_id", "at")
+    met = found.mapInArrow(_windows(window), "symbol bigint, salt bigint, doc_id bigint, first int, hashes array<bigint>")
+    met = met.repartition("symbol", "salt")
+    each = met.select("symbol", "salt", "doc_id", "first", F.posexplode("hashes").alias("place", "hash"))
+    # A window, since it is content with the exchange by symbol and salt, where a join would add one of its own.
+    each = each.withColumn("low", F.min("doc_id").over(Window.partitionBy("symbol", "salt", "hash")))
+    bits = F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")
+    done = each.filter("low < doc_id").groupBy("symbol", "salt", "doc_id", "first").agg(bits).drop("symbol", "salt")
+    # Smallest of their salt: of hot symbols only. Written with the window's column, so that it stays above the exchange, which both branches share.
+    hot = each.filter("low = doc_id AND salt + (low - doc_id) >= 0").select("symbol", "hash", "doc_id", "first", "place")
     least = hot.groupBy("symbol", "hash").agg(F.min("doc_id").alias("least"))
-    late = hot.join(least, ["symbol", "hash"]).filter("least < doc_id").select("doc_id", "at")
-    return rows.filter("done").select("doc_id", "at").unionByName(late)
+    late = hot.join(least, ["symbol", "hash"]).filter("least < doc_id").groupBy("doc_id", "first").agg(bits)
+    return done.unionByName(late)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -149,8 +168,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     the places at which either has a repeated window. Empty table: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    places = covered(docs, window).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    return docs.join(places, "doc_id", "left").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    runs = covered(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("runs"))
+    return docs.join(runs, "doc_id", "left").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
