@@ -46,21 +46,24 @@ def subscription_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(f"""
-SELECT round(sum(price), 2) AS mrr, round(sum(price) * 12, 2) AS arr, count(*) AS active, count(DISTINCT org) FILTER (price > 0) AS paying,
- count(*) FILTER (interval_ = 'monthly') AS monthly, count(*) FILTER (interval_ = 'yearly') AS yearly, round(sum(price) / count(DISTINCT org) FILTER (price > 0), 2) AS arpa
+SELECT round(sum(price)::DECIMAL(38, 6), 2)::DOUBLE AS mrr, round((sum(price) * 12)::DECIMAL(38, 6), 2)::DOUBLE AS arr, count(*) AS active, count(DISTINCT org) FILTER (price > 0) AS paying,
+ count(*) FILTER (interval_ = 'monthly') AS monthly, count(*) FILTER (interval_ = 'yearly') AS yearly, round((sum(price) / count(DISTINCT org) FILTER (price > 0))::DECIMAL(38, 6), 2)::DOUBLE AS arpa
 FROM {_SUBS} WHERE {_ACTIVE}
 """)
 def mrr_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recurring revenue, paying organisations and revenue per account, in one aggregate."""
+    """Recurring revenue, paying organisations and revenue per account, in one aggregate.
+
+    Money is rounded as a decimal, so that the last bits of a sum, which follow its order, never decide a half."""
+    money = lambda x: F.round(x.cast("decimal(38,6)"), 2).cast("double")
     paying = F.countDistinct(F.when(F.col("price") > 0, F.col("org")))
     return subscriptions(spark, sf_dir).filter(_ACTIVE).agg(
-        F.round(F.sum("price"), 2).alias("mrr"),
-        F.round(F.sum("price") * 12, 2).alias("arr"),
+        money(F.sum("price")).alias("mrr"),
+        money(F.sum("price") * 12).alias("arr"),
         F.count("*").alias("active"),
         paying.alias("paying"),
         F.count_if(F.col("interval_") == "monthly").alias("monthly"),
         F.count_if(F.col("interval_") == "yearly").alias("yearly"),
-        F.round(F.sum("price") / paying, 2).alias("arpa"),
+        money(F.sum("price") / paying).alias("arpa"),
     )
 
 
