@@ -65,7 +65,8 @@ def _windows(window: int):
 
     def run(batches):
         hashes = _Hashes()
-        for batch in slices(batches, "text", _TEXT):
+        some = (batch.filter(batch.column("shared").is_valid()) for batch in batches)
+        for batch in slices(some, "text", _TEXT):
             shared = batch.column("shared").flatten()
             if not len(shared):
                 continue
@@ -141,20 +142,25 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     salts = F.when(F.col("n") > HOT, F.ceil(F.col("n") / HOT)).otherwise(0).cast("bigint")
     shared = shared.filter("low < high").select("symbol", salts.alias("salts"))
     back = symbols.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "salts")).alias("shared"))
-    # A left join, so that this and the last join read the same exchange of texts.
-    found = docs.join(back, "doc_id", "left").filter("shared IS NOT NULL")
+    # A left join without a filter above it, so that this and the last join read the same exchange of texts.
+    found = docs.join(back, "doc_id", "left")
     met = found.mapInArrow(_windows(window), "symbol bigint, salt bigint, doc_id bigint, first int, hashes array<bigint>")
-    met = met.repartition("symbol", "salt")
-    each = met.select("symbol", "salt", "doc_id", "first", F.posexplode("hashes").alias("place", "hash"))
+    # No row is dropped here: the join below asks for this filter on its branches, and with it on all they share one exchange.
+    met = met.filter("symbol IS NOT NULL")
+    each = met.repartition("symbol", "salt").select("symbol", "salt", "doc_id", "first", F.posexplode("hashes").alias("place", "hash"))
     # A window, since it is content with the exchange by symbol and salt, where a join would add one of its own.
     each = each.withColumn("low", F.min("doc_id").over(Window.partitionBy("symbol", "salt", "hash")))
-    bits = F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")
-    done = each.filter("low < doc_id").groupBy("symbol", "salt", "doc_id", "first").agg(bits).drop("symbol", "salt")
-    # Smallest of their salt: of hot symbols only. Written with the window's column, so that it stays above the exchange, which both branches share.
-    hot = each.filter("low = doc_id AND salt + (low - doc_id) >= 0").select("symbol", "hash", "doc_id", "first", "place")
+    # All that follows reads these rows, one a run, so that everything below is planned alike and its exchange is shared.
+    runs = each.groupBy("symbol", "salt", "doc_id", "first").agg(
+        F.bit_or(F.when(F.col("low") < F.col("doc_id"), F.expr("shiftleft(1L, place)")).otherwise(0)).alias("mask"),
+        F.collect_list(F.when((F.col("low") == F.col("doc_id")) & (F.col("salt") >= 0), F.struct("place", "hash"))).alias("tops"),
+    )
+    done = runs.filter("mask <> 0").select("doc_id", "first", "mask")
+    # Smallest of their salt: of hot symbols only.
+    hot = runs.select("symbol", "doc_id", "first", F.explode("tops").alias("top")).select("symbol", "doc_id", "first", "top.place", "top.hash")
     least = hot.groupBy("symbol", "hash").agg(F.min("doc_id").alias("least"))
-    late = hot.join(least, ["symbol", "hash"]).filter("least < doc_id").groupBy("doc_id", "first").agg(bits)
-    return done.unionByName(late)
+    late = hot.join(least, ["symbol", "hash"]).filter("least < doc_id").groupBy("doc_id", "first")
+    return done.unionByName(late.agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
