@@ -145,8 +145,6 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # A left join without a filter above it, so that this and the last join read the same exchange of texts.
     found = docs.join(back, "doc_id", "left")
     met = found.mapInArrow(_windows(window), "symbol bigint, salt bigint, doc_id bigint, first int, hashes array<bigint>")
-    # No row is dropped here: the join below asks for this filter on its branches, and with it on all they share one exchange.
-    met = met.filter("symbol IS NOT NULL")
     each = met.repartition("symbol", "salt").select("symbol", "salt", "doc_id", "first", F.posexplode("hashes").alias("place", "hash"))
     # A window, since it is content with the exchange by symbol and salt, where a join would add one of its own.
     each = each.withColumn("low", F.min("doc_id").over(Window.partitionBy("symbol", "salt", "hash")))
@@ -158,9 +156,10 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     done = runs.filter("mask <> 0").select("doc_id", "first", "mask")
     # Smallest of their salt: of hot symbols only.
     hot = runs.select("symbol", "doc_id", "first", F.explode("tops").alias("top")).select("symbol", "doc_id", "first", "top.place", "top.hash")
-    least = hot.groupBy("symbol", "hash").agg(F.min("doc_id").alias("least"))
-    late = hot.join(least, ["symbol", "hash"]).filter("least < doc_id").groupBy("doc_id", "first")
-    return done.unionByName(late.agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")))
+    # One row a salt and place, so a window's rows are few even where very many documents hold it; it needs no second reading of them.
+    late = hot.withColumn("least", F.min("doc_id").over(Window.partitionBy("symbol", "hash"))).filter("least < doc_id")
+    late = late.groupBy("doc_id", "first").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    return done.unionByName(late)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
