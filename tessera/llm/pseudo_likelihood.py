@@ -48,65 +48,79 @@ def windows(tokens: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _exps(z):
+    """``z`` less its rows' greatest, its exponentials and their sums."""
     z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    e = np.exp(z)
+    return z, e, e @ np.ones((e.shape[1], 1), e.dtype)
 
 
-def _forward(params, around, target):
-    """Hidden layers and log-probabilities of groups and, in order of the targets' groups, of members."""
+def _by_group(around, target):
+    """Order of the targets' groups, both in it, and where each group begins. Small numbers sort by radix."""
+    target = target.astype(np.uint16)
+    order = np.argsort(target // GROUPS, kind="stable")
+    target = target[order]
+    return order, around[order], target, np.searchsorted(target // GROUPS, np.arange(GROUPS + 1))
+
+
+def _forward(params, around, target, bounds):
+    """Embeddings, hidden layer and scores of groups and members; the targets stand in order of their groups."""
     emb, w1, b1, w2, b2, w3, b3 = params
     x = emb[around].reshape(len(around), -1)
-    hidden = np.maximum(x @ w1 + b1, 0)
-    group = _log_softmax(hidden @ w2 + b2)
-    order = np.argsort(target // GROUPS, kind="stable")
-    bounds = np.searchsorted((target // GROUPS)[order], np.arange(GROUPS + 1))
-    sorted_hidden = hidden[order]
+    hidden = x @ w1
+    hidden += b1
+    np.maximum(hidden, 0, out=hidden)
     z = np.empty((len(target), GROUPS), np.float32)
     for g in range(GROUPS):
         a, b = bounds[g], bounds[g + 1]
         if b > a:
-            z[a:b] = sorted_hidden[a:b] @ w3[g] + b3[g * GROUPS : (g + 1) * GROUPS]
-    return x, hidden, group, order, bounds, _log_softmax(z)
+            z[a:b] = hidden[a:b] @ w3[g] + b3[g * GROUPS : (g + 1) * GROUPS]
+    return x, hidden, hidden @ w2 + b2, z
 
 
 def log_probs(params, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target class given the words around it."""
-    *_, group, order, _, member = _forward(params, around, target)
-    out = group[np.arange(len(target)), target // GROUPS].astype(np.float64)
-    out[order] += member[np.arange(len(target)), (target % GROUPS)[order]]
+    order, around, target, bounds = _by_group(around, target)
+    *_, group, member = _forward(params, around, target, bounds)
+    at, sums = np.arange(len(target)), np.zeros(len(target))
+    for scores, one in ((group, target // GROUPS), (member, target % GROUPS)):
+        z, _, total = _exps(scores)
+        sums += z[at, one] - np.log(total[:, 0])
+    out = np.empty(len(target))
+    out[order] = sums
     return out
 
 
 def gradients(params, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean negative log-probability."""
     emb, w1, _, w2, _, w3, _ = params
-    x, hidden, group, order, bounds, member = _forward(params, around, target)
-    n = len(target)
-    d_group = np.exp(group)
-    d_group[np.arange(n), target // GROUPS] -= 1
-    d_member = np.exp(member)
-    d_member[np.arange(n), (target % GROUPS)[order]] -= 1
-    d_group /= n
-    d_member /= n
+    _, around, target, bounds = _by_group(around, target)
+    x, hidden, group, member = _forward(params, around, target, bounds)
+    n, at = len(target), np.arange(len(target))
+    slopes = []
+    for scores, one in ((group, target // GROUPS), (member, target % GROUPS)):
+        _, d, total = _exps(scores)
+        d /= total
+        d[at, one] -= 1
+        d /= n
+        slopes.append(d)
+    d_group, d_member = slopes
     d_hidden = d_group @ w2.T
     g3, gb3 = np.zeros_like(w3), np.zeros(CLASSES, np.float32)
-    back = np.empty((n, HIDDEN), np.float32)
-    sorted_hidden = hidden[order]
     for g in range(GROUPS):
         a, b = bounds[g], bounds[g + 1]
         if b > a:
-            g3[g] = sorted_hidden[a:b].T @ d_member[a:b]
+            g3[g] = hidden[a:b].T @ d_member[a:b]
             gb3[g * GROUPS : (g + 1) * GROUPS] = d_member[a:b].sum(axis=0)
-            back[a:b] = d_member[a:b] @ w3[g].T
-    d_hidden[order] += back
-    d_hidden[hidden <= 0] = 0
+            d_hidden[a:b] += d_member[a:b] @ w3[g].T
+    d_hidden *= hidden > 0
     d_x = (d_hidden @ w1.T).reshape(-1, EMBED)
-    flat = around.ravel()
+    flat = around.astype(np.uint16).ravel()
     by = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.diff(flat[by], prepend=-1))
+    flat = flat[by]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     g_emb = np.zeros_like(emb)
-    g_emb[flat[by][starts]] = np.add.reduceat(d_x[by], starts, axis=0)
+    g_emb[flat[starts]] = np.add.reduceat(d_x[by], starts, axis=0)
     return [g_emb, x.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d_group, d_group.sum(axis=0), g3, gb3]
 
 
