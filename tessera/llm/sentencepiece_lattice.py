@@ -1,5 +1,6 @@
 """SentencePiece encoding and decoding over a relational lattice of substrings and pieces."""
 
+import heapq
 import re
 import zlib
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from tessera.llm.common import slices
 
 #: Where the model file lies; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longest unit in characters: longer ones are cut, and no piece crosses the cut.
+#: Longest unit in characters that the lattice takes. Longer ones part only where no piece crosses.
 UNIT = 128
 #: Text bytes of a block, whose distinct units are looked up once.
 BLOCK = 16 << 20
@@ -64,7 +65,7 @@ def load(model: str = MODEL) -> Pieces:
 def unit_pattern(pieces: Pieces) -> re.Pattern:
     """Units of escaped text that no piece crosses: marks with the word after them, lone controls."""
     alone = re.escape(pieces.alone)
-    return re.compile(f"[{alone}]|{_MARK}*[^{_MARK}{alone}]{{1,{UNIT}}}|{_MARK}{{1,{UNIT}}}")
+    return re.compile(f"[{alone}]|{_MARK}*[^{_MARK}{alone}]+|{_MARK}+")
 
 
 def units(text: str, pattern: re.Pattern) -> list[str]:
@@ -72,6 +73,88 @@ def units(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(_MARK + text.replace(" ", _MARK)) if text else []
 
 
+# ---- units too long for the lattice ----
+
+
+def neighbours(pieces: Pieces) -> frozenset[str]:
+    """Pairs of characters that stand side by side in some piece; between any others no piece crosses."""
+    return frozenset(p[i : i + 2] for _, p, _ in pieces.rows for i in range(len(p) - 1))
+
+
+def parted(unit: str, pairs: frozenset[str]) -> list[str]:
+    """A unit of more than ``UNIT`` characters, cut only between characters that are neighbours in no piece.
+
+    Parts are filled up to ``UNIT``; one stays longer where it has no such place.
+    """
+    out, start, safe = [], 0, 0
+    for i in range(1, len(unit)):
+        if unit[i - 1 : i + 1] not in pairs:
+            if i - start > UNIT and safe > start:
+                out.append(unit[start:safe])
+                start = safe
+            safe = i
+    if len(unit) - start > UNIT and safe > start:
+        out.append(unit[start:safe])
+        start = safe
+    return [*out, unit[start:]]
+
+
+def merged_path(unit: str, table: dict[str, tuple[float, int]]) -> list[int]:
+    """What ``merged_paths`` gives for one unit of any length, by a heap of merges (n log n)."""
+    n = len(unit)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        if b < n and (found := table.get(unit[a : end[b]])):
+            heapq.heappush(heap, (-found[0], a, end[b]))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, a, stop = heapq.heappop(heap)
+        # Stale unless its two symbols still stand: each start that was merged away has end 0.
+        if not end[a] or end[a] >= n or end[end[a]] != stop:
+            continue
+        middle = end[a]
+        end[middle], end[a] = 0, stop
+        if stop < n:
+            before[stop] = a
+        if before[a] >= 0:
+            offer(before[a], a)
+        offer(a, stop)
+    out, at = [], 0
+    while at < n:
+        out.append(table[unit[at : end[at]]][1] if end[at] > at + 1 else -ord(unit[at]))
+        at = end[at]
+    return out
+
+
+def best_path(unit: str, table: dict[str, tuple[float, int]], longest: int, unknown: float) -> list[int]:
+    """What ``best_paths`` gives for one unit of any length."""
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    for end in range(1, len(unit) + 1):
+        top = None
+        for start in range(max(0, end - longest), end):
+            found = table.get(unit[start:end]) or ((unknown, -ord(unit[start])) if start == end - 1 else None)
+            if found and (top is None or best[start][0] + found[0] > top[0]):
+                top = (best[start][0] + found[0], start, found[1])
+        best.append(top)
+    out, at = [], len(unit)
+    while at:
+        out.append(best[at][2])
+        at = best[at][1]
+    return out[::-1]
+
+
+def _long_path(pieces: Pieces, kind: str):
+    table = {p: (s, i) for i, p, s in pieces.rows}
+    if kind == "bpe":
+        return lambda unit: merged_path(unit, table)
+    longest = pieces.longest
+    return lambda unit: best_path(unit, table, longest, pieces.unknown)
+
+
 # ---- blocks: documents as numbers of their block's distinct units ----
 
 
@@ -84,8 +167,13 @@ class _Numbers(dict):
 _UNIT_DDL, _PAYLOAD_DDL = "unit string, block bigint, idx int", "block bigint, payload binary"
 
 
-def _blocks(pattern: str, want_units: bool):
-    """Per block of up to ``BLOCK`` bytes: its distinct units, or its documents as compressed numbers."""
+def _blocks(pieces: Pieces, want_units: bool, kind: str):
+    """Per block of up to ``BLOCK`` bytes: its distinct units, or its documents as compressed numbers.
+
+    A unit of more than ``UNIT`` characters is already solved here: its row holds its ids, parted by spaces
+    (which no unit has), and its number less than zero (-1 for number 0).
+    """
+    pattern, pairs = unit_pattern(pieces).pattern, neighbours(pieces)
 
     def run(batches):
         split = re.compile(pattern)
@@ -95,11 +183,16 @@ def _blocks(pattern: str, want_units: bool):
         def flush():
             block = part * (1 << 20) + serial
             if want_units:
-                names = list(numbers)
+                names, path = list(numbers), None
                 for i in range(0, len(names), 20_000):
                     some = names[i : i + 20_000]
+                    idx = list(range(i, i + len(some)))
+                    for j, unit in enumerate(some):
+                        if len(unit) > UNIT:
+                            path = path or _long_path(pieces, kind)
+                            some[j], idx[j] = " ".join(map(str, path(unit))), -1 - idx[j]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(some), pa.array([block] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int32())],
+                        [pa.array(some), pa.array([block] * len(some), pa.int64()), pa.array(idx, pa.int32())],
                         names=["unit", "block", "idx"],
                     )
             else:
@@ -113,6 +206,8 @@ def _blocks(pattern: str, want_units: bool):
         for batch in slices(batches, "text", BLOCK // 4):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = units(text or "", split)
+                if any(len(u) > UNIT for u in found):
+                    found = [x for u in found for x in (parted(u, pairs) if len(u) > UNIT else [u])]
                 docs.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id)
                 held += len(text or "") + 1
@@ -304,27 +399,30 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     A unit that every document holds is one row per block, so no key is hot.
 
     ``docs`` is read twice and has to give the same partitions both times, as a scan of files does.
-    ``kind`` is the model file's kind (see ``FOLDS``); ids are those of the model's own library. Units of more than ``UNIT`` characters are
-    cut. Characters that are no piece become bytes. Null and empty text: no ids. Null doc_id is kept.
+    ``kind`` is the model file's kind (see ``FOLDS``); ids are those of the model's own library. Units of more than ``UNIT`` characters
+    (text without spaces) part where no piece can cross; what has no such place is solved whole, outside the lattice,
+    by the same merges from a heap. Characters that are no piece become bytes. Null and empty text: no ids. Null doc_id is kept.
     Repeated rows are each encoded. Empty table: no rows. Other columns are ignored.
     """
     pieces = load(model)
-    pattern = unit_pattern(pieces).pattern
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     # Each unit's edges are many times its own size, so its partitions are that much smaller.
     parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = rows.mapInArrow(_blocks(pattern, True), _UNIT_DDL).repartition(parts, "unit")
-    # The condition holds always; it keeps all columns, so that both branches read one and the same exchange.
+    seen = rows.mapInArrow(_blocks(pieces, True, kind), _UNIT_DDL).repartition(parts, "unit")
+    # Units that are solved already have numbers under 0. The condition is on maxima, so that it stays behind the
+    # exchange and keeps all columns: both branches read one and the same exchange.
     once = seen.groupBy("unit").agg(F.max("block").alias("b"), F.max("idx").alias("i")).filter("b >= 0 AND i >= 0")
     fold, shortest = FOLDS[kind]
     paths = fold(lattice(once.select("unit"), pieces, shortest))
     # Both sides are partitioned by unit already; the merge join keeps that.
     lone = F.expr("transform(sequence(1, char_length(unit)), i -> -ascii(substring(unit, i, 1)))")
-    found = seen.join(paths.hint("merge"), "unit", "left").select("block", "idx", F.coalesce("ids", lone).alias("ids"))
+    solved = F.split("unit", " ").cast("array<int>")
+    ids = F.when(F.col("idx") < 0, solved).otherwise(F.coalesce("ids", lone)).alias("ids")
+    found = seen.join(paths.hint("merge"), "unit", "left").select("block", F.expr("IF(idx < 0, -1 - idx, idx)").alias("idx"), ids)
     single = {ord(p): i for i, p, _ in pieces.rows if len(p) == 1}
     found = found.mapInArrow(_packed(single, pieces.byte_ids), "block bigint, paths binary").groupBy("block")
     # Each side is a stage of its own, so that both scans see the same partition numbers.
-    payload = rows.mapInArrow(_blocks(pattern, False), _PAYLOAD_DDL).groupBy("block")
+    payload = rows.mapInArrow(_blocks(pieces, False, kind), _PAYLOAD_DDL).groupBy("block")
     return payload.cogroup(found).applyInArrow(_assembled, "doc_id bigint, n_units bigint, ids array<int>")
 
 

@@ -19,6 +19,30 @@ def test_encoding_equals_the_library_and_decodes_back(spark, tmp_path):
     assert back == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
 
 
+def test_long_runs_without_spaces_equal_the_library(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    texts = ["x" * 5000, "".join(rng.choice(letters, 6000)), "the" * 1500, "die Straße " + "zusammengesetzt" * 300 + " und", " " * 700 + "a" + "-" * 900 + " " * 300,
+             "".join(rng.choice(list("漢字かなカナ、。中文数据"), 3000)), "http://example.com/" + "path/to/page?q=1&" * 200, "ß" * 129 + "\n" + "é漢" * 400]
+    docs = on_disk(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path)
+    library = sentencepiece.SentencePieceProcessor(model_file=sl.MODEL)
+    got = {r.doc_id: list(r.ids) for r in sl.encode(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == library.encode(t), i
+
+
+def test_long_units_by_both_kinds_equal_the_folds(spark):
+    pieces = sl.load()
+    table = {p: (s, i) for i, p, s in pieces.rows}
+    words = ["▁" + "worthless" * 4, "aaaaaaaaaaaaab", "▁▁Enpaeux漢", "internationalization"]
+    frame = spark.createDataFrame([(w,) for w in words], "unit string")
+    merged = {r.unit: list(r.ids) for r in sl.merged_paths(sl.lattice(frame, pieces, 2)).collect()}
+    best = {r.unit: list(r.ids) for r in sl.best_paths(sl.lattice(frame, pieces)).collect()}
+    for w in words:
+        assert sl.merged_path(w, table) == merged[w]
+        assert sl.best_path(w, table, pieces.longest, pieces.unknown) == best[w]
+
+
 def test_viterbi_fold_finds_the_best_sum(spark):
     """Unigram reading: against the library's own exact lattice search."""
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
