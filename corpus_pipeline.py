@@ -4,7 +4,7 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that its predecess
 last return the columns of ``documents``.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, sentencepiece_lattice, simhash, toxicity
@@ -20,21 +20,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, labels))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids`` (null equals null)."""
-    ids = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+def _digest() -> Column:
+    return F.sha2(exact_dedup.folded(F.col("text")), 256)
+
+
+def _one_each(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``winners``: ``doc_id`` (null equals null), ``digest``, and the number ``n`` of such rows.
+
+    Only rows that share both with another row are grouped; the least of them stays.
+    """
+    keys = winners.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), F.col("n").alias("_n"))
+    rows = docs.withColumn("_digest", _digest())
+    rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["_kept_id"]) & (rows["_digest"] == keys["_kept_digest"]))
+    own = [docs[c] for c in docs.columns]
+    repeated = rows.filter("_n > 1").groupBy("_kept_id", "_kept_digest").agg(F.min(F.struct(*own)).alias("_row"))
+    return rows.filter("_n = 1").select(*own).unionByName(repeated.select("_row.*"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, the one with the smallest doc_id."""
-    return _only(docs, exact_dedup.dedup(docs).filter("kept"))
+    """Of documents with equal text, one row with the smallest doc_id."""
+    kept = exact_dedup.dedup(docs).filter("kept")
+    return _one_each(docs, kept.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id."""
-    found = simhash.near_dups(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component of near-duplicates, one row with the smallest doc_id."""
+    found = simhash.members(docs, key=_digest()).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = found.groupBy("component", "doc_id", F.col("key").alias("digest")).agg(F.count("*").alias("n"))
+    winners = texts.groupBy("component").agg(F.min(F.struct("doc_id", "digest", "n")).alias("w"))
+    return _one_each(docs, winners.select("w.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact dedup: tree-merge of sorted digest runs, in DataFrame operations alone."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
@@ -11,13 +11,15 @@ RUNS, FAN_IN = 64, 8
 _KEY = ["sha", "n_bytes", "check"]
 
 
+def folded(text: Column) -> Column:
+    """What texts are compared by: each run of white space one space, null as empty."""
+    # A lone space stays as it is, so only the other runs of white space need rewriting.
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
+
+
 def digest_rows(docs: DataFrame) -> DataFrame:
     """``doc_id``, leaf ``run`` and digest key of every row; a null text counts as empty."""
-    # A lone space stays as it is, so only the other runs of white space need rewriting.
-    text = F.regexp_replace(
-        F.coalesce(F.col("text"), F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "
-    )
-    return docs.select("doc_id", text.alias("t")).select(
+    return docs.select("doc_id", folded(F.col("text")).alias("t")).select(
         "doc_id",
         F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
         F.unhex(F.sha2("t", 256)).alias("sha"),

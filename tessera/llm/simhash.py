@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, slices, text_bytes
@@ -44,15 +44,18 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` of every row; ``fp`` holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """``doc_id, fp`` of every row; ``fp`` holds the 64 bits as a signed number. A string ``key`` is passed on."""
+    keys = [] if key is None else [key.cast("string").alias("key")]
 
     def run(batches):
         for batch in slices(batches, "text", 8 << 20):
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            passed = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, passed), pa.array(fps)], names=[*passed, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    ddl = "doc_id bigint, " + ("key string, " if keys else "") + "fp bigint"
+    return docs.select(F.col("doc_id").cast("bigint"), *keys, "text").mapInArrow(run, ddl)
 
 
 # ---- the index ----
@@ -244,6 +247,22 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     return inside.unionByName(between).distinct()
 
 
+def members(docs: DataFrame, shingle: int = 4, most: int = 4, key: Column | None = None) -> DataFrame:
+    """``doc_id, fp, component, component_id`` (and ``key``) of every row.
+
+    ``component`` names a component even where its rows have no doc_id, or share one with other components' rows.
+    """
+    prints = cut(fingerprints(docs, shingle, key))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = cut(links(nodes.select("fp"), most))
+    label = components(found)
+    nodes = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    nodes = nodes.select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = nodes.join(least, "component").select("fp", "component", "component_id")
+    return prints.join(member, "fp")
+
+
 def near_dups(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id``: documents linked where fingerprints differ in ``most`` bits or fewer.
 
@@ -254,15 +273,7 @@ def near_dups(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     a row like others, never the smallest where another is not null. Repeated rows: each is returned.
     Empty table: no rows. Other columns are ignored.
     """
-    prints = cut(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = cut(links(nodes.select("fp"), most))
-    label = components(found)
-    nodes = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = nodes.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = nodes.join(least, "component").select("fp", "component_id")
-    return prints.join(member, "fp").select(
+    return members(docs, shingle, most).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -35,3 +35,27 @@ def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
     assert corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).count() == 6
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    other, third = (" ".join(f"{k}{j * 31 % 89}" for j in range(60)) for k in "oz")
+    near = other + " !"
+    rows = [
+        # Repeated rows of the smallest id, and a copy of another id.
+        (1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "alpha  beta\tgamma"), (5, "alpha beta gamma"),
+        # One id with two texts: its copy of the first loses to no one, that of the second loses to id 2.
+        (3, "uno dos tres"), (3, "vier funf sechs"), (2, "vier funf sechs"),
+        # A group of null ids alone, and a null id whose text an id has.
+        (None, other), (None, other), (None, "alpha beta gamma"), (None, third), (None, near),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    key = lambda rows: sorted(((r.doc_id, " ".join(r.text.split())) for r in rows), key=str)
+    assert kept.columns == docs.columns
+    assert key(kept.collect()) == sorted([(1, "alpha beta gamma"), (3, "uno dos tres"), (2, "vier funf sechs"), (None, other), (None, third), (None, near)], key=str)
+    # The near stage alone meets the same rows: one of each component, whatever its ids.
+    near_kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    groups = {r.component for r in corpus_pipeline.simhash.members(docs).collect()}
+    assert near_kept.columns == docs.columns and near_kept.count() == len(groups)
+    found = key(near_kept.collect())
+    assert len({t for _, t in found}) == len(found) and (1, "alpha beta gamma") in found and (2, "vier funf sechs") in found and (None, third) in found
