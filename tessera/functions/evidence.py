@@ -1,11 +1,16 @@
 """Passages, grounding and typed values."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Longest passage, longest block that joins its neighbours.
 PASSAGE, CONTEXT = 5500, 600
+#: Characters of a quote that are looked up first, and bits of a slot of their bitmap.
+HEAD, SLOT_BITS = 24, 22
+_PRIME, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -82,3 +87,59 @@ def passage_ranges(batches):
     for batch in batches:
         rows = [(i, p, a, b, t[a:b]) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if isinstance(t, str) for p, (a, b) in enumerate(split_passages(t))]
         yield pd.DataFrame(rows, columns=["doc_id", "pos", "start_char", "end_char", "passage"])
+
+
+def window_slots(text: str, length: int) -> np.ndarray:
+    """Slot of every window of ``length`` characters of a text, by a rolling hash."""
+    n = len(text) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = np.full(n, length, np.uint64)
+    for j in range(length):
+        h = h * np.uint64(_PRIME) + chars[j : j + n]
+    h ^= h >> np.uint64(29)
+    return (h * _MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def head_slots(batches):
+    """``mapInArrow`` over ``head``: the slot of each."""
+    for batch in batches:
+        slots = [int(window_slots(h, len(h))[0]) for h in batch.column("head").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32())], names=["slot"])
+
+
+def head_places(lengths: list[int], slots: list[int]):
+    """``mapInArrow`` over ``doc_id, text``: ``doc_id, at, head`` where a window of one of ``lengths`` may be a head.
+
+    Of windows under ``HEAD`` characters, which are whole quotes, only the first of each is given.
+    """
+
+    def run(batches):
+        marked = np.zeros(1 << SLOT_BITS, bool)
+        marked[slots] = True
+        for batch in batches:
+            ids, places, heads = [], [], []
+
+            def flush():
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(heads, pa.string())], names=["doc_id", "at", "head"])
+                for column in (ids, places, heads):
+                    column.clear()
+
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for length in lengths if text is not None else []:
+                    seen = set()
+                    for at in np.flatnonzero(marked[window_slots(text, length)]).tolist():
+                        head = text[at : at + length]
+                        if length < HEAD:
+                            if head in seen:
+                                continue
+                            seen.add(head)
+                        ids.append(doc_id)
+                        places.append(at)
+                        heads.append(head)
+                        if len(ids) >= 50_000:
+                            yield from flush()
+            yield from flush()
+
+    return run

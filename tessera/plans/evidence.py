@@ -116,15 +116,24 @@ def budget_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.doc_id, strpos(d.text, b.text) - 1 AS start_char, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference passages found in documents at exact offsets. The quotes' first words meet the documents' lines by hash
-    join; only those candidates are compared whole."""
-    head = lambda c: F.substring(c, 1, 24)
-    quotes = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), head(F.col("text")).alias("head"))
+    """Reference passages found in documents at exact offsets, of any length.
+
+    A document gives only the places where a window of a quote's head length may be a head (a bitmap of fixed size
+    says so, never wrongly no). They meet the quotes by head in a hash-partitioned join without texts. A quote no
+    longer than a head is then found; longer ones are compared whole, with the documents that still have a candidate."""
+    quotes = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL")
+    quotes = quotes.withColumn("head", F.substring("quote", 1, ev.HEAD))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    places = docs.select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 24, F.lit(0))), lambda i: F.struct(i.alias("at"), F.substring(F.col("text"), i + 1, F.lit(24)).alias("head")))).alias("p"))
-    found = places.select("doc_id", "text", "p.at", "p.head").join(F.broadcast(quotes), "head")
-    rows = found.filter(ev.grounded(F.col("quote"), F.col("text"), F.col("at")))
-    return rows.groupBy("doc_id", "item_id").agg(F.min("at").cast("bigint").alias("start_char"))
+    # At most HEAD + 1 lengths and as many slots as the bitmap has, whatever the number of quotes.
+    lengths = sorted(r[0] for r in quotes.select(F.length("head")).distinct().collect())
+    slots = [r.slot for r in quotes.select("head").mapInArrow(ev.head_slots, "slot int").distinct().collect()]
+    places = docs.mapInArrow(ev.head_places(lengths, slots), "doc_id bigint, at int, head string")
+    found = places.join(quotes.select("item_id", "head", F.length("quote").alias("n")).hint("shuffle_merge"), "head")
+    short = found.filter(F.col("n") <= ev.HEAD).select("doc_id", "item_id", "at")
+    long_ = found.filter(F.col("n") > ev.HEAD).select("doc_id", "item_id", "at")
+    long_ = long_.join(quotes.select("item_id", "quote").hint("shuffle_merge"), "item_id").join(docs.hint("shuffle_merge"), "doc_id")
+    long_ = long_.filter(ev.grounded(F.col("quote"), F.col("text"), F.col("at"))).select("doc_id", "item_id", "at")
+    return short.unionByName(long_).groupBy("doc_id", "item_id").agg(F.min("at").cast("bigint").alias("start_char"))
 
 
 _POLICY = "CASE WHEN source IN ('src0', 'src1') THEN 'registry' WHEN source IN ('src2', 'src3', 'src4') THEN 'official' WHEN source LIKE 'src1%' THEN 'news' ELSE 'unknown' END"
