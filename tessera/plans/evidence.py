@@ -102,9 +102,9 @@ def winner_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query()
 def budget_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of each language in rounds over its documents, each taken if it still fits 20,000 characters.
+    """Passages of each source in rounds over its documents, each taken if it still fits 20,000 characters.
 
-    Documents over a budget of candidates cannot fit any more, so a window keeps what a call can reach, exactly."""
+    ``take_while_fits`` first keeps what a budget can reach, exactly, so that a source's group stays bounded."""
     rows = passages(spark, sf_dir).filter("length(passage) > 0").withColumn("chars", F.length("passage"))
     rows = rows.join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     order = Window.partitionBy("doc_id").orderBy("pos")
