@@ -4,12 +4,14 @@ import heapq
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
@@ -24,6 +26,8 @@ BLOCK = 16 << 20
 _ASSEMBLED = 256
 #: Partitions of units for each one that the session's shuffles have.
 SPREAD = 4
+#: Buckets of units for each of those partitions, so that a hash of buckets deals them evenly.
+BUCKETS = 4
 _MARK = "▁"
 _UNK_PENALTY = 10.0
 _CONTROLS = "\t\n\x0b\f\r"
@@ -43,6 +47,11 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for _, p, _ in self.rows)
 
+    @cached_property
+    def single(self) -> dict[int, int]:
+        """Ids of the pieces of one character, by code point."""
+        return {ord(p): i for i, p, _ in self.rows if len(p) == 1}
+
 
 def load(model: str = MODEL) -> Pieces:
     """Pieces of a model file."""
@@ -164,44 +173,71 @@ class _Numbers(dict):
         return n
 
 
-_UNIT_DDL, _PAYLOAD_DDL = "unit string, block bigint, idx int", "block bigint, payload binary"
+#: ``k`` is a block's number on its documents' row, and -1 - bucket on the rows of its units.
+_BLOCK_DDL = "k bigint, block bigint, data binary"
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32-bit numbers, compressed: low bytes first, then the next, as high bytes are mostly alike."""
+    sizes = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
+    raw = sizes + b"".join(np.ascontiguousarray(a, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unsqueezed(blob: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd", 1).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    many = int(np.frombuffer(raw, np.int64, 1)[0])
+    out, at = [], 8 * (1 + many)
+    for n in np.frombuffer(raw, np.int64, many, 8).tolist():
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.int32).ravel())
+        at += 4 * n
+    return out
 
 
-def _blocks(pieces: Pieces, want_units: bool, kind: str):
-    """Per block of up to ``BLOCK`` bytes: its distinct units, or its documents as compressed numbers.
+def _blocks(pieces: Pieces, buckets: int, kind: str):
+    """Per block of up to ``BLOCK`` bytes: a row of its documents, as numbers, and a row a bucket of its distinct units.
 
-    A unit of more than ``UNIT`` characters is already solved here: its row holds its ids, parted by spaces
-    (which no unit has), and its number less than zero (-1 for number 0).
+    A bucket's row holds the units of one hash value, sorted, parted by spaces (which no unit has); the
+    documents' row says which place in all buckets' rows each number has. A unit of more than ``UNIT``
+    characters is solved here, and its ids stay on the documents' row.
     """
     pattern, pairs = unit_pattern(pieces).pattern, neighbours(pieces)
 
     def run(batches):
         split = re.compile(pattern)
-        part, serial = TaskContext.get().partitionId(), 0
+        part, serial, path = TaskContext.get().partitionId(), 0, None
         numbers, docs, ids, held = _Numbers(), [], [], 0
 
         def flush():
+            nonlocal path
             block = part * (1 << 20) + serial
-            if want_units:
-                names, path = list(numbers), None
-                for i in range(0, len(names), 20_000):
-                    some = names[i : i + 20_000]
-                    idx = list(range(i, i + len(some)))
-                    for j, unit in enumerate(some):
-                        if len(unit) > UNIT:
-                            path = path or _long_path(pieces, kind)
-                            some[j], idx[j] = " ".join(map(str, path(unit))), -1 - idx[j]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some), pa.array([block] * len(some), pa.int64()), pa.array(idx, pa.int32())],
-                        names=["unit", "block", "idx"],
-                    )
-            else:
-                known = np.array([i is not None for i in ids])
-                lens = np.array([len(d) for d in docs], np.int32)
-                own = np.array([i or 0 for i in ids], np.int64)
-                head = np.array([len(docs)], np.int64).tobytes() + own.tobytes() + known.tobytes() + lens.tobytes()
-                blob = zlib.compress(head + b"".join(d.tobytes() for d in docs), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary())], names=["block", "payload"])
+            names = list(numbers)
+            short = [u.encode() for u in names if len(u) <= UNIT]
+            long = [u for u in names if len(u) > UNIT]
+            if long:
+                path = path or _long_path(pieces, kind)
+            solved = [path(u) for u in long]
+            is_long = np.fromiter((len(u) > UNIT for u in names), bool, len(names))
+            order = np.array(sorted(range(len(short)), key=short.__getitem__), np.int64)
+            bucket = np.fromiter((zlib.crc32(u) % buckets for u in short), np.int64, len(short))
+            order = order[np.argsort(bucket[order], kind="stable")]
+            place = np.empty(len(names), np.int32)
+            place[is_long] = len(short) + np.arange(len(long))
+            place[np.flatnonzero(~is_long)[order]] = np.arange(len(short))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(edges))
+            rows = [b" ".join([short[j] for j in order[edges[b] : edges[b + 1]]]) for b in full]
+            own = np.array([i or 0 for i in ids], np.int64).view(np.int32)
+            known = np.array([i is not None for i in ids])
+            lens = np.array([len(d) for d in docs])
+            tokens = np.concatenate(docs)
+            far = np.array([i for x in solved for i in x], np.int64), np.array([len(x) for x in solved], np.int64)
+            rows.append(_squeezed(own, known, lens, tokens, place, *_spelled(*far, pieces)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(-1 - full, block), pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
+                names=["k", "block", "data"],
+            )
 
         for batch in slices(batches, "text", BLOCK // 4):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -225,7 +261,7 @@ def _blocks(pieces: Pieces, want_units: bool, kind: str):
 
 
 def lattice(words: DataFrame, pieces: Pieces, shortest: int = 1) -> DataFrame:
-    """Edges ``unit, start, end, id, score``: all substrings of at least ``shortest`` characters that are pieces.
+    """Edges ``k, unit, start, end, id, score``: all substrings of at least ``shortest`` characters that are pieces.
 
     Substrings of up to the longest piece's length are exploded and equi-joined to the piece table,
     which has a fixed size (the vocabulary), so it is broadcast and the units stay where they are. A
@@ -234,14 +270,15 @@ def lattice(words: DataFrame, pieces: Pieces, shortest: int = 1) -> DataFrame:
     spark = words.sparkSession
     table = spark.createDataFrame(pieces.rows, "id int, piece string, score double")
     n = F.char_length("unit")
-    starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = words.select("k", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     last = F.least(n - F.col("start"), F.lit(pieces.longest))
     starts = starts.filter(last >= shortest)
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(shortest), last)).alias("len"))
+    spans = starts.select("k", "unit", "start", F.explode(F.sequence(F.lit(shortest), last)).alias("len"))
     spans = spans.withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len")))
     edges = spans.join(F.broadcast(table), "piece", "left" if shortest == 1 else "inner")
     edges = edges.filter((F.col("len") == 1) | F.col("id").isNotNull())
     return edges.select(
+        "k",
         "unit",
         "start",
         (F.col("start") + F.col("len")).alias("end"),
@@ -252,11 +289,11 @@ def lattice(words: DataFrame, pieces: Pieces, shortest: int = 1) -> DataFrame:
 
 def _grouped(edges: DataFrame) -> DataFrame:
     gathered = F.sort_array(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges")
-    return edges.groupBy("unit").agg(gathered)
+    return edges.groupBy("k", "unit").agg(gathered)
 
 
 def best_paths(edges: DataFrame) -> DataFrame:
-    """``unit, ids``: each unit's best path, by folding Viterbi over its edges in order of their ends.
+    """``k, unit, ids``: each unit's best path, by folding Viterbi over its edges in order of their ends.
 
     For models whose scores are log-probabilities (unigram). The fold's state is the best score and path
     to each position so far; of equal scores the longer last piece stays.
@@ -271,11 +308,11 @@ def best_paths(edges: DataFrame) -> DataFrame:
           ELSE best END,
         best -> element_at(best, -1).ids)
     """
-    return _grouped(edges).select("unit", F.expr(fold).alias("ids"))
+    return _grouped(edges).select("k", "unit", F.expr(fold).alias("ids"))
 
 
 def merged_paths(edges: DataFrame) -> DataFrame:
-    """``unit, ids``: each unit's path by merges in order of score, folded over the same lattice.
+    """``k, unit, ids``: each unit's path by merges in order of score, folded over the same lattice.
 
     For models whose scores are ranks of merges (BPE), where sums of scores mean nothing. The fold's
     state is the bounds of the unit's symbols. Edges come by falling score, then by place: one that
@@ -294,8 +331,8 @@ def merged_paths(edges: DataFrame) -> DataFrame:
       transform(sequence(1, size(bounds) - 1), i -> IF(bounds[i] = bounds[i - 1] + 1, -ascii(substring(unit, bounds[i], 1)),
         element_at(filter(edges, e -> e.start = bounds[i - 1] AND e.end = bounds[i]), 1).id))
     """
-    rows = _grouped(edges).select("unit", "edges", F.expr(step).alias("bounds"))
-    return rows.select("unit", F.expr(ids).alias("ids"))
+    rows = _grouped(edges).select("k", "unit", "edges", F.expr(step).alias("bounds"))
+    return rows.select("k", "unit", F.expr(ids).alias("ids"))
 
 
 #: How a model's scores are read: log-probabilities to sum, or ranks of merges; and the shortest edge that matters.
@@ -305,125 +342,114 @@ FOLDS = {"unigram": (best_paths, 1), "bpe": (merged_paths, 2)}
 # ---- back to documents ----
 
 
-def _packed(single: dict[int, int], byte_ids: list[int]):
-    """Rows of ``block, idx, ids`` as one compressed row per block and batch.
-
-    Negated code points become the character's piece or, where there is none, its bytes.
-    """
-
-    def run(batches):
-        piece = np.zeros(0x110000, np.int32)
-        piece[list(single)] = list(single.values())
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            lists = batch.column("ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
-            lens = lists.value_lengths().to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(flat < 0)
-            known = piece[-flat[at]]
-            flat[at[known > 0]] = known[known > 0]
-            if (odd := at[known == 0]).size:
-                made = [[byte_ids[x] for x in chr(-c).encode()] for c in flat[odd].tolist()]
-                rows = np.searchsorted(np.cumsum(lens), odd, "right")
-                lens = lens + np.bincount(rows, [len(m) - 1 for m in made], len(lens)).astype(lens.dtype)
-                size = np.ones(len(flat), np.int64)
-                size[odd] = [len(m) for m in made]
-                wide = np.repeat(flat, size)
-                wide[np.repeat(np.cumsum(size)[odd] - size[odd], size[odd]) + _within(size[odd])] = [x for m in made for x in m]
-                flat = wide
-            idx = batch.column("idx").to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lens)
-            order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.diff(block[order])) + 1
-            blocks, blobs = [], []
-            for rows in np.split(order, cut):
-                at = np.repeat(ends[rows] - lens[rows], lens[rows]) + _within(lens[rows])
-                head = np.array([len(rows)], np.int64).tobytes()
-                body = idx[rows].astype(np.int32).tobytes() + lens[rows].astype(np.int32).tobytes() + flat[at].astype(np.int32).tobytes()
-                blocks.append(int(block[rows[0]]))
-                blobs.append(zlib.compress(head + body, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "paths"])
-
-    return run
-
-
 def _within(lens: np.ndarray) -> np.ndarray:
     """0, 1, ... inside each run of the given lengths."""
     total = int(lens.sum())
     return np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
 
 
+def _spelled(ids: np.ndarray, lens: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Paths (one after another, and their lengths) with negated code points as the character's piece or its bytes."""
+    ids = ids.copy()
+    at = np.flatnonzero(ids < 0)
+    known = np.fromiter((pieces.single.get(-c, 0) for c in ids[at].tolist()), np.int64, len(at))
+    ids[at[known > 0]] = known[known > 0]
+    odd = at[known == 0]
+    if not odd.size:
+        return ids, lens
+    made = [[pieces.byte_ids[x] for x in chr(-c).encode()] for c in ids[odd].tolist()]
+    more = np.array([len(m) for m in made])
+    size = np.ones(len(ids), np.int64)
+    size[odd] = more
+    wide = np.repeat(ids, size)
+    wide[np.repeat(np.cumsum(size)[odd] - more, more) + _within(more)] = [x for m in made for x in m]
+    rows = np.searchsorted(np.cumsum(lens), odd, "right")
+    return wide, lens + np.bincount(rows, more - 1, len(lens)).astype(lens.dtype)
+
+
+def _returned(pieces: Pieces):
+    """``k, bucket, data``: for each row of a bucket's units, their ids in the same order, addressed to its block."""
+
+    def run(packs: pa.Table, paths: pa.Table) -> pa.Table:
+        at = {u: i for i, u in enumerate(paths.column("unit").to_pylist())}
+        lists = paths.column("ids").combine_chunks()
+        ids, lens = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+        # Units without any edge are single characters, or fall into single characters.
+        own = [x.as_py().decode().split(" ") for x in packs.column("data")]
+        lone = sorted({u for us in own for u in us if u not in at})
+        at.update((u, len(at) + i) for i, u in enumerate(lone))
+        ids = np.concatenate([ids, np.array([-ord(c) for u in lone for c in u], np.int32)]).astype(np.int32)
+        lens = np.concatenate([lens, np.array([len(u) for u in lone], np.int64)]).astype(np.int64)
+        ids, lens = _spelled(ids, lens, pieces)
+        begin, out = np.cumsum(lens) - lens, []
+        for us in own:
+            rows = np.fromiter(map(at.__getitem__, us), np.int64, len(us))
+            out.append(_squeezed(lens[rows], ids[np.repeat(begin[rows], lens[rows]) + _within(lens[rows])]))
+        bucket = pa.compute.subtract(-1, packs.column("k"))
+        return pa.table([packs.column("block"), bucket, pa.array(out, pa.binary())], names=["k", "bucket", "data"])
+
+    return run
+
+
 def _assembled(docs: pa.Table, paths: pa.Table) -> pa.Table:
-    """Documents of one block with their ids, from its payload and its units' paths."""
-    payload = zlib.decompress(docs.column("payload")[0].as_py())
-    n = int(np.frombuffer(payload, np.int64, 1)[0])
-    ids = np.frombuffer(payload, np.int64, n, 8)
-    known = np.frombuffer(payload, bool, n, 8 + 8 * n)
-    lens = np.frombuffer(payload, np.int32, n, 8 + 9 * n)
-    tokens = np.frombuffer(payload[8 + 13 * n :], np.int32)
-    idx, size, flat = [], [], []
-    for blob in paths.column("paths").to_pylist():
-        raw = zlib.decompress(blob)
-        m = int(np.frombuffer(raw, np.int64, 1)[0])
-        numbers = np.frombuffer(raw[8:], np.int32)
-        idx.append(numbers[:m])
-        size.append(numbers[m : 2 * m])
-        flat.append(numbers[2 * m :])
-    empty = [np.zeros(0, np.int32)]
-    idx, size, flat = (np.concatenate(x or empty) for x in (idx, size, flat))
-    begin, many = np.zeros(len(idx), np.int64), np.zeros(len(idx), np.int64)
-    begin[idx], many[idx] = np.cumsum(size) - size, size
+    """Documents of one block with their ids, from its numbers and its units' paths."""
+    own, known, lens, tokens, place, far, far_lens = _unsqueezed(docs.column("data")[0].as_py())
+    near = paths.sort_by("bucket").column("data").to_pylist()
+    parts = [*(_unsqueezed(x) for x in near), [far_lens, far]]
+    size, flat = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    begin = (np.cumsum(size) - size)[place]
+    size = size[place]
+    ids, known = own.view(np.int64), known.astype(bool)
     ends = np.concatenate([[0], np.cumsum(lens)])
     out = []
-    for a in range(0, n, _ASSEMBLED):
-        some = slice(ends[a], ends[min(n, a + _ASSEMBLED)])
-        counts = many[tokens[some]]
+    for a in range(0, len(lens), _ASSEMBLED):
+        some = tokens[ends[a] : ends[min(len(lens), a + _ASSEMBLED)]]
+        counts = size[some]
         of = np.concatenate([[0], np.cumsum(counts)])
         offsets = of[ends[a : a + _ASSEMBLED + 1] - ends[a]]
-        at = np.repeat(begin[tokens[some]], counts) + _within(counts)
+        at = np.repeat(begin[some], counts) + _within(counts)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))
         rows = slice(a, a + _ASSEMBLED)
-        own = pa.array(ids[rows], mask=~known[rows])
-        out.append(pa.record_batch([own, pa.array(lens[rows].astype(np.int64)), lists], names=["doc_id", "n_units", "ids"]))
+        out.append(pa.record_batch([pa.array(ids[rows], mask=~known[rows]), pa.array(lens[rows].astype(np.int64)), lists], names=["doc_id", "n_units", "ids"]))
     return pa.Table.from_batches(out)
 
 
+def _stays(condition) -> Column:
+    """``condition``, tied to a row number so that the optimizer leaves it above the exchange that its branches share."""
+    return F.when(F.monotonically_increasing_id() >= 0, condition)
+
+
 def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     """``doc_id, n_units, ids``: each row's whole text as piece ids, a space put before it, spaces as marks.
 
-    Text falls into units that no piece crosses. Blocks of documents are numbered by their distinct
-    units; units of all blocks meet once, hash-partitioned by unit, where the lattice, its grouping by
-    unit and the fold need no further exchange; paths then return to their blocks, compressed.
-    A unit that every document holds is one row per block, so no key is hot.
-
-    ``docs`` is read twice and has to give the same partitions both times, as a scan of files does.
-    ``kind`` is the model file's kind (see ``FOLDS``); ids are those of the model's own library. Units of more than ``UNIT`` characters
-    (text without spaces) part where no piece can cross; what has no such place is solved whole, outside the lattice,
-    by the same merges from a heap. Characters that are no piece become bytes. Null and empty text: no ids. Null doc_id is kept.
-    Repeated rows are each encoded. Empty table: no rows. Other columns are ignored.
+    Text falls into units that no piece crosses. One pass cuts the documents into blocks: their distinct
+    units, in buckets by hash, and the documents themselves as numbers of units. One exchange deals
+    buckets and blocks; its branches all read it. Where a bucket's units meet, each distinct one goes
+    once through the lattice, whose grouping by unit and fold need no further exchange, and its path
+    returns to every block that has it, compressed. A unit that every document holds is one of a block's
+    units, so no key is hot.
+
+    ``kind`` is the model file's kind (see ``FOLDS``); ids are those of the model's own library. Units of more than
+    ``UNIT`` characters (text without spaces) part where no piece can cross; what has no such place is solved whole,
+    outside the lattice, by the same merges from a heap. Characters that are no piece become bytes. Null and empty
+    text: no ids. Null doc_id is kept. Repeated rows are each encoded. Empty table: no rows. Other columns are ignored.
     """
     pieces = load(model)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     # Each unit's edges are many times its own size, so its partitions are that much smaller.
     parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = rows.mapInArrow(_blocks(pieces, True, kind), _UNIT_DDL).repartition(parts, "unit")
-    # Units that are solved already have numbers under 0. The condition is on maxima, so that it stays behind the
-    # exchange and keeps all columns: both branches read one and the same exchange.
-    once = seen.groupBy("unit").agg(F.max("block").alias("b"), F.max("idx").alias("i")).filter("b >= 0 AND i >= 0")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    dealt = rows.mapInArrow(_blocks(pieces, BUCKETS * parts, kind), _BLOCK_DDL).repartition(parts, "k")
+    # An outer explode has no filter of its own that could sink below the exchange.
+    listed = F.explode_outer(F.when(F.col("k") < 0, F.split(F.col("data").cast("string"), " "))).alias("unit")
+    words = dealt.select("k", "block", listed).groupBy("k", "unit").agg(F.max("block").alias("b")).filter("b >= 0 AND unit IS NOT NULL")
     fold, shortest = FOLDS[kind]
-    paths = fold(lattice(once.select("unit"), pieces, shortest))
-    # Both sides are partitioned by unit already; the merge join keeps that.
-    lone = F.expr("transform(sequence(1, char_length(unit)), i -> -ascii(substring(unit, i, 1)))")
-    solved = F.split("unit", " ").cast("array<int>")
-    ids = F.when(F.col("idx") < 0, solved).otherwise(F.coalesce("ids", lone)).alias("ids")
-    found = seen.join(paths.hint("merge"), "unit", "left").select("block", F.expr("IF(idx < 0, -1 - idx, idx)").alias("idx"), ids)
-    single = {ord(p): i for i, p, _ in pieces.rows if len(p) == 1}
-    found = found.mapInArrow(_packed(single, pieces.byte_ids), "block bigint, paths binary").groupBy("block")
-    # Each side is a stage of its own, so that both scans see the same partition numbers.
-    payload = rows.mapInArrow(_blocks(pieces, False, kind), _PAYLOAD_DDL).groupBy("block")
-    return payload.cogroup(found).applyInArrow(_assembled, "doc_id bigint, n_units bigint, ids array<int>")
+    paths = fold(lattice(words.select("k", "unit"), pieces, shortest)).withColumnRenamed("k", "of")
+    found = (
+        dealt.filter(_stays(F.col("k") < 0)).groupBy("k").cogroup(paths.groupBy("of"))
+        .applyInArrow(_returned(pieces), "k bigint, bucket bigint, data binary")
+    )
+    # A block's documents lie where the exchange put them; only paths travel once more.
+    return dealt.filter(_stays(F.col("k") >= 0)).groupBy("k").cogroup(found.groupBy("k")).applyInArrow(_assembled, "doc_id bigint, n_units bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
