@@ -377,7 +377,7 @@ def _returned(pieces: Pieces):
         # Units without any edge are single characters, or fall into single characters.
         own = [x.as_py().decode().split(" ") for x in packs.column("data")]
         lone = sorted({u for us in own for u in us if u not in at})
-        at.update((u, len(at) + i) for i, u in enumerate(lone))
+        at.update((u, paths.num_rows + i) for i, u in enumerate(lone))
         ids = np.concatenate([ids, np.array([-ord(c) for u in lone for c in u], np.int32)]).astype(np.int32)
         lens = np.concatenate([lens, np.array([len(u) for u in lone], np.int64)]).astype(np.int64)
         ids, lens = _spelled(ids, lens, pieces)

@@ -9,7 +9,7 @@ from .common import edge_docs, on_disk
 
 
 def test_encoding_equals_the_library_and_decodes_back(spark, tmp_path):
-    texts = ["the quick brown fox", "  two  spaces ", "naïve Straße\n\ttab", "漢字🙂x", "a" * 100, "Zażółć gęślą jaźń", "x▁y"]
+    texts = ["the quick brown fox", "  two  spaces ", "naïve Straße\n\ttab", "漢字🙂x", "a" * 100, "Zażółć gęślą jaźń", "x▁y", "漢 字 ж ю 🙂 ☃ x"]
     docs = on_disk(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path)
     library = sentencepiece.SentencePieceProcessor(model_file=sl.MODEL)
     encoded = sl.encode(docs)
