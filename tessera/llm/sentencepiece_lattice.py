@@ -21,7 +21,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest unit in characters that the lattice takes. Longer ones part only where no piece crosses.
 UNIT = 128
 #: Text bytes of a block, whose distinct units are looked up once.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Documents of a block whose ids are put together at once.
 _ASSEMBLED = 256
 #: Partitions of units for each one that the session's shuffles have.
@@ -457,25 +457,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     No ids (or null): the empty text. Ids of control pieces give nothing; bytes that are no UTF-8 are replaced.
     """
-    decoded = load(model).decoded
-
-    def run(batches):
-        data = np.frombuffer(b"".join(decoded), np.uint8)
-        size = np.array([len(x) for x in decoded])
-        start = np.cumsum(size) - size
-        for batch in batches:
-            for i in range(0, batch.num_rows, _ASSEMBLED):
-                some = batch.slice(i, _ASSEMBLED)
-                lists = some.column("ids")
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                raw = data[np.repeat(start[ids], size[ids]) + _within(size[ids])].tobytes()
-                lens = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(lens)].tolist()
-                texts, a = [], 0
-                for b in ends:
-                    texts.append(raw[a + raw.startswith(b" ", a, b) : b].decode("utf-8", "replace"))
-                    a = b
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
-
+    # One constant, which the optimizer folds into an array; pieces as hex, since single bytes are no strings.
+    pieces = F.split(F.lit(",".join(x.hex() for x in load(model).decoded)), ",")
+    raw = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), ""))
+    text = F.make_valid_utf8(F.coalesce(raw, F.lit(b"")).cast("string"))
     rows = encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+    return rows.select("doc_id", "ids", text.alias("text")).withColumn("text", F.expr("IF(startswith(text, ' '), substring(text, 2), text)"))
