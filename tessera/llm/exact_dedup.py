@@ -1,12 +1,12 @@
 """Exact dedup: tree-merge of sorted digest runs, in DataFrame operations alone."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Leaf runs, and how many runs one round merges: 64 -> 8 -> 1.
-RUNS, FAN_IN = 64, 8
+#: Leaf runs, a power of two: each round merges neighbours, 32 -> 16 -> 8 -> 4 -> 2 -> 1.
+RUNS = 32
 #: A digest run's key. Equal texts agree in all three; the last two verify the first.
 _KEY = ["sha", "n_bytes", "check"]
 
@@ -18,9 +18,10 @@ def folded(text: Column) -> Column:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id``, leaf ``run`` and digest key of every row; a null text counts as empty."""
+    """``doc_id``, ``tag`` (a number of its own), leaf ``run`` and digest key of every row; a null text counts as empty."""
     return docs.select("doc_id", folded(F.col("text")).alias("t")).select(
         "doc_id",
+        F.monotonically_increasing_id().alias("tag"),
         F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
         F.unhex(F.sha2("t", 256)).alias("sha"),
         F.octet_length("t").alias("n_bytes"),
@@ -28,41 +29,50 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """One row per run and digest key, as a sorted run: the smallest doc_id and the number of documents."""
-    return (
-        rows.groupBy("run", *_KEY)
-        .agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-        .sortWithinPartitions("run", *_KEY)
-    )
+def leaves(rows: DataFrame) -> DataFrame:
+    """``run``, digest key, ``first`` (order, doc_id and tag of the row that stays so far) and rows ``n``: a row per run and digest."""
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    return rows.groupBy("run", *_KEY).agg(F.min(first).alias("first"), F.count("*").alias("n"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """One round: neighbouring runs meet, sorted by digest, and a pass over that order keeps the first of equal digests.
+
+    An exchange brings the pieces of two runs together by digest; sorting them is the multiway merge, and the
+    window reads its order without a further sort. All of the digest key has to agree, not the digest alone.
+    """
+    met = runs.withColumn("run", (F.col("run") / 2).cast("int")).repartition("run", "sha")
+    met = met.sortWithinPartitions("run", *_KEY, "first")
+    ordered = Window.partitionBy("run", *_KEY).orderBy("first")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = met.withColumn("place", F.row_number().over(ordered)).withColumn("n", F.sum("n").over(whole))
+    return met.filter("place = 1").drop("place")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Groups of equal texts: ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row.
 
     Texts are equal when identical after each run of white space became one space. Documents are dealt
-    to leaf runs by a hash of doc_id, so a digest that a third of all rows share is spread over all
-    runs. Each binomial round sends ``FAN_IN`` neighbouring runs to their parent, where equal digests
-    meet and the smallest doc_id is retained, verified by length and a second hash. Winners go down the
-    same tree: first to the leaf runs, at most one row per run and digest, then to the run's documents.
+    to leaf runs by a hash of doc_id, and a run has one row a digest, so one that a third of all rows
+    share is a row a run. Binomial rounds merge neighbouring sorted runs, retaining at every level the
+    smallest doc_id of each digest, verified by length and a second hash. Winners go down the same
+    tree: first to the leaf runs, at most one row per run and digest, then to the run's documents.
 
     Null text: as empty. Null doc_id: never preferred, kept only where its whole group has none.
-    Repeated rows of one doc_id: each is returned, and each counts in group_size. Empty table: no rows.
-    Other columns are ignored.
+    Repeated rows of one doc_id: each is returned, each counts in group_size, and one of them at most is kept.
+    Empty table: no rows. Other columns are ignored.
     """
     rows = cut(digest_rows(docs))
-    leaves = merged(rows.withColumn("least", F.col("doc_id")).withColumn("n", F.lit(1).cast("bigint")))
-    level, runs = leaves, RUNS
-    while runs > 1:
-        runs = -(-runs // FAN_IN)
-        level = merged(level.withColumn("run", (F.col("run") / FAN_IN).cast("int")))
-    winners = level.select(*_KEY, F.col("least").alias("keep_id"), F.col("n").alias("group_size"))
-    down = leaves.select("run", *_KEY).join(winners, _KEY)
+    leaf = level = leaves(rows)
+    for _ in range(RUNS.bit_length() - 1):
+        level = merged(level)
+    winners = level.select(*_KEY, "first", "n")
+    down = leaf.select("run", *_KEY).join(winners, _KEY)
     return rows.join(down, ["run", *_KEY]).select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("first.doc_id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        (F.col("tag") == F.col("first.tag")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -70,6 +80,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
      g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
+SELECT doc_id, keep_id, group_size, 
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM t JOIN g USING (t)
 """
