@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -16,8 +16,9 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Longest context in bytes, hash slots of each order's counts, and the weight of the shorter context.
-ORDER, SLOTS, BACKOFF = 5, 1 << 15, 2.0
+#: Longest context in bytes. A context stays in a model if at least one byte in so many of its class follows it,
+#: so each order has at most that many contexts at any number of pages.
+ORDER, SHARE = 5, 1 << 14
 #: One accepted or rejected URL in so many calibrates the threshold instead of training.
 CALIBRATE = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,95 +45,147 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def contexts(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash slots ``(order, byte)`` of each byte's context alone and with the byte, and each byte's URL."""
-    data = np.frombuffer(b"".join(b"\x02" * ORDER + u + b"\x03" for u in urls), np.uint8).astype(np.uint64)
+_BYTE, _CONTEXT = np.int64(8), np.int64(48)
+
+
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``order, context, byte`` of each byte at each order, as one number (order, byte), and each byte's URL.
+
+    A start mark stands before each URL and an end mark after it. The nearest byte of a context is its
+    lowest, so a mask gives the shorter context.
+    """
+    data = np.frombuffer(b"".join(b"\x02" * ORDER + u + b"\x03" for u in urls), np.uint8).astype(np.int64)
     lens = np.fromiter(map(len, urls), np.int64, len(urls)) + 1
     of = np.repeat(np.arange(len(urls)), lens)
     at = np.arange(len(of)) + ORDER * (of + 1)
-    before, joint = [], []
-    h = np.zeros(len(of), np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    context, out = np.zeros(len(of), np.int64), []
     for n in range(ORDER + 1):
         if n:
-            h = (h + data[at - n] + np.uint64(1)) * np.uint64(0x100000001B3)
-        before.append((h + np.uint64(n)) * mix >> np.uint64(64 - 15))
-        joint.append((h * np.uint64(257) + data[at] + np.uint64(n + 7)) * mix >> np.uint64(64 - 15))
-    return np.array(before, np.int64), np.array(joint, np.int64), of
+            context = context | data[at - n] << np.int64(8 * (n - 1))
+        out.append(np.int64(n) << _CONTEXT | context << _BYTE | data[at])
+    return np.array(out), of
 
 
-def log_likelihood(counts: np.ndarray, urls: list[bytes]) -> np.ndarray:
-    """Mean log-probability of a byte of each URL in each class.
+class Markov:
+    """A smoothed Markov model of variable order over bytes, from counts by ``grams``' numbers.
 
-    ``counts``: (class, context alone / with the byte, order, slot). Each order is smoothed with the
-    next shorter one, so rare contexts fall back: the model's order varies with what was seen.
+    Witten-Bell: a context gives its unseen bytes the weight of its number of distinct bytes, shared as
+    the next shorter context has it; bytes in no context at all are equally likely. A context that the
+    counts lack passes on to the shorter one. The probabilities of all bytes after a context sum to one.
     """
-    before, joint, of = contexts(urls)
-    out = np.zeros((len(counts), len(urls)))
-    for c, (alone, both) in enumerate(counts):
-        p = np.full(len(of), 1 / 256)
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, counts = keys[order], counts[order]
+        self.contexts, of = np.unique(self.keys >> _BYTE, return_inverse=True)
+        total, kinds = np.bincount(of, counts, len(self.contexts)), np.bincount(of, minlength=len(self.contexts))
+        self.unseen = kinds / (total + kinds)
+        self.p = np.zeros(len(keys))
         for n in range(ORDER + 1):
-            p = (np.minimum(both[n][joint[n]], alone[n][before[n]]) + BACKOFF * p) / (alone[n][before[n]] + BACKOFF)
-        out[c] = np.bincount(of, np.log(p), len(urls))  # every URL has at least its end
-    return out / (np.fromiter(map(len, urls), np.int64, len(urls)) + 1)
+            a, b = np.searchsorted(self.keys, [n << int(_CONTEXT), (n + 1) << int(_CONTEXT)])
+            mine = of[a:b]
+            shorter = self.prob(self.shorter(self.keys[a:b], n), n - 1)
+            self.p[a:b] = counts[a:b] / (total[mine] + kinds[mine]) + self.unseen[mine] * shorter
+
+    @staticmethod
+    def shorter(keys: np.ndarray, n: int) -> np.ndarray:
+        """The same bytes after contexts without their farthest byte (of order ``n``)."""
+        bits = 8 * max(n, 1)
+        return (keys & np.int64((1 << bits) - 1)) | np.int64(max(n - 1, 0)) << _CONTEXT
+
+    def prob(self, keys: np.ndarray, n: int = ORDER) -> np.ndarray:
+        """Probability of each byte after its context of order ``n``."""
+        if n < 0:
+            return np.full(len(keys), 1 / 256)
+        out, at = np.empty(len(keys)), np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        seen = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out[seen] = self.p[at[seen]]
+        rest = np.flatnonzero(~seen)
+        if len(rest):
+            some = keys[rest]
+            out[rest] = self.prob(self.shorter(some, n), n - 1)
+            if len(self.contexts):
+                at = np.minimum(np.searchsorted(self.contexts, some >> _BYTE), len(self.contexts) - 1)
+                known = self.contexts[at] == some >> _BYTE
+                out[rest[known]] *= self.unseen[at[known]]
+        return out
+
+
+def log_likelihood(models: list[Markov], urls: list[bytes]) -> np.ndarray:
+    """Mean log-probability of a byte of each URL (its end counts as one) under each model."""
+    keys, of = grams(urls)
+    sums = [np.bincount(of, np.log(m.prob(keys[ORDER])), len(urls)) for m in models]
+    return np.array(sums) / (np.fromiter(map(len, urls), np.int64, len(urls)) + 1)
 
 
 def _counted(batches):
-    counts = np.zeros((2, 2, ORDER + 1, SLOTS), np.int64)
     for batch in slices(batches, "url", 1 << 20):
         kind = batch.column("accepted").to_numpy(zero_copy_only=False).astype(bool)
         urls = text_bytes(batch, "url")
-        for c in (0, 1):
+        for c in (False, True):
             mine = [u for u, k in zip(urls, kind, strict=True) if k == c]
             if mine:
-                before, joint, _ = contexts(mine)
-                for n in range(ORDER + 1):
-                    counts[c, 0, n] += np.bincount(before[n], minlength=SLOTS)
-                    counts[c, 1, n] += np.bincount(joint[n], minlength=SLOTS)
-    at = np.flatnonzero(counts)
-    for i in range(0, len(at), 50_000):
-        part = at[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts.ravel()[part])], names=["at", "n"])
-
-
-def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """Counts of both classes over all of ``url, accepted`` and the threshold that parts them best.
-
-    The counts' size is fixed by orders and slots. The threshold is the midpoint of the log-likelihood
-    differences with the best balanced accuracy on the URLs kept out of training, in bins of
-    ``_WIDTH`` (0 where either class is missing).
+                keys, n = np.unique(grams(mine)[0], return_counts=True)
+                for i in range(0, len(keys), 50_000):
+                    some = slice(i, i + 50_000)
+                    columns = [pa.array(np.full(len(keys[some]), c)), pa.array(keys[some] >> _BYTE), pa.array(keys[some]), pa.array(n[some])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["accepted", "context", "key", "n"])
+
+
+def counted(labelled: DataFrame, share: int = SHARE) -> DataFrame:
+    """``accepted, key, n``: exact counts of bytes after the contexts that a class's model keeps, over all of ``url, accepted``.
+
+    A context is kept if more than one byte, and one in ``share`` of the class's bytes or more, follows it: a share
+    of the data, so the kept contexts don't depend on its size, and an order has at most ``share`` of them.
+    """
+    seen = labelled.mapInArrow(_counted, "accepted boolean, context bigint, key bigint, n bigint")
+    # Counts of a context meet in one place, at most one row a byte, and its total needs no further exchange.
+    seen = seen.repartition("accepted", "context").groupBy("accepted", "context", "key").agg(F.sum("n").alias("n"))
+    seen = seen.withColumn("total", F.sum("n").over(Window.partitionBy("accepted", "context")))
+    bytes_ = labelled.groupBy("accepted").agg(F.sum(F.octet_length("url") + 1).alias("bytes"))
+    # Two classes at most.
+    kept = seen.join(F.broadcast(bytes_), "accepted").filter((F.col("total") > 1) & (F.col("total") * share >= F.col("bytes")))
+    return kept.select("accepted", "key", "n")
+
+
+def fit(labelled: DataFrame) -> tuple[list[Markov], float]:
+    """Models of rejected and accepted URLs over all of ``url, accepted``, and the threshold that parts them best.
+
+    The threshold is the midpoint of the log-likelihood differences with the best balanced accuracy on the
+    URLs kept out of training, in bins of ``_WIDTH`` (0 where either class is missing).
     """
     aside = F.pmod(F.xxhash64("url"), F.lit(CALIBRATE)) == 0
     rows = labelled.filter(F.col("url").isNotNull()).select("url", "accepted")
-    sums = rows.filter(~aside).mapInArrow(_counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    counts = np.zeros(2 * 2 * (ORDER + 1) * SLOTS)
-    table = sums.toPandas()
-    counts[table["at"].to_numpy()] = table["n"].to_numpy()
-    counts = counts.reshape(2, 2, ORDER + 1, SLOTS)
-    scores = scored(rows.filter(aside), counts)
+    # Bounded by ORDER and SHARE, not by the pages.
+    table = counted(rows.filter(~aside)).toArrow()
+    kind, keys, n = (table.column(c).to_numpy() for c in ("accepted", "key", "n"))
+    models = [Markov(keys[kind == c], n[kind == c]) for c in (False, True)]
+    scores = scored(rows.filter(aside), models)
     bin_ = F.greatest(F.lit(-_BINS), F.least(F.lit(_BINS), F.floor(F.col("score") / _WIDTH))).cast("int").alias("bin")
     seen = scores.groupBy(bin_, "accepted").count().collect()
     shares = np.zeros((2, 2 * _BINS + 1))
     for r in seen:
         shares[int(r.accepted), r.bin + _BINS] = r["count"]
     if not shares.sum(axis=1).all():
-        return counts, 0.0
+        return models, 0.0
     shares /= shares.sum(axis=1, keepdims=True)
     # Blocked if under the edge: rejected URLs below it and accepted ones not below it are right.
     right = np.append(0, shares[0].cumsum()) - np.append(0, shares[1].cumsum())
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    return counts, float((best.mean() - _BINS) * _WIDTH)
+    return models, float((best.mean() - _BINS) * _WIDTH)
 
 
-def scored(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+def scored(rows: DataFrame, models: list[Markov]) -> DataFrame:
     """``rows`` with ``score``: accepted less rejected log-likelihood, a byte (0 for a null URL)."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+    shared = rows.sparkSession.sparkContext.broadcast([vars(m) for m in models])
 
     def run(batches):
-        counts = shared.value.astype(np.float64)
+        models = [Markov.__new__(Markov) for _ in shared.value]
+        for model, arrays in zip(models, shared.value, strict=True):
+            vars(model).update(arrays)
         for batch in slices(batches, "url", 1 << 20):
             urls = text_bytes(batch, "url")
-            ll = log_likelihood(counts, [u or b"" for u in urls])
+            ll = log_likelihood(models, [u or b"" for u in urls])
             score = np.where([u is None for u in urls], 0.0, ll[1] - ll[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
@@ -158,8 +211,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         verdict = F.when(F.col("rule") == text, kind).otherwise(verdict)
     rows = rows.withColumn("ruled", verdict)
     ruled = rows.filter("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("accepted"))
-    counts, threshold = fit(ruled)
+    models, threshold = fit(ruled)
     model = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return scored(rows, counts).select(
+    return scored(rows, models).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"), "score"
     )

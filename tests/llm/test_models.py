@@ -1,3 +1,7 @@
+import os
+from collections import Counter
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,9 +116,69 @@ def test_url_models_part_what_they_have_seen(spark):
     assert by[1000].rule is None and by[1000].verdict == "allow" and by[1001].verdict == "block"
 
 
-def test_url_log_likelihood_by_hand():
-    counts = np.zeros((1, 2, urlfilter.ORDER + 1, urlfilter.SLOTS))
-    assert np.allclose(urlfilter.log_likelihood(counts, [b"ab", b""]), np.log(1 / 256))
+_URLS = ["http://a.com/x", "http://a.com/y", "https://b.net/es/1?q=é", "http://a.com/x", "", "http://bb.com/xyz"]
+
+
+def _seen(urls, share):
+    """Counts of (context, byte) of each order by plain dictionaries, pruned as the model prunes them."""
+    counts, total = Counter(), 0
+    for url in urls:
+        data = b"\x02" * urlfilter.ORDER + url.encode() + b"\x03"
+        for at in range(urlfilter.ORDER, len(data)):
+            total += 1
+            for n in range(urlfilter.ORDER + 1):
+                counts[data[at - n : at], data[at]] += 1
+    of = Counter()
+    for (context, _), n in counts.items():
+        of[context] += n
+    return {(c, b): n for (c, b), n in counts.items() if of[c] > 1 and of[c] * share >= total}
+
+
+def _witten_bell(counts, context, byte):
+    mine = {b: n for (c, b), n in counts.items() if c == context}
+    shorter = _witten_bell(counts, context[1:], byte) if context else 1 / 256
+    return (mine.get(byte, 0) + len(mine) * shorter) / (sum(mine.values()) + len(mine)) if mine else shorter
+
+
+@pytest.mark.parametrize("share", [1 << 14, 12])
+def test_url_counts_and_probabilities_equal_brute_force(spark, share):
+    rows = [(u, k) for k in (False, True) for u in _URLS[k:]]
+    found = urlfilter.counted(spark.createDataFrame(rows, "url string, accepted boolean").repartition(3), share).toPandas()
+    for kind in (False, True):
+        mine = found[found["accepted"] == kind]
+        model = urlfilter.Markov(mine["key"].to_numpy(), mine["n"].to_numpy())
+        counts = _seen(_URLS[kind:], share)
+        assert sorted(mine["n"]) == sorted(counts.values())
+        urls = [b"http://a.com/x", b"ftp://a.com", "ü".encode(), b""]
+        got = urlfilter.log_likelihood([model], urls)[0]
+        for url, one in zip(urls, got, strict=True):
+            data = b"\x02" * urlfilter.ORDER + url + b"\x03"
+            logs = [np.log(_witten_bell(counts, data[at - urlfilter.ORDER : at], data[at])) for at in range(urlfilter.ORDER, len(data))]
+            assert one == pytest.approx(np.mean(logs))
+        # After every context, seen or not, the probabilities of all bytes sum to one.
+        keys = urlfilter.grams([u.encode() for u in _URLS] + [b"qqqqqqqqq"])[0][urlfilter.ORDER]
+        for context in np.unique(keys >> 8).tolist():
+            assert model.prob(np.arange(256) | context << 8).sum() == pytest.approx(1)
+
+
+def test_url_models_without_evidence_tell_nothing():
+    none = urlfilter.Markov(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert np.allclose(urlfilter.log_likelihood([none], [b"ab", b""]), np.log(1 / 256))
+
+
+def test_url_parts_and_rules_equal_sql_on_all_pages(spark):
+    sf = os.environ.get("TESSERA_TEST_SF", "/root/testdata/sf0.001")
+    sql = r"""
+    WITH h AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host,
+                      regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM '{}/pages.parquet'),
+         r AS (SELECT unnest(['com/', 'example.com/en/', 'www.example.com/en/', 'net/es/', 'net/fr/']) AS rule),
+         s AS (SELECT rule, split_part(rule, '/', 1) AS domain, substr(rule, strpos(rule, '/')) AS start FROM r)
+    SELECT page_id, host, path, (SELECT arg_max(rule, len(rule)) FROM s
+                                 WHERE ('.' || host) LIKE '%.' || domain AND starts_with(path, start)) AS rule
+    FROM h
+    """.format(sf)
+    found = urlfilter.judge(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, duckdb.sql(sql).fetchall()))
 
 
 def test_network_gradients_and_probabilities():
