@@ -1,5 +1,7 @@
 """What several operators share: words, folds, and cutting lineage in the cluster's shared folder."""
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,16 +12,22 @@ from pyspark.sql import functions as F
 
 #: White space that parts words; everything else belongs to a word. Fixed by the contracts.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Parts that the rows of one key are dealt to, see ``met``.
+SALTS = 64
 _SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``, or the one that the context was given; on one machine, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and given.isDefined():
+        folder = given.get()
     if not folder:
-        folder = "/tmp/checkpoints/tessera"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -32,10 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` checkpointed (files go when the frame does): for loops."""
-    shared_dir(df.sparkSession)
+    folder = shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def met(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``facts`` (one row a ``key``), where one key may hold a third of all rows.
+
+    A key's rows are dealt to ``SALTS`` parts by a hash of ``by``. Facts go down to the parts that exist, of which
+    each key has ``SALTS`` at most, and from a part to its rows. ``rows`` is read twice.
+    """
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = rows.groupBy(key, "_part").agg(F.lit(1).alias("_one")).drop("_one").join(facts, key)
+    return rows.join(parts, [key, "_part"]).drop("_part")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that nothing is learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

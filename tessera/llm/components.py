@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, met
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -12,9 +12,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # The minimum is aggregated before the join, so that a node with very many links is never one task's work.
+    # The minimum is aggregated before the join, and comes back in parts: a node with very many links is never one task's work.
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = around.join(least, "a")
+    moved = met(around, least, "a", "b")
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices, text_bytes
+from tessera.llm.common import cut, met, slices, text_bytes
 from tessera.llm.components import components
 
 BITS, SEED = 64, 42
@@ -69,6 +69,13 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _rank(fp: Column) -> Column:
+    """``gray_rank`` as a column."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp
+
+
 def masks(n: int, most: int) -> list[int]:
     """Top patterns' masks: any two fingerprints within ``most`` bits agree under at least one of them.
 
@@ -219,16 +226,13 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     ``fps`` holds distinct ``fp``. Top nodes of the index are masked patterns, so placed that any link
     lies under one of them. Under a top node, fingerprints in Gray order fill leaves of ``LEAF``; each
     leaf keeps the bits that all of it shares. A top node with many leaves is range-partitioned like the
-    rest, and its pairs of leaves are formed only where the shared bits differ in ``most`` or fewer.
+    rest; its leaves have upper nodes, and pairs of leaves are found by going down from these.
     A leaf or a pair of leaves gives a forest of its links, so output stays linear in fingerprints.
     """
     n = fps.count()
     tops = masks(n, most)
     top = F.explode(F.array(*[F.lit(_signed(m)) for m in tops])).alias("mask")
-    rank = F.col("fp")
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    rows = fps.select("fp", rank.alias("rank")).select("fp", "rank", top)
+    rows = fps.select("fp", _rank(F.col("fp")).alias("rank")).select("fp", "rank", top)
     rows = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
     # Only a pattern that some other fingerprint has too can hold a link.
     shared = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -236,17 +240,47 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     rows = rows.sortWithinPartitions("mask", "pattern", "rank").select("mask", "pattern", "fp")
     leaves = cut(rows.mapInArrow(_leaves(LEAF), _LEAF_DDL))
     inside = leaves.select("fps").mapInArrow(_inside(most), "a bigint, b bigint")
-    other = leaves.select("mask", "pattern", *[F.col(c).alias(f"{c}2") for c in ("leaf", "value", "shared", "fps")])
-    apart = F.bit_count(F.expr("(value ^ value2) & shared & shared2"))
-    between = (
-        leaves.join(other, ["mask", "pattern"])
-        .filter((F.col("leaf") < F.col("leaf2")) & (apart <= most))
-        .select("fps", "fps2")
-        .mapInArrow(_between(most), "a bigint, b bigint")
-    )
+    order = Window.partitionBy("mask", "pattern").orderBy(_rank(F.col("leaf")))
+    heads = cut(leaves.select("mask", "pattern", "leaf", "value", "shared", (F.row_number().over(order) - 1).alias("node")))
+    near = _near_leaves(heads, most)
+    blobs = heads.select("mask", "pattern", "leaf", "node").join(leaves.select("mask", "pattern", "leaf", "fps"), ["mask", "pattern", "leaf"])
+    blobs = blobs.select("mask", "pattern", "node", "fps")
+    near = near.join(blobs, ["mask", "pattern", "node"])
+    near = near.join(blobs.select("mask", "pattern", F.col("node").alias("node2"), F.col("fps").alias("fps2")), ["mask", "pattern", "node2"])
+    between = near.select("fps", "fps2").mapInArrow(_between(most), "a bigint, b bigint")
     return inside.unionByName(between).distinct()
 
 
+def _near_leaves(heads: DataFrame, most: int) -> DataFrame:
+    """``mask, pattern, node, node2``: pairs of leaves of one top node that differ in ``most`` shared bits or fewer.
+
+    ``FANOUT`` neighbouring nodes have a parent that holds the bits they share, up to one level of at most ``FANOUT``
+    nodes under a top node. Pairs go down from there; a pair of nodes that is too far apart ends with all below it.
+    """
+    key = ["mask", "pattern"]
+    most_nodes = (heads.agg(F.max("node")).first()[0] or 0) + 1
+    levels = [heads.select(*key, "node", "value", "shared")]
+    while most_nodes > FANOUT:
+        most_nodes = -(-most_nodes // FANOUT)
+        zeros = F.expr("bit_and(~value & shared)")
+        up = levels[-1].groupBy(*key, F.expr(f"node div {FANOUT}").cast("int").alias("node")).agg(F.bit_and("value").alias("value"), zeros.alias("zeros"))
+        levels.append(up.select(*key, "node", "value", F.expr("value | zeros").alias("shared")))
+    pairs, leaf = None, len(levels) - 1
+    for level in reversed(levels):
+        left = level.withColumn("up", F.expr(f"node div {FANOUT}").cast("int"))
+        right = left.select(*key, *[F.col(c).alias(f"{c}2") for c in ("up", "node", "value", "shared")])
+        if pairs is None:
+            pairs = left.join(right, key)
+        else:
+            pairs = pairs.join(left, [*key, "up"]).join(right, [*key, "up2"])
+        apart = F.bit_count(F.expr("(value ^ value2) & shared & shared2"))
+        # A leaf with itself is done inside; an upper node has pairs of its own children.
+        pairs = pairs.filter((F.col("node") < F.col("node2") if not leaf else F.col("node") <= F.col("node2")) & (apart <= most))
+        pairs = pairs.select(*key, "node", "node2") if not leaf else pairs.select(*key, F.col("node").alias("up"), F.col("node2").alias("up2"))
+        leaf -= 1
+    return pairs
+
+
 def members(docs: DataFrame, shingle: int = 4, most: int = 4, key: Column | None = None) -> DataFrame:
     """``doc_id, fp, component, component_id`` (and ``key``) of every row.
 
@@ -255,12 +289,14 @@ def members(docs: DataFrame, shingle: int = 4, most: int = 4, key: Column | None
     prints = cut(fingerprints(docs, shingle, key))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = cut(links(nodes.select("fp"), most))
-    label = components(found)
-    nodes = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left")
-    nodes = nodes.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = nodes.join(least, "component").select("fp", "component", "component_id")
-    return prints.join(member, "fp")
+    label = components(found).withColumnRenamed("node", "fp")
+    nodes = cut(nodes.join(label, "fp", "left"))
+    # Most nodes have no link and are components of their own; only the others ask for their component's smallest.
+    linked = nodes.filter("component IS NOT NULL")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = met(linked, ids, "component", "fp").select("fp", "component", "component_id")
+    alone = nodes.filter("component IS NULL").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"))
+    return met(prints, linked.unionByName(alone), "fp", "doc_id")
 
 
 def near_dups(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
