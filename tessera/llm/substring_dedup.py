@@ -10,7 +10,7 @@ from tessera.llm.common import cut, slices, text_bytes
 from tessera.llm.recompression import window_hashes, witnesses
 
 #: Words of a window; documents under one symbol from which on its windows are salted.
-WINDOW, HOT = 50, 1000
+WINDOW, HOT = 50, 200
 #: Windows of one row on their way to each other; their places are the bits of one number.
 RUN = 60
 _CACHE = 400_000
