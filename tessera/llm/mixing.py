@@ -1,6 +1,6 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, n_words
@@ -14,6 +14,22 @@ SALTS = 64
 _KEY_BITS = 60
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with sums over all rows before each one in ``order``: inside ranges of the order, plus the ranges before.
+
+    Only the ranges' own sums meet in one task, and there are no more of them than shuffle partitions.
+    """
+    dealt = rows.select("*", *[v.alias(k) for k, v in sums.items()]).repartitionByRange(*order)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(k).alias(k) for k in sums])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.join(F.broadcast(ranges), "_range")
+    total = [(F.coalesce(F.sum(k).over(inside), F.lit(0)) + F.col(f"_{k}")).alias(k) for k in sums]
+    return dealt.select(*rows.columns, *total)
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """Target words of each source, from ``skey, source, source_size, docs`` (one row per source).
 
@@ -21,25 +37,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     again by weight. Sources in order of cap over weight reach their caps first, so one pass of running
     sums finds the level at which the rest share: this is what resharing until none is above ends in.
     """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    order = Window.orderBy("ratio", "skey")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("ratio", "skey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weight = F.element_at(
-        F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))) + 1
-    )
-    size = F.col("source_size").cast("double")
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    return (
-        sizes.withColumn("weight", weight)
-        .withColumn("cap", size * epochs)
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "skey", "level"))).over(whole)["level"])
-        .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
-    )
+    named = running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    rows = named.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * epochs)
+    rows = rows.withColumn("ratio", F.col("cap") / F.col("weight"))
+    rows = running(rows, [F.col("ratio"), F.col("skey")], {"caps": F.col("cap"), "weighed": F.col("weight")})
+    whole = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weight"))
+    rows = rows.crossJoin(F.broadcast(whole))  # one row
+    rows = rows.withColumn("level", (F.col("words") - F.col("caps")) / (F.col("all_weight") - F.col("weighed")))
+    shared = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "skey", "level")))["level"]
+    rows = rows.drop("level").crossJoin(F.broadcast(rows.agg(shared.alias("level"))))  # one row
+    return rows.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
