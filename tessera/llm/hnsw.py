@@ -138,9 +138,6 @@ def search(x: np.ndarray, level: np.ndarray, graph: list[np.ndarray], queries: n
     out = []
     for a in range(0, len(queries), _BLOCK):
         q = queries[a : a + _BLOCK]
-        if len(x) <= 4 * width:
-            out.append(np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :width])
-            continue
         entry = np.full((len(q), 1), int(np.argmax(level)))
         for h in range(len(graph) - 1, 0, -1):
             entry = beam(x, graph[h], q, entry, 8)[0][:, :4]
