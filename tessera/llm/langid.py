@@ -113,13 +113,18 @@ def fit(docs: DataFrame) -> Model:
     # PER_LANGUAGE rows a language; with very many languages the ids meet the texts in a shuffle instead.
     ids = F.broadcast(some) if some.count() <= BROADCAST else some
     sample = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("lang", "text")
-    rows = sample.repartition(PARTS).mapInArrow(_counted, "lang string, slots binary, scripts binary")
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in rows.toLocalIterator():
-        a, b = np.frombuffer(r.slots, np.int64), np.frombuffer(r.scripts, np.int64)
-        old = counts.get(r.lang, (0, 0))
-        counts[r.lang] = (old[0] + a, old[1] + b)
-    return Model.of(counts)
+    rows = sample.repartition(PARTS).mapInArrow(_counted, _COUNTS)
+    # Counts meet by language, PARTS rows each; one row a language is the model.
+    sums = rows.groupBy("lang").applyInArrow(_summed, _COUNTS).toArrow().to_pylist()
+    return Model.of({r["lang"]: (np.frombuffer(r["slots"], np.int64), np.frombuffer(r["scripts"], np.int64)) for r in sums})
+
+
+_COUNTS = "lang string, slots binary, scripts binary"
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    sums = {c: sum(np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()).tobytes() for c in ("slots", "scripts")}
+    return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string())} | {c: pa.array([x], pa.binary()) for c, x in sums.items()})
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.ndarray:
