@@ -20,7 +20,7 @@ TOP = CLASSES - BUCKETS
 #: Tokens of a training step and of a scoring step; learning rate; documents of the warm start.
 STEP, SCORE_STEP, RATE, WARM = 4096, 16384, 0.01, 400
 #: Models averaged into one by one task of a round of averaging.
-FAN_IN = 64
+FAN_IN = 8
 _CACHE = 400_000
 _SHAPES = [(CLASSES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, GROUPS), (CLASSES,)]
 
