@@ -39,7 +39,7 @@ def _one_each(docs: DataFrame, winners: DataFrame) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, one row with the smallest doc_id."""
-    kept = exact_dedup.dedup(docs).filter("kept")
+    kept = exact_dedup.dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return _one_each(docs, kept.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n")))
 
 
