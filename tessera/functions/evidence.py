@@ -1,13 +1,38 @@
 """Passages, grounding and typed values."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest passage, longest block that joins its neighbours.
-PASSAGE, CONTEXT = 5500, 600
+from tessera.functions.text import fold, folded_text
+
+#: Longest passage, longest window of short blocks, and longest block that a window takes.
+PASSAGE, CONTEXT, SHORT = 5500, 600, 200
+#: Marks of consent and privacy notices, in folded text. Fixed values.
+PRIVACY = (
+    "administrator danych",
+    "adres e mail",
+    "adres e-mail",
+    "danych osobowych",
+    "inspektor ochrony danych",
+    "polityka prywatnosci",
+    "przetwarzanie danych",
+    "wycofanie zgody",
+    "wyrazam zgode",
+    "zgode na kierowanie",
+)
+#: Marks of navigation, in folded text. Fixed values.
+NAVIGATION = (
+    "automaty vendingowe",
+    "menu",
+    "newsletter",
+    "zaakceptuj cookies",
+)
+_BREAK = re.compile(r"\n[ \t]*\n+|\f")
 #: Characters of a quote that are looked up first, and bits of a slot of their bitmap.
 HEAD, SLOT_BITS = 24, 22
 _PRIME, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
@@ -18,11 +43,13 @@ def idf(df: Column, n: Column) -> Column:
     return 1 + F.log((n + 1) / (df + 1))
 
 
-def boilerplate_penalty(text: Column) -> Column:
-    """Points off for privacy notices, navigation, questions and bare labels."""
-    low = F.lower(text)
-    long_ = low.rlike("privacy|cookie|all rights reserved|license") | low.rlike(r"\| .* \|") | low.endswith("?")
-    return F.when(long_, 100).otherwise(0) + F.when(F.length(text) < 40, 6).otherwise(0)
+def boilerplate_penalty(text: Column, privacy_counts: bool = True) -> Column:
+    """Points off for privacy notices, navigation, bare labels and questions; they add up."""
+    folded = fold(text)
+    privacy = folded.rlike("|".join(PRIVACY)) & F.lit(privacy_counts)
+    label = (F.length(text) <= 60) & ~text.rlike(r"\d") & ~text.contains(":")
+    parts = ((privacy, 100), (folded.rlike("|".join(NAVIGATION)), 100), (label, 6), (F.rtrim(text).endswith("?"), 100))
+    return sum((F.when(hit, points).otherwise(0) for hit, points in parts), F.lit(0))
 
 
 def grounded(quote: Column, passage: Column, start: Column) -> Column:
@@ -30,12 +57,9 @@ def grounded(quote: Column, passage: Column, start: Column) -> Column:
     return F.substring(passage, start + 1, F.length(quote)) == quote
 
 
-def locator(text: Column, start: Column, end: Column) -> Column:
-    """Page by form feeds before the start where there are any, else the characters' range."""
-    before = F.substring(text, F.lit(1), start)
-    feeds = F.length(before) - F.length(F.replace(before, F.lit("\f"), F.lit("")))
-    chars = F.concat(F.lit("chars:"), start.cast("string"), F.lit("-"), end.cast("string"))
-    return F.when(F.instr(text, "\f") > 0, F.concat(F.lit("page:"), F.lpad((feeds + 1).cast("string"), 4, "0"))).otherwise(chars)
+def locator(text: str, start: int, end: int) -> str:
+    """Page by the form feeds before the start where there are any in the text, else the characters' range."""
+    return f"page:{text.count(chr(12), 0, start) + 1:04d}" if "\f" in text else f"chars:{start}-{end}"
 
 
 def value_problem(kind: Column, text: Column, currency: Column) -> Column:
@@ -53,40 +77,50 @@ def value_problem(kind: Column, text: Column, currency: Column) -> Column:
     )
 
 
-def split_passages(text: str, most: int = PASSAGE, context: int = CONTEXT) -> list[tuple[int, int]]:
-    """Ranges of a text: blocks at blank lines and form feeds, long ones cut at a line or sentence end,
-    short neighbours joined into windows of up to ``context`` characters."""
-    ranges, start, n = [], 0, len(text)
-    while start < n:
-        stops = [x for x in (text.find("\n\n", start), text.find("\f", start)) if x >= 0]
-        end = min(stops, default=n)
-        a, b = start, end
-        while a < b:
-            stop = b
-            if b - a > most:
-                piece = text[a : a + most]
-                stop = a + max(piece.rfind("\n") + 1, piece.rfind(". ") + 2, 0) or a + most
-                stop = a + most if stop <= a + 1 else stop
-            lead = len(text[a:stop]) - len(text[a:stop].lstrip())
-            trail = len(text[a:stop].rstrip())
-            if trail > lead:
-                ranges.append((a + lead, a + trail))
-            a = stop
-        start = end + (1 if end < n and text[end] == "\f" else 2)
-    joined: list[tuple[int, int]] = []
-    for a, b in ranges:
-        if joined and b - joined[-1][0] <= context and "\f" not in text[joined[-1][0] : b]:
-            joined[-1] = (joined[-1][0], b)
-        else:
-            joined.append((a, b))
-    return joined
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """A range without white space at its ends."""
+    piece = text[a:b]
+    return a + len(piece) - len(piece.lstrip()), a + len(piece.rstrip())
+
+
+def _cut(text: str, a: int, b: int, most: int) -> list[tuple[int, int]]:
+    """A block in pieces of up to ``most`` characters, broken at a line's or sentence's end in a piece's second half."""
+    out = []
+    while b - a > most:
+        at = max(text.rfind("\n", a, a + most), text.rfind(". ", a, a + most))
+        stop = at + (text[at] == ".") if at - a >= most // 2 else a + most
+        out.append((a, stop))
+        a = stop
+    return [*out, (a, b)]
+
+
+def split_passages(text: str, most: int = PASSAGE, context: int = CONTEXT, short: int = SHORT) -> list[tuple[int, int]]:
+    """Ranges of a text: its blocks, parted by blank lines and form feeds, and windows of neighbouring short blocks.
+
+    A window holds blocks of up to ``short`` characters on one page, ``context`` characters in all; notices and
+    navigation end it and belong to none. Blocks stay passages of their own beside their window.
+    """
+    edges = [0, *(x for m in _BREAK.finditer(text) for x in m.span()), len(text)]
+    bare = [_bare(text, a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    blocks = [_bare(text, *piece) for a, b in bare if a < b for piece in _cut(text, a, b, most)]
+    blocks = [(a, b) for a, b in blocks if a < b]
+    windows: list[tuple[int, int]] = []
+    open_ = False
+    for a, b in blocks:
+        plain = b - a <= short and not any(mark in folded_text(text[a:b]) for mark in (*PRIVACY, *NAVIGATION))
+        if plain and open_ and b - windows[-1][0] <= context and "\f" not in text[windows[-1][1] : a]:
+            windows[-1] = (windows[-1][0], b)
+        elif plain:
+            windows.append((a, b))
+        open_ = plain
+    return sorted({*blocks, *windows})
 
 
 def passage_ranges(batches):
     """``mapInPandas`` over ``doc_id, text``: one row per passage."""
     for batch in batches:
-        rows = [(i, p, a, b, t[a:b]) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if isinstance(t, str) for p, (a, b) in enumerate(split_passages(t))]
-        yield pd.DataFrame(rows, columns=["doc_id", "pos", "start_char", "end_char", "passage"])
+        rows = [(i, p, a, b, t[a:b], locator(t, a, b)) for i, t in zip(batch["doc_id"], batch["text"], strict=True) if isinstance(t, str) for p, (a, b) in enumerate(split_passages(t))]
+        yield pd.DataFrame(rows, columns=["doc_id", "pos", "start_char", "end_char", "passage", "locator"])
 
 
 def window_slots(text: str, length: int) -> np.ndarray:
@@ -143,3 +177,47 @@ def head_places(lengths: list[int], slots: list[int]):
             yield from flush()
 
     return run
+
+
+def page_order(scores: list[int], sample: int = 20) -> list[int]:
+    """Pages in order of interest: those with a score, best first; the first; an even sample; all others."""
+    n, k = len(scores), min(sample, len(scores))
+    ranked = sorted((i for i in range(n) if scores[i] > 0), key=lambda i: (-scores[i], i))
+    even = [round(i * (n - 1) / max(k - 1, 1)) for i in range(k)]
+    return list(dict.fromkeys([*ranked, *range(min(n, 1)), *even, *range(n)]))
+
+
+def chosen_pages(pages: list[str], terms: list[str], most: int) -> tuple[list[int], int, bool]:
+    """Numbers (from 1) of the pages that fit ``most`` characters, the characters that they take, and whether any is cut or left out.
+
+    Each page costs its text, a heading with its number, and a separator between pages. The page that no longer
+    fits is cut, unless fewer than ten characters are left for it; later, shorter ones may still fit.
+    """
+    full = [i for i, p in enumerate(pages) if p.strip()]
+    wanted = set(terms)
+    scores = [len(wanted & set(re.findall(r"[^\W_]+", folded_text(pages[i])))) for i in full]
+    kept, used, cut = [], 0, False
+    for i in (full[j] for j in page_order(scores)):
+        extra = len(f"[PDF page {i + 1}]\n") + (3 if kept else 0)
+        room = most - used - extra
+        if room < 10:
+            continue
+        size = len(pages[i].strip())
+        if size > room:
+            size, cut = len(pages[i].strip()[:room].rstrip()), True
+        kept.append(i + 1)
+        used += extra + size
+        if used >= most:
+            break
+    return sorted(kept), used, cut or len(kept) < len(full)
+
+
+def select_pages(terms: list[str], most: int):
+    """``chosen_pages`` of an array of pages, as a function of columns."""
+
+    @F.pandas_udf("pages array<int>, chars int, truncated boolean")
+    def run(pages: pd.Series) -> pd.DataFrame:
+        rows = [chosen_pages(list(p) if p is not None else [], terms, most) for p in pages]
+        return pd.DataFrame(rows, columns=["pages", "chars", "truncated"])
+
+    return run

@@ -1,10 +1,10 @@
 """The registered queries of the reference's operators: name, Spark plan, DuckDB twin."""
 
-from tessera.plans import directory, evidence, ledger, mutations, product, revenue, scalars, streams
+from tessera.plans import content, directory, evidence, ledger, mutations, product, research, revenue, scalars, streams, workflow
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (product, directory, revenue, scalars, evidence, ledger, mutations, streams):
+for module in (product, directory, revenue, scalars, content, evidence, research, ledger, mutations, workflow, streams):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

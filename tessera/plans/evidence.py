@@ -34,9 +34,8 @@ def passages_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query()
 def passages_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with windows of short neighbours; their text stands at their offsets."""
-    rows = load(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(ev.passage_ranges, "doc_id bigint, pos int, start_char int, end_char int, passage string")
-    return rows.withColumn("locator", F.concat(F.lit("chars:"), "start_char", F.lit("-"), "end_char"))
+    """Blocks and windows of short neighbours, with the page or the range that they stand at."""
+    return load(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(ev.passage_ranges, "doc_id bigint, pos int, start_char int, end_char int, passage string, locator string")
 
 
 @_R.query("""
@@ -54,8 +53,11 @@ WITH p AS (SELECT * FROM {_PASSAGES}), t AS (SELECT unnest({list(_TERMS)}) AS te
  n AS (SELECT count(*) AS n FROM p), df AS (SELECT term, count(*) FILTER (contains(lower(passage), term)) AS df FROM p, t GROUP BY 1),
  s AS (SELECT doc_id, pos, passage, sum(CASE WHEN contains(lower(passage), term) THEN 1 + ln((n + 1) / (df + 1)) ELSE 0 END) AS raw, string_agg(CASE WHEN contains(lower(passage), term) THEN term END, ',' ORDER BY term) AS signature
        FROM p, df, n GROUP BY 1, 2, 3)
-SELECT doc_id, pos, coalesce(signature, '') AS signature, round(raw - (CASE WHEN regexp_matches(lower(passage), 'privacy|cookie|all rights reserved|license') OR regexp_matches(lower(passage), '\\| .* \\|') OR lower(passage) LIKE '%?' THEN 100 ELSE 0 END + CASE WHEN length(passage) < 40 THEN 6 ELSE 0 END), 6) AS score
-FROM s WHERE raw > 0
+SELECT doc_id, pos, coalesce(signature, '') AS signature, round(raw - (
+   CASE WHEN regexp_matches(f, 'administrator danych|adres e mail|adres e-mail|danych osobowych|inspektor ochrony danych|polityka prywatnosci|przetwarzanie danych|wycofanie zgody|wyrazam zgode|zgode na kierowanie') THEN 100 ELSE 0 END
+   + CASE WHEN contains(f, 'automaty vendingowe') OR contains(f, 'menu') OR contains(f, 'newsletter') OR contains(f, 'zaakceptuj cookies') THEN 100 ELSE 0 END
+   + CASE WHEN length(passage) <= 60 AND NOT regexp_matches(passage, '[0-9]') AND NOT contains(passage, ':') THEN 6 ELSE 0 END + CASE WHEN rtrim(passage) LIKE '%?' THEN 100 ELSE 0 END), 6) AS score
+FROM (SELECT *, replace(strip_accents(lower(passage)), 'ł', 'l') AS f FROM s) WHERE raw > 0
 """
 
 
@@ -253,12 +255,13 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query("""
-SELECT conv_id, array_to_string(list_distinct(list(role ORDER BY turn)), ',') IS NOT NULL AS has_roles, count(DISTINCT role) AS roles FROM conversations GROUP BY 1
+SELECT conv_id, string_agg(role, '>' ORDER BY first_, role) AS roles, count(*) AS n FROM (SELECT conv_id, role, min(turn) AS first_ FROM conversations GROUP BY 1, 2) GROUP BY 1
 """)
 def provenance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct sources of each claim, first seen first."""
     ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]))
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.size(ordered) > 0).alias("has_roles"), F.size(ordered).cast("bigint").alias("roles"))
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("roles"))
+    return rows.select("conv_id", F.array_join("roles", ">").alias("roles"), F.size("roles").cast("bigint").alias("n"))
 
 
 @_R.query("""

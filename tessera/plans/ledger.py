@@ -217,10 +217,12 @@ SELECT id, depth, path FROM chain
 """)
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C17, L1: inheritance chains of a small tree, as a recursive relation."""
-    load(spark, sf_dir, "nation").createOrReplaceTempView("tessera_nation")
-    return spark.sql("""
+    return spark.sql(
+        """
       WITH RECURSIVE chain(id, depth, path) AS (
-        SELECT n_nationkey, 0, n_name FROM tessera_nation WHERE n_nationkey = 0
+        SELECT n_nationkey, 0, n_name FROM {nation} WHERE n_nationkey = 0
         UNION ALL
-        SELECT n.n_nationkey, c.depth + 1, concat(c.path, '>', n.n_name) FROM tessera_nation n JOIN chain c ON n.n_nationkey > 0 AND (n.n_nationkey - 1) div 2 = c.id)
-      SELECT id, depth, path FROM chain""")
+        SELECT n.n_nationkey, c.depth + 1, concat(c.path, '>', n.n_name) FROM {nation} n JOIN chain c ON n.n_nationkey > 0 AND (n.n_nationkey - 1) div 2 = c.id)
+      SELECT id, depth, path FROM chain""",
+        nation=load(spark, sf_dir, "nation"),
+    )

@@ -35,26 +35,29 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query("""
-WITH w AS (SELECT doc_id, list_filter(string_split(substr(text, 1, 200), ' '), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM w
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+ f AS (SELECT doc_id, w, min(i) AS i FROM w WHERE w <> '' GROUP BY 1, 2)
+SELECT doc_id, coalesce(md5(string_agg(w, ' ' ORDER BY i)), md5('')) AS words, count(w) AS n FROM documents LEFT JOIN f USING (doc_id) GROUP BY 1
 """)
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """first occurrences in order, blanks dropped."""
+    """first occurrences in order, blanks dropped, as their digest and number."""
     from tessera.functions.text import ordered_distinct as distinct
 
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(distinct(F.split(F.substring("text", 1, 200), " ")), " ").alias("words"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", distinct(F.split("text", " ")).alias("w"))
+    return rows.select("doc_id", F.md5(F.array_join("w", " ").cast("binary")).alias("words"), F.size("w").cast("bigint").alias("n"))
 
 
 @_R.query("""
-WITH a AS (SELECT p_partkey AS k, p_name AS name, 'old' AS origin FROM part WHERE p_partkey % 2 = 0), d AS (SELECT p_partkey AS k, upper(p_name) AS name, 'delta' AS origin FROM part WHERE p_partkey % 3 = 0)
-SELECT coalesce(d.k, a.k) AS k, coalesce(d.name, a.name) AS name, CASE WHEN d.k IS NULL THEN 'inherited' ELSE 'observed' END AS origin FROM a FULL JOIN d USING (k)
+SELECT k, coalesce(arg_max(v, t) FILTER (NOT old), arg_max(v, t) FILTER (old)) AS status, CASE WHEN bool_and(old) THEN 'inherited' ELSE 'observed' END AS origin
+FROM (SELECT o_custkey AS k, o_orderstatus AS v, (o_orderdate, o_orderkey) AS t, o_orderdate < TIMESTAMP '2000-01-01' AS old FROM orders) GROUP BY 1
 """)
 def prior_delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A delta over the prior state; what was not seen again is inherited."""
-    part = load(spark, sf_dir, "part")
-    a = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("old"))
-    d = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.upper("p_name").alias("new"))
-    return a.join(d, "k", "full").select("k", F.coalesce("new", "old").alias("name"), F.when(F.col("new").isNull(), "inherited").otherwise("observed").alias("origin"))
+    """A delta over the prior state; what was not seen again is inherited. The delta is what came since 2000."""
+    orders = load(spark, sf_dir, "orders").withColumn("old", F.expr("o_orderdate < TIMESTAMP '2000-01-01 00:00:00'"))
+    latest = F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey"))
+    state = lambda rows, name: rows.groupBy(F.col("o_custkey").alias("k")).agg(latest.alias(name))
+    merged = state(orders.filter("old"), "prior").join(state(orders.filter("NOT old"), "delta"), "k", "full")
+    return merged.select("k", F.coalesce("delta", "prior").alias("status"), F.when(F.col("delta").isNull(), "inherited").otherwise("observed").alias("origin"))
 
 
 @_R.query("""
@@ -246,14 +249,17 @@ def template_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query("""
-SELECT a.conv_id, a.turn AS pos, a.role AS left_, b.role AS right_ FROM (SELECT * FROM conversations WHERE conv_id % 2 = 0) a JOIN conversations b ON b.conv_id = a.conv_id + 1 AND a.turn = b.turn
+WITH r AS (SELECT conv_id, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS pos FROM conversations),
+ a AS (SELECT * FROM r WHERE role = 'user'), b AS (SELECT * FROM r WHERE role = 'assistant')
+SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pos, b.pos) AS pos, a.n AS asked, b.n AS answered, a.n IS NOT NULL AND b.n IS NOT NULL AS paired FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.pos = b.pos
 """)
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists side by side by position."""
-    rows = load(spark, sf_dir, "conversations")
-    a = rows.filter("conv_id % 2 = 0").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("left_"))
-    b = rows.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turn").alias("pos"), F.col("role").alias("right_"))
-    return a.join(b, ["conv_id", "pos"])
+    """Questions and answers side by side by position; ``paired`` is false where a list is shorter than the other."""
+    w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "role", F.length("text").cast("bigint").alias("n"), F.row_number().over(w).cast("bigint").alias("pos"))
+    a = rows.filter("role = 'user'").select("conv_id", "pos", F.col("n").alias("asked"))
+    b = rows.filter("role = 'assistant'").select("conv_id", "pos", F.col("n").alias("answered"))
+    return a.join(b, ["conv_id", "pos"], "full").withColumn("paired", F.col("asked").isNotNull() & F.col("answered").isNotNull())
 
 
 @_R.query("""

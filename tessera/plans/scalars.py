@@ -10,51 +10,58 @@ from tessera.sources.tables import load
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
 
-_UNACCENT = f"translate(lower(%s), '{text.ACCENTS}', '{text.PLAIN}')"
-_HEAD = "substr(text, 1, 80)"
-_SLUG = f"trim(regexp_replace(regexp_replace({_UNACCENT % _HEAD}, '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"
+_SLUG = "trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@_R.query(f"SELECT doc_id, CASE WHEN {_SLUG} = '' THEN 'item' ELSE {_SLUG} END AS slug, replace(replace(CASE WHEN {_SLUG} = '' THEN 'item' ELSE {_SLUG} END, '-', ''), 'plus', '') AS identity FROM documents")
+@_R.query(f"""
+WITH s AS (SELECT doc_id, CASE WHEN {_SLUG} = '' THEN 'item' ELSE {_SLUG} END AS slug FROM documents)
+SELECT doc_id, md5(slug) AS slug, md5(replace(replace(slug, '-', ''), 'plus', '')) AS identity FROM s
+""")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slug and identity key of each title (the text's first 80 characters)."""
-    title = F.substring("text", 1, 80)
-    return load(spark, sf_dir, "documents").select("doc_id", text.slugify(title).alias("slug"), text.identity_key(title).alias("identity"))
+    """Slug and identity key of each text, as their digests."""
+    digest = lambda c: F.md5(c.cast("binary"))
+    return load(spark, sf_dir, "documents").select("doc_id", digest(text.slugify(F.col("text"))).alias("slug"), digest(text.identity_key(F.col("text"))).alias("identity"))
+
 
+_FOLD = "replace(replace(strip_accents(lower(text)), 'ł', 'l'), 'ß', 'ss')"
 
-@_R.query(f"SELECT doc_id, md5(replace(translate({_UNACCENT % 'text'}, 'ł', 'l'), 'ß', 'ss')) AS folded FROM documents")
+
+@_R.query(f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded text, as its digest."""
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 @_R.query(f"""
-SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(replace(translate({_UNACCENT % 'text'}, 'ł', 'l'), 'ß', 'ss'), '[a-z0-9]+'), lambda x: length(x) >= 3))) AS n_words FROM documents
+SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all({_FOLD}, '[a-z0-9]+'), lambda x: length(x) >= 3))) AS n_words FROM documents
 """)
 def fold_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of distinct folded words."""
     return load(spark, sf_dir, "documents").select("doc_id", F.size(text.words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
-_STEM = "CASE " + " ".join(f"WHEN w LIKE '%{e}' AND length(w) >= {len(e) + 4} THEN substr(w, 1, length(w) - {len(e)})" for e in text.ENDINGS) + " ELSE w END"
+_STEM = """
+CASE WHEN length(w) < 5 THEN w ELSE coalesce(substr(w, 1, length(w) - length(list_filter(
+  ['owego', 'owej', 'ami', 'ach', 'ego', 'emu', 'owie', 'owa', 'owe', 'owy', 'ie', 'om', 'ow', 'a', 'e', 'y'], lambda e: ends_with(w, e) AND length(w) - length(e) >= 4)[1])),
+  CASE WHEN length(w) >= 6 AND w LIKE '%s' THEN w[:-2] END, w) END"""
 
 
 @_R.query(f"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_UNACCENT % _HEAD}, '[a-z0-9]+')) AS w FROM documents)
+WITH w AS (SELECT unnest(regexp_extract_all({_FOLD}, '[a-z0-9]+')) AS w FROM documents)
 SELECT {_STEM} AS stem, count(*) AS n FROM w WHERE length(w) >= 3 GROUP BY 1
 """)
 def stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of titles by their stem; the endings are one ordered chain of conditions."""
-    title = text.unaccented(F.substring("text", 1, 80))
-    words = F.explode(F.regexp_extract_all(title, F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")
-    rows = load(spark, sf_dir, "documents").select(words).filter("length(w) >= 3")
-    return rows.groupBy(text.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
+    """Words of all texts by their stem; words are counted before they are stemmed."""
+    words = F.explode(F.regexp_extract_all(text.fold(F.col("text")), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")
+    rows = load(spark, sf_dir, "documents").select(words).filter("length(w) >= 3").groupBy("w").agg(F.count("*").alias("n"))
+    return rows.groupBy(text.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
-@_R.query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS canonical, regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '', 'g') AS label FROM documents")
+@_R.query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS canonical, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS label FROM documents")
 def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparison text (as its digest) and label key."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.canonical(F.col("text")).cast("binary")).alias("canonical"), text.label_key(F.substring("text", 1, 60)).alias("label"))
+    """Comparison text and label key, as their digests."""
+    rows = load(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.md5(text.canonical(F.col("text")).cast("binary")).alias("canonical"), F.md5(text.label_key(F.col("text")).cast("binary")).alias("label"))
 
 
 @_R.query("SELECT doc_id, CASE WHEN length(text) <= 155 THEN text ELSE regexp_replace(substr(text, 1, 152), ' [^ ]*$', '') || '...' END AS meta FROM documents")
@@ -69,13 +76,55 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.stable_id("src", F.col("source"), F.col("doc_id").cast("string")).alias("source_id"), F.sha2("text", 256).alias("text_sha256"))
 
 
+_MARKS = "'\"''“”„.,;:()[]{}'"
+_NORMALIZED = f"""
+ (SELECT conv_id, turn, text, list_filter(t, lambda x, i: i = 1 OR trim(lower(x), {_MARKS}) = '' OR trim(lower(x), {_MARKS}) <> trim(lower(t[i - 1]), {_MARKS})) AS kept
+  FROM (SELECT conv_id, turn, text, regexp_extract_all(trim(regexp_replace(text, '\\s+', ' ', 'g')), '"[^"]+"|\\S+') AS t FROM conversations))"""
+
+
+@_R.query(f"SELECT conv_id, turn, md5(array_to_string(kept, ' ')) AS q, len(kept) AS n FROM {_NORMALIZED}")
+def query_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without adjacent repeats, as their digest."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", text.query_normalize(F.col("text")).alias("q"))
+    n = F.size(F.regexp_extract_all("q", F.lit(r"(\"[^\"]+\"|\S+)"), F.lit(1))).cast("bigint")
+    return rows.select("conv_id", "turn", F.md5(F.col("q").cast("binary")).alias("q"), n.alias("n"))
+
+
+@_R.query(f"""
+WITH q AS (SELECT conv_id, turn, trim(text) AS raw, array_to_string(kept, ' ') AS q FROM {_NORMALIZED}), f AS (SELECT conv_id, lower(q) AS k, arg_min(q, turn) AS q, min(turn) AS turn FROM q WHERE q <> '' GROUP BY 1, 2)
+SELECT conv_id, md5(string_agg(f.q, '|' ORDER BY f.turn)) AS queries, count(f.q) AS n,
+ any_value(c.edited) + any_value(c.full_) - count(f.q) AS changed FROM f RIGHT JOIN (SELECT conv_id, count(*) FILTER (q <> raw) AS edited, count(*) FILTER (q <> '') AS full_ FROM q GROUP BY 1) c USING (conv_id) GROUP BY 1
+""")
+def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of each conversation, first of each folded text, and how many were changed or dropped."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.btrim("text").alias("raw"), text.query_normalize(F.col("text")).alias("q"))
+    # One row a folded text before anything is gathered; blank ones only count.
+    each = rows.groupBy("conv_id", F.lower("q").alias("k")).agg(F.min_by("q", "turn").alias("q"), F.min("turn").alias("turn"), F.count_if(F.col("q") != F.col("raw")).alias("edited"), F.count_if(F.col("q") != "").alias("full"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("k") != "", F.struct("turn", "q"))))
+    rows = each.groupBy("conv_id").agg(kept.alias("d"), F.sum("edited").alias("edited"), F.sum("full").alias("full"))
+    joined = F.md5(F.array_join(F.transform("d", lambda x: x["q"]), "|").cast("binary"))
+    return rows.select("conv_id", F.when(F.size("d") > 0, joined).alias("queries"), F.size("d").cast("bigint").alias("n"), (F.col("edited") + F.col("full") - F.size("d")).alias("changed"))
+
+
 @_R.query("""
-WITH t AS (SELECT conv_id, turn, regexp_extract_all(substr(text, 1, 120), '"[^"]+"|\\S+') AS t FROM conversations)
-SELECT conv_id, turn, array_to_string(list_filter(t, lambda x, i: i = 1 OR regexp_replace(lower(x), '["'',.;:!?]', '', 'g') <> regexp_replace(lower(t[i - 1]), '["'',.;:!?]', '', 'g')), ' ') AS q FROM t
+WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains(
+ ['about', 'brand', 'country', 'dane', 'dla', 'document', 'franchise', 'franczyza', 'franczyzy', 'from', 'informacje', 'official', 'poland', 'polska', 'research', 'source', 'strona', 'with', 'zabka'], w))) AS t FROM documents)
+SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS tokens FROM t
 """)
-def query_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries without adjacent repeats."""
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.query_normalize(F.substring("text", 1, 120)).alias("q"))
+def routing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing tokens of each text, as their number and digest."""
+    t = F.array_sort(text.routing_tokens(F.col("text")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("tokens"))
+
+
+@_R.query("""
+WITH h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages) SELECT page_id, lower(h) || ',docs.' || lower(h) AS domains FROM h
+""")
+def site_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains that a query asks for, repeats and other words aside."""
+    h = F.regexp_extract("url", "://([^/?#]*)", 1)
+    q = F.concat(F.lit("site:"), h, F.lit(". onsite:no.example SITE:Docs."), h, F.lit(" and site:"), h)
+    return load(spark, sf_dir, "pages").select("page_id", F.array_join(text.site_domains(q), ",").alias("domains"))
 
 
 _H = "lower(regexp_extract(trim(url), '^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -85,7 +134,7 @@ _HOST = _H.replace("^(?i)[a-z]", "^[A-Za-z]").replace("[a-z0-9+.-]*", "[A-Za-z0-
 @_R.query(f"""
 WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, {_HOST} AS host,
    regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
-   list_filter(string_split(regexp_extract(trim(url), '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_full_match(lower(string_split(x, '=')[1]), '(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref|yclid|msclkid)')) AS q FROM pages)
+   list_filter(string_split(regexp_extract(trim(url), '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_full_match(lower(string_split(x, '=')[1]), '(utm_.*|fbclid|gclid|mc_cid|mc_eid|ref_src|trk)')) AS q FROM pages)
 SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p
 """)
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +142,16 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", web.canonical_url(F.col("url")).alias("canonical"))
 
 
-@_R.query(f"SELECT array_to_string(string_split({_HOST}, '.')[-2:], '.') AS domain, count(*) AS n FROM pages GROUP BY 1")
+@_R.query(f"""
+WITH h AS (SELECT regexp_replace({_HOST}, '^www\\.', '') AS h FROM pages), e AS (SELECT unnest([h, replace(h, '.net', '.com.au'), 'www.' || h || '.co.uk', h || '.co.nl']) AS h FROM h), l AS (SELECT regexp_replace(h, '^www\\.', '') AS h FROM e)
+SELECT CASE WHEN regexp_matches(h, '\\.(com\\.au|co\\.uk)$') THEN array_to_string(string_split(h, '.')[-3:], '.') ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS domain, count(*) AS n FROM l GROUP BY 1
+""")
 def registrable_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of each registrable domain."""
-    return load(spark, sf_dir, "pages").groupBy(web.registrable(web.host(F.col("url"))).alias("domain")).agg(F.count("*").alias("n"))
+    """Pages of each registrable domain, each host also under suffixes of two labels."""
+    h = F.regexp_replace(web.host(F.col("url")), r"^www\.", "")
+    hosts = F.array(h, F.replace(h, F.lit(".net"), F.lit(".com.au")), F.concat(F.lit("www."), h, F.lit(".co.uk")), F.concat(h, F.lit(".co.nl")))
+    rows = load(spark, sf_dir, "pages").select(F.explode(hosts).alias("h"))
+    return rows.groupBy(web.registrable(F.col("h")).alias("domain")).agg(F.count("*").alias("n"))
 
 
 @_R.query(f"""
@@ -137,7 +192,11 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
 
 
-@_R.query("SELECT page_id, regexp_matches(lower(substr(html, 1, 16384)), 'captcha|access denied|are you human|cloudflare|verify you are|unusual traffic|enable javascript') AND length(html) < 20000 AS blocked FROM pages")
+@_R.query(r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, lower(substr(html, 1, 16384)) AS early, length(regexp_replace(html, '(?s)<[^>]+>', '', 'g')) < 15000 AS short FROM pages),
+ m AS (SELECT unnest(['access denied', 'are you a robot', 'attention required', 'bot verification', 'captcha', 'cf-chl-', 'cf-turnstile', 'checking your browser', 'cloudflare ray id', 'enable javascript and cookies', 'g-recaptcha', 'hcaptcha', 'human verification', 'incapsula incident id', 'just a moment', 'security verification', 'verify you are human']) AS m)
+SELECT page_id, bool_or(contains(title, m) OR (short AND contains(early, m))) AS blocked FROM p, m GROUP BY 1
+""")
 def antibot_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-bot pages."""
     return load(spark, sf_dir, "pages").select("page_id", web.anti_bot(F.col("html")).alias("blocked"))

@@ -1,11 +1,17 @@
 """Tables written between steps, in the folder that the cluster shares."""
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; under /tmp only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera"
+    """A new path under ``spark.checkpoint.dir``; where that is unset, under a folder of our own, on one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Readers of the driver's tables; every schema is declared, nothing is inferred."""
+"""Readers of the driver's tables, whose schemas the parquet files hold."""
 
 from pyspark.sql import DataFrame, SparkSession
 
