@@ -1,14 +1,15 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network trained in numpy."""
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import BLOCK, SPREAD, Numbers, bucketed, squeezed, unsqueezed
+from tessera.llm.blocks import BUCKETS as SPLIT
 from tessera.llm.common import cut, slices, text_bytes
 
 #: Words on either side that a prediction sees; sizes of embeddings and of the hidden layer.
@@ -21,7 +22,6 @@ TOP = CLASSES - BUCKETS
 STEP, SCORE_STEP, RATE, WARM = 4096, 16384, 0.01, 400
 #: Models averaged into one by one task of a round of averaging.
 FAN_IN = 8
-_CACHE = 400_000
 _SHAPES = [(CLASSES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, GROUPS), (CLASSES,)]
 
 
@@ -153,77 +153,177 @@ class Trainer:
             p -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
 
 
-# ---- the vocabulary ----
+# ---- blocks of documents, and what the corpus says about their words ----
+
+#: ``k`` is a block's number on its documents' row, and -1 - bucket on the rows of its distinct words and their counts.
+_DEALT = "k bigint, block bigint, data binary, counts binary"
+_TOTALS = "k bigint, words binary, totals binary"
+_ENCODED = "block bigint, ids binary, lens binary, classes binary, shares binary"
+
 
+def _wide(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers as pairs of 32-bit ones."""
+    return np.ascontiguousarray(x).view(np.int32)
 
-class Classes(dict):
+
+def _blocks(buckets: int):
+    """Per block: a row of its documents as numbers of words, and a row a bucket of its distinct words with their counts."""
+
+    def run(batches):
+        part, serial = TaskContext.get().partitionId(), 0
+        numbers, docs, ids, held = Numbers(), [], [], 0
+
+        def flush():
+            block, tokens, words = part * (1 << 20) + serial, np.concatenate(docs), list(numbers)
+            place, full, rows = bucketed(words, buckets)
+            counts = np.empty(len(words), np.int64)
+            counts[place] = np.bincount(tokens, minlength=len(words))
+            ends = np.cumsum([r.count(b" ") + 1 for r in rows]).astype(np.int64)
+            each = [squeezed(_wide(c)) for c in np.split(counts, ends[:-1])] if rows else []
+            own, known = np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids])
+            rows.append(squeezed(_wide(own), known, np.array([len(d) for d in docs]), tokens, place))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(-1 - full, block), pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary()), pa.array([*each, b""], pa.binary())],
+                names=["k", "block", "data", "counts"],
+            )
+
+        for batch in slices(batches, "text", BLOCK // 4):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch, "text"), strict=True):
+                found = (text or b"").split()
+                docs.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                ids.append(doc_id)
+                held += len(text or b"") + 1
+            if held > BLOCK:
+                yield from flush()
+                serial += 1
+                numbers, docs, ids, held = Numbers(), [], [], 0
+        if docs:
+            yield from flush()
+
+    return run
+
+
+def _totals(packs: pa.Table) -> pa.Table:
+    """A bucket's words and how often each occurs in all documents."""
+    total: dict[bytes, int] = {}
+    for words, counts in zip(packs.column("data").to_pylist(), packs.column("counts").to_pylist(), strict=True):
+        for word, n in zip(words.split(b" "), unsqueezed(counts)[0].view(np.int64).tolist(), strict=True):
+            total[word] = total.get(word, 0) + n
+    counts = squeezed(_wide(np.fromiter(total.values(), np.int64, len(total))))
+    return pa.table([packs.column("k").slice(0, 1), pa.array([b" ".join(total)], pa.binary()), pa.array([counts], pa.binary())], names=["k", "words", "totals"])
+
+
+def _read(words: bytes, totals: bytes) -> tuple[list[bytes], np.ndarray]:
+    return words.split(b" "), unsqueezed(totals)[0].view(np.int64)
+
+
+def _top(batches):
+    """The words of a batch's buckets that can be among the ``TOP`` of all."""
+    for batch in batches:
+        for words, totals in zip(batch.column("words").to_pylist(), batch.column("totals").to_pylist(), strict=True):
+            names, n = _read(words, totals)
+            few = np.argsort(-n, kind="stable")
+            few = few[n[few] >= n[few[: TOP][-1]]]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in few.tolist()], pa.binary()), pa.array(n[few])], names=["word", "n"])
+
+
+def _class_of(words: list[bytes], top: dict[bytes, int]) -> np.ndarray:
     """Class of each word: its own, or that of its hash bucket."""
+    return np.fromiter((top[w] if w in top else TOP + xxhash.xxh64_intdigest(w, 42) % BUCKETS for w in words), np.int32, len(words))
 
-    def __init__(self, top: dict[bytes, int]) -> None:
-        self.top = top
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        value = self.top.get(word, -1)
-        if value < 0:
-            value = TOP + xxhash.xxh64_intdigest(word, 42) % BUCKETS
-        self[word] = value
-        return value
-
-
-def _counted(batches):
-    counts: Counter = Counter()
-    for batch in slices(batches, "text", 4 << 20):
-        for text in text_bytes(batch, "text"):
-            counts.update((text or b"").split())
-        if len(counts) > _CACHE:
-            yield from _count_rows(counts)
-            counts = Counter()
-    yield from _count_rows(counts)
-
-
-def _count_rows(counts):
-    words = list(counts)
-    for i in range(0, len(words), 20_000):
-        some = words[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w.decode("utf-8", "replace") for w in some]), pa.array([counts[w] for w in some], pa.int64())], names=["word", "n"]
-        )
-
-
-def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
-    """Classes of the ``TOP`` most frequent words of all documents, and each class's number of words."""
-    words = docs.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    words = cut(words)
-    top = words.orderBy(F.col("n").desc(), "word").limit(TOP)
-    column = {r.word.encode(): i for i, r in enumerate(top.collect())}
-    # The list of TOP words is bounded.
-    others = words.join(F.broadcast(top.select("word")), "word", "left_anti")
-    size = np.ones(CLASSES)
-    for r in others.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count().collect():
-        size[TOP + r.bucket] = r["count"]
-    return column, size
 
+def _class_sums(top: dict[bytes, int]):
+    def run(batches):
+        sums = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for words, totals in zip(batch.column("words").to_pylist(), batch.column("totals").to_pylist(), strict=True):
+                names, n = _read(words, totals)
+                np.add.at(sums, _class_of(names, top), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums)], names=["class", "n"])
 
-# ---- training and scoring on Spark ----
+    return run
+
+
+def _returned(top: dict[bytes, int], sums: np.ndarray):
+    """For each row of a bucket's words: their classes and the logs of their shares of these, in the same order, addressed to its block."""
+
+    def run(packs: pa.Table, totals: pa.Table) -> pa.Table:
+        words, n = _read(totals.column("words")[0].as_py(), totals.column("totals")[0].as_py())
+        of = _class_of(words, top)
+        share = np.log(n / np.maximum(sums[of], 1)).astype(np.float32).view(np.int32)
+        at = {w: i for i, w in enumerate(words)}
+        out = []
+        for row in packs.column("data").to_pylist():
+            own = np.fromiter(map(at.__getitem__, row.split(b" ")), np.int64)
+            out.append(squeezed(of[own], share[own]))
+        return pa.table([packs.column("block"), pa.compute.subtract(-1, packs.column("k")), pa.array(out, pa.binary())], names=["k", "bucket", "data"])
+
+    return run
 
 
-def _tokens(batch: pa.RecordBatch, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    texts = [(t or b"").split() for t in text_bytes(batch, "text")]
-    lens = np.array([len(t) for t in texts], np.int64)
-    return np.fromiter((classes[w] for t in texts for w in t), np.int64, lens.sum()), lens
+def _encoded(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """A block's documents: ids, lengths, the class of each word, and each document's sum of logs of shares."""
+    own, known, lens, tokens, place = unsqueezed(docs.column("data")[0].as_py())
+    parts = [unsqueezed(x) for x in found.sort_by("bucket").column("data").to_pylist()]
+    none = [np.zeros(0, np.int32)]
+    of = np.concatenate([p[0] for p in parts] or none)[place][tokens]
+    share = np.concatenate([p[1] for p in parts] or none).view(np.float32)[place][tokens]
+    sums = np.bincount(np.repeat(np.arange(len(lens)), lens), share, len(lens)).astype(np.float64)
+    row = [docs.column("k").slice(0, 1), *(pa.array([squeezed(*x)], pa.binary()) for x in ((own, known), (lens,), (of,), (_wide(sums),)))]
+    return pa.table(row, names=["block", "ids", "lens", "classes", "shares"])
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """Blocks of all documents: ``block, ids, lens, classes, shares``, written to the shared folder.
+
+    Every distinct word of the corpus is counted, in buckets by hash. The ``TOP`` most frequent words are classes
+    of their own; all others share ``BUCKETS`` classes, in which each has the share of its count. One exchange
+    deals blocks and buckets; a word that every document holds is one of a block's words, so no key is hot.
+    """
+    spark = docs.sparkSession
+    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    # Written once: counting, and what follows from the counts, read the same blocks.
+    dealt = cut(rows.mapInArrow(_blocks(SPLIT * parts), _DEALT))
+    packs = dealt.filter("k < 0").repartition(parts, "k")
+    totals = cut(packs.groupBy("k").applyInArrow(_totals, _TOTALS))
+    most = totals.select("words", "totals").mapInArrow(_top, "word binary, n bigint").orderBy(F.col("n").desc(), "word").limit(TOP).collect()
+    top = {bytes(r.word): i for i, r in enumerate(most)}
+    sums = np.zeros(CLASSES, np.int64)
+    for r in totals.select("words", "totals").mapInArrow(_class_sums(top), "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sums[r["class"]] = r.n
+    found = packs.select("k", "block", "data").groupBy("k").cogroup(totals.withColumnRenamed("k", "of").groupBy("of"))
+    found = found.applyInArrow(_returned(top, sums), "k bigint, bucket bigint, data binary")
+    blocks = dealt.filter("k >= 0").select("k", "block", "data").groupBy("k").cogroup(found.withColumnRenamed("k", "to").groupBy("to"))
+    return cut(blocks.applyInArrow(_encoded, _ENCODED))
+
+
+# ---- training and scoring on Spark ----
+
 _MODEL = "part bigint, weight double, params binary"
+_SCHEMA = pa.schema([("part", pa.int64()), ("weight", pa.float64()), ("params", pa.binary())])
+_SLICE = 1 << 20
+
 
+def _pieces(batch: pa.RecordBatch, most_docs: int | None = None):
+    """Classes and lengths of each block's documents, about ``_SLICE`` words at a time."""
+    for i in range(batch.num_rows):
+        (tokens,), (lens,) = (unsqueezed(batch.column(c)[i].as_py()) for c in ("classes", "lens"))
+        lens = lens[:most_docs]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        a = 0
+        while a < len(lens):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _SLICE, "right")) - 1)
+            yield i, a, b, tokens[ends[a] : ends[b]].astype(np.int64), lens[a:b].astype(np.int64)
+            a = b
 
-def _train(shared):
+
+def _train(flat: bytes, most_docs: int | None = None):
     def run(batches):
-        top, flat = shared.value
-        trainer, classes = Trainer(unpacked(flat)), Classes(top)
-        for batch in slices(batches, "text", 4 << 20):
-            trainer.see(*_tokens(batch, classes))
+        trainer = Trainer(unpacked(flat))
+        for batch in batches:
+            for *_, tokens, lens in _pieces(batch, most_docs):
+                trainer.see(tokens, lens)
         trainer.see(np.zeros(0, np.int64), np.zeros(0, np.int64), flush=True)
         row = {"part": TaskContext.get().partitionId(), "weight": float(trainer.tokens), "params": packed(trainer.params)}
         yield pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
@@ -231,9 +331,6 @@ def _train(shared):
     return run
 
 
-_SCHEMA = pa.schema([("part", pa.int64()), ("weight", pa.float64()), ("params", pa.binary())])
-
-
 def packed(params: list[np.ndarray]) -> bytes:
     return b"".join(p.astype(np.float32).tobytes() for p in params)
 
@@ -257,59 +354,57 @@ def _averaged(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_SCHEMA)
 
 
-def fit(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray, list[np.ndarray]]:
-    """Vocabulary, class sizes and parameters, learned from every word of every document.
+def fit(blocks: DataFrame) -> list[np.ndarray]:
+    """Parameters learned from every word of every document of ``encoded`` blocks.
 
-    A short warm start on ``WARM`` documents (the first by a hash of doc_id) gives all partitions one
-    starting point. Then each partition trains on all its documents, and the models are averaged,
-    weighted by their words, in a tree: no task ever holds more than ``FAN_IN`` of them.
+    A short warm start on up to ``WARM`` documents of one block (the first by a hash) gives all partitions one
+    starting point. Then each partition trains on all its blocks, and the models are averaged, weighted by
+    their words, in a tree: no task ever holds more than ``FAN_IN`` of them.
     """
-    sc = docs.sparkSession.sparkContext
-    column, size = vocabulary(docs)
-    first = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id", F.lit("warm")), "doc_id").limit(WARM)
-    # At most WARM ids, so the broadcast is bounded; their texts meet in one task.
-    warm = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text").repartition(1)
-    start = warm.mapInArrow(_train(sc.broadcast((column, packed(initial())))), _MODEL).first()
+    words = blocks.select("block", "classes", "lens")
+    first = words.orderBy(F.xxhash64("block", F.lit("warm")), "block").limit(1)
+    start = first.select("classes", "lens").mapInArrow(_train(packed(initial()), WARM), _MODEL).filter("weight > 0").first()
     start = bytes(start.params) if start else packed(initial())
-    trained = cut(docs.select("text").mapInArrow(_train(sc.broadcast((column, start))), _MODEL).filter("weight > 0"))
-    parts = trained.agg(F.max("part")).first()[0]
-    if parts is None:
-        return column, size, unpacked(start)
-    models, parts = trained, parts + 1
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    trained = cut(words.repartition(parts, "block").select("classes", "lens").mapInArrow(_train(start), _MODEL).filter("weight > 0"))
+    last = trained.agg(F.max("part")).first()[0]
+    if last is None:
+        return unpacked(start)
+    models, parts = trained, last + 1
     while parts > 1:
         models = models.groupBy(F.expr(f"part div {FAN_IN}").alias("to")).applyInArrow(_averaged, _MODEL)
         parts = -(-parts // FAN_IN)
-    return column, size, unpacked(bytes(models.first().params))
+    return unpacked(bytes(models.first().params))
 
 
-def scored(docs: DataFrame, model) -> DataFrame:
+def scored(blocks: DataFrame, params: list[np.ndarray]) -> DataFrame:
     """``doc_id, n_words, log_likelihood, mean``: each word predicted from both sides, summed over the text."""
-    column, size, params = model
-    shared = docs.sparkSession.sparkContext.broadcast((column, np.log(size), packed(params)))
+    shared = blocks.sparkSession.sparkContext.broadcast(packed(params))
 
     def run(batches):
-        top, cost, flat = shared.value
-        params, classes = unpacked(flat), Classes(top)
-        for batch in slices(batches, "text", 4 << 20):
-            tokens, lens = _tokens(batch, classes)
-            around = windows(tokens, lens)
-            each = np.zeros(len(tokens))
-            for i in range(0, len(tokens), SCORE_STEP):
-                each[i : i + SCORE_STEP] = log_probs(params, around[i : i + SCORE_STEP], tokens[i : i + SCORE_STEP])
-            total = np.bincount(np.repeat(np.arange(len(lens)), lens), each - cost[tokens], len(lens)).astype(np.float64)
-            mean = np.where(lens > 0, total / np.maximum(lens, 1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lens), pa.array(total), pa.array(mean)], names=["doc_id", "n_words", "log_likelihood", "mean"]
-            )
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, mean double")
+        params = unpacked(shared.value)
+        for batch in batches:
+            for i, a, b, tokens, lens in _pieces(batch):
+                own, known = unsqueezed(batch.column("ids")[i].as_py())
+                (shares,) = unsqueezed(batch.column("shares")[i].as_py())
+                around = windows(tokens, lens)
+                each = np.zeros(len(tokens))
+                for j in range(0, len(tokens), SCORE_STEP):
+                    each[j : j + SCORE_STEP] = log_probs(params, around[j : j + SCORE_STEP], tokens[j : j + SCORE_STEP])
+                total = np.bincount(np.repeat(np.arange(len(lens)), lens), each, len(lens)) + shares.view(np.float64)[a:b]
+                mean = np.where(lens > 0, total / np.maximum(lens, 1), 0.0)
+                ids = pa.array(own.view(np.int64)[a:b], mask=~known[a:b].astype(bool))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lens), pa.array(total), pa.array(mean)], names=["doc_id", "n_words", "log_likelihood", "mean"])
+
+    return blocks.drop("block").mapInArrow(run, "doc_id bigint, n_words bigint, log_likelihood double, mean double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Masked pseudo-log-likelihood of every row's whole text, by a network trained on all of ``docs``.
 
-    A word's probability is its class's, given the ``SIDE`` words on either side, spread evenly over
-    the class's words. Null and empty texts: 0 words, log-likelihood and mean 0. Repeated rows are each
-    scored and trained on. Null doc_id is kept. Empty table: no rows. Other columns are ignored.
+    A word's probability is its class's, given the ``SIDE`` words on either side, times the word's share of
+    the class by its count in all documents. Null and empty texts: 0 words, log-likelihood and mean 0. Repeated
+    rows are each scored and trained on. Null doc_id is kept. Empty table: no rows. Other columns are ignored.
     """
-    return scored(docs, fit(docs))
+    blocks = encoded(docs)
+    return scored(blocks, fit(blocks))

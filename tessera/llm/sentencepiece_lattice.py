@@ -2,7 +2,6 @@
 
 import heapq
 import re
-import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,23 +10,18 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import BLOCK, BUCKETS, SPREAD, Numbers, bucketed, squeezed, stays, unsqueezed
 from tessera.llm.common import slices
 
 #: Where the model file lies; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest unit in characters that the lattice takes. Longer ones part only where no piece crosses.
 UNIT = 128
-#: Text bytes of a block, whose distinct units are looked up once.
-BLOCK = 8 << 20
 #: Documents of a block whose ids are put together at once.
 _ASSEMBLED = 256
-#: Partitions of units for each one that the session's shuffles have.
-SPREAD = 4
-#: Buckets of units for each of those partitions, so that a hash of buckets deals them evenly.
-BUCKETS = 4
 _MARK = "▁"
 _UNK_PENALTY = 10.0
 _CONTROLS = "\t\n\x0b\f\r"
@@ -167,34 +161,10 @@ def _long_path(pieces: Pieces, kind: str):
 # ---- blocks: documents as numbers of their block's distinct units ----
 
 
-class _Numbers(dict):
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self)
-        return n
-
-
 #: ``k`` is a block's number on its documents' row, and -1 - bucket on the rows of its units.
 _BLOCK_DDL = "k bigint, block bigint, data binary"
 
 
-def _squeezed(*arrays: np.ndarray) -> bytes:
-    """Arrays of 32-bit numbers, compressed: low bytes first, then the next, as high bytes are mostly alike."""
-    sizes = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
-    raw = sizes + b"".join(np.ascontiguousarray(a, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
-
-
-def _unsqueezed(blob: bytes) -> list[np.ndarray]:
-    raw = pa.Codec("zstd", 1).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    many = int(np.frombuffer(raw, np.int64, 1)[0])
-    out, at = [], 8 * (1 + many)
-    for n in np.frombuffer(raw, np.int64, many, 8).tolist():
-        planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n)
-        out.append(np.ascontiguousarray(planes.T).view(np.int32).ravel())
-        at += 4 * n
-    return out
-
-
 def _blocks(pieces: Pieces, buckets: int, kind: str):
     """Per block of up to ``BLOCK`` bytes: a row of its documents, as numbers, and a row a bucket of its distinct units.
 
@@ -207,7 +177,7 @@ def _blocks(pieces: Pieces, buckets: int, kind: str):
     def run(batches):
         split = re.compile(pattern)
         part, serial, path = TaskContext.get().partitionId(), 0, None
-        numbers, docs, ids, held = _Numbers(), [], [], 0
+        numbers, docs, ids, held = Numbers(), [], [], 0
 
         def flush():
             nonlocal path
@@ -219,21 +189,16 @@ def _blocks(pieces: Pieces, buckets: int, kind: str):
                 path = path or _long_path(pieces, kind)
             solved = [path(u) for u in long]
             is_long = np.fromiter((len(u) > UNIT for u in names), bool, len(names))
-            order = np.array(sorted(range(len(short)), key=short.__getitem__), np.int64)
-            bucket = np.fromiter((zlib.crc32(u) % buckets for u in short), np.int64, len(short))
-            order = order[np.argsort(bucket[order], kind="stable")]
+            spot, full, rows = bucketed(short, buckets)
             place = np.empty(len(names), np.int32)
             place[is_long] = len(short) + np.arange(len(long))
-            place[np.flatnonzero(~is_long)[order]] = np.arange(len(short))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            rows = [b" ".join([short[j] for j in order[edges[b] : edges[b + 1]]]) for b in full]
+            place[~is_long] = spot
             own = np.array([i or 0 for i in ids], np.int64).view(np.int32)
             known = np.array([i is not None for i in ids])
             lens = np.array([len(d) for d in docs])
             tokens = np.concatenate(docs)
             far = np.array([i for x in solved for i in x], np.int64), np.array([len(x) for x in solved], np.int64)
-            rows.append(_squeezed(own, known, lens, tokens, place, *_spelled(*far, pieces)))
+            rows.append(squeezed(own, known, lens, tokens, place, *_spelled(*far, pieces)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(-1 - full, block), pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
                 names=["k", "block", "data"],
@@ -250,7 +215,7 @@ def _blocks(pieces: Pieces, buckets: int, kind: str):
             if held > BLOCK:
                 yield from flush()
                 serial += 1
-                numbers, docs, ids, held = _Numbers(), [], [], 0
+                numbers, docs, ids, held = Numbers(), [], [], 0
         if docs:
             yield from flush()
 
@@ -384,7 +349,7 @@ def _returned(pieces: Pieces):
         begin, out = np.cumsum(lens) - lens, []
         for us in own:
             rows = np.fromiter(map(at.__getitem__, us), np.int64, len(us))
-            out.append(_squeezed(lens[rows], ids[np.repeat(begin[rows], lens[rows]) + _within(lens[rows])]))
+            out.append(squeezed(lens[rows], ids[np.repeat(begin[rows], lens[rows]) + _within(lens[rows])]))
         bucket = pa.compute.subtract(-1, packs.column("k"))
         return pa.table([packs.column("block"), bucket, pa.array(out, pa.binary())], names=["k", "bucket", "data"])
 
@@ -393,9 +358,9 @@ def _returned(pieces: Pieces):
 
 def _assembled(docs: pa.Table, paths: pa.Table) -> pa.Table:
     """Documents of one block with their ids, from its numbers and its units' paths."""
-    own, known, lens, tokens, place, far, far_lens = _unsqueezed(docs.column("data")[0].as_py())
+    own, known, lens, tokens, place, far, far_lens = unsqueezed(docs.column("data")[0].as_py())
     near = paths.sort_by("bucket").column("data").to_pylist()
-    parts = [*(_unsqueezed(x) for x in near), [far_lens, far]]
+    parts = [*(unsqueezed(x) for x in near), [far_lens, far]]
     size, flat = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     begin = (np.cumsum(size) - size)[place]
     size = size[place]
@@ -414,11 +379,6 @@ def _assembled(docs: pa.Table, paths: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-def _stays(condition) -> Column:
-    """``condition``, tied to a row number so that the optimizer leaves it above the exchange that its branches share."""
-    return F.when(F.monotonically_increasing_id() >= 0, condition)
-
-
 def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     """``doc_id, n_units, ids``: each row's whole text as piece ids, a space put before it, spaces as marks.
 
@@ -445,11 +405,11 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     fold, shortest = FOLDS[kind]
     paths = fold(lattice(words.select("k", "unit"), pieces, shortest)).withColumnRenamed("k", "of")
     found = (
-        dealt.filter(_stays(F.col("k") < 0)).groupBy("k").cogroup(paths.groupBy("of"))
+        dealt.filter(stays(F.col("k") < 0)).groupBy("k").cogroup(paths.groupBy("of"))
         .applyInArrow(_returned(pieces), "k bigint, bucket bigint, data binary")
     )
     # A block's documents lie where the exchange put them; only paths travel once more.
-    return dealt.filter(_stays(F.col("k") >= 0)).groupBy("k").cogroup(found.groupBy("k")).applyInArrow(_assembled, "doc_id bigint, n_units bigint, ids array<int>")
+    return dealt.filter(stays(F.col("k") >= 0)).groupBy("k").cogroup(found.groupBy("k")).applyInArrow(_assembled, "doc_id bigint, n_units bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -211,6 +211,31 @@ def test_pseudo_likelihood_prefers_what_follows_the_corpus(spark):
     assert by[0] > by[1000] + 0.5 and by[1] > by[1000]
 
 
+def test_words_are_counted_over_all_documents(spark):
+    """Classes and shares of every word of the blocks, against plain dictionaries; the most frequent words are classes of their own."""
+    rng = np.random.default_rng(6)
+    rare = [f"r{i}" for i in range(3000)]
+    texts = [" ".join(["the"] * 3 + list(rng.choice(rare[: 50 + i * 40], 30))) for i in range(70)] + [None, "", "the \t żółć"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    counts = Counter(w for t in texts if t for w in t.encode().split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: pseudo_likelihood.TOP]
+    of = dict(zip(counts, pseudo_likelihood._class_of(list(counts), {w: i for i, w in enumerate(top)}).tolist(), strict=True))
+    sums = Counter()
+    for w, n in counts.items():
+        sums[of[w]] += n
+    seen = {}
+    for r in pseudo_likelihood.encoded(docs).collect():
+        own, known = pseudo_likelihood.unsqueezed(r.ids)
+        (lens,), (classes,), (shares,) = (pseudo_likelihood.unsqueezed(x) for x in (r.lens, r["classes"], r.shares))
+        ends = np.cumsum(lens)
+        for i, n, end, share in zip(own.view(np.int64).tolist(), lens.tolist(), ends.tolist(), shares.view(np.float64).tolist(), strict=True):
+            seen[i] = (classes[end - n : end].tolist(), share)
+    for i, t in enumerate(texts):
+        words = (t or "").encode().split()
+        assert seen[i][0] == [of[w] for w in words]
+        assert seen[i][1] == pytest.approx(sum(np.log(counts[w] / sums[of[w]]) for w in words), abs=1e-3)
+
+
 def test_pseudo_likelihood_on_edge_rows(spark):
     docs = edge_docs(spark)
     by = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(docs).collect()}
