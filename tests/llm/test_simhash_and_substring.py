@@ -31,9 +31,11 @@ def test_near_dups_on_edge_rows(spark):
     assert simhash.near_dups(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("clusters,n,spread", [(1, 1500, 6), (5, 3000, 9), (40, 2000, 4)])
-def test_index_loses_no_link(spark, clusters, n, spread):
-    """Dense clusters, many of them in one top node and over several leaves."""
+@pytest.mark.parametrize("clusters,n,spread,leaf,links", [(1, 1500, 6, 256, 10**6), (1, 1500, 6, 4, 0), (5, 3000, 9, 256, 0), (40, 2000, 4, 8, 10**6)])
+def test_index_loses_no_link(spark, monkeypatch, clusters, n, spread, leaf, links):
+    """Dense clusters, many of them in one top node and over several leaves and levels of upper nodes; nodes' links in parts."""
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr("tessera.llm.components.TASK_LINKS", links)
     rng = np.random.default_rng(n)
     centres = rng.integers(0, 1 << 63, clusters, dtype=np.uint64)
     found = set()
