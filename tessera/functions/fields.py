@@ -186,3 +186,72 @@ def first_object(text: pd.Series) -> pd.Series:
 def canonical_json(**columns: Column) -> Column:
     """JSON with sorted keys and no blanks, ended by a line feed."""
     return F.concat(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])), F.lit("\n"))
+
+
+NUMERIC = ("integer", "decimal", "money", "percentage")
+_DECIMAL = r"^-?(0|[1-9]\d*)(\.\d+)?$"
+
+
+def typed_issue(v: dict[str, Column]) -> Column:
+    """Code of the first rule that a normalized value breaks; null where it keeps all of them.
+
+    ``v`` holds ``task_id, target_field, claim_ids, canonical_text, unit, notes, value_type, precision, number_min,
+    number_max, boolean_value, date_value, currency``.
+    """
+    kind, numeric = v["value_type"], v["value_type"].isin(*NUMERIC)
+    low, high = (v[c].try_cast("decimal(38,10)") for c in ("number_min", "number_max"))
+    spans = v["number_max"].isNotNull() & (high != low)
+    whole = lambda c: c.isNull() | (c == F.floor(c))
+    none = lambda *names: ~F.coalesce(*[F.when(v[n].isNotNull(), F.lit(True)) for n in names], F.lit(False))
+    bad_number = lambda c: v[c].isNotNull() & ~v[c].rlike(_DECIMAL)
+    is_date = F.coalesce(v["date_value"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) & v["date_value"].try_cast("date").isNotNull()
+    ranged = v["precision"] == "range"
+    rules = [
+        (F.btrim(v["task_id"]) == "", "blank_task_id"),
+        (~F.length(v["target_field"]).between(1, 500), "invalid_target_field"),
+        (~F.size(v["claim_ids"]).between(1, 50), "invalid_claim_group_size"),
+        (F.size(v["claim_ids"]) != F.size(F.array_distinct(v["claim_ids"])), "duplicate_claim_ids"),
+        (~F.length(v["canonical_text"]).between(1, 2000), "invalid_canonical_text"),
+        (F.length(v["unit"]) > 100, "invalid_unit"),
+        (F.length(v["notes"]) > 1000, "invalid_notes"),
+        (bad_number("number_min") | bad_number("number_max"), "invalid_numeric_format"),
+        (~v["currency"].rlike("^[A-Z]{3}$"), "invalid_currency"),
+        (numeric & ~(v["number_min"].isNotNull() & none("boolean_value", "date_value")), "invalid_numeric_value"),
+        (numeric & (high < low), "descending_numeric_range"),
+        ((kind == "integer") & ~(whole(low) & whole(high)), "non_integral_integer"),
+        ((kind == "money") & v["currency"].isNull(), "missing_money_currency"),
+        (numeric & (kind != "money") & v["currency"].isNotNull(), "unexpected_currency"),
+        (numeric & spans & ~ranged, "invalid_range_precision"),
+        ((kind == "boolean") & ~(v["boolean_value"].isNotNull() & none("number_min", "number_max", "date_value", "currency")), "invalid_boolean_value"),
+        ((kind == "date") & ~(is_date & none("number_min", "number_max", "boolean_value", "currency")), "invalid_date_value"),
+        (~numeric & ~kind.isin("boolean", "date") & ~none("number_min", "number_max", "boolean_value", "date_value", "currency"), "unexpected_typed_value"),
+        ((kind == "url") & ~v["canonical_text"].rlike(r"^https?://\S+$"), "invalid_url_value"),
+        (ranged & ~(numeric & F.coalesce(spans, F.lit(False))), "invalid_range_precision"),
+    ]
+    out = F.when(F.lit(False), "")
+    for broken, code in rules:
+        out = out.when(broken, code)
+    return out
+
+
+def typed_column(kind: Column, text: Column, currency: Column) -> Column:
+    """Struct of a profile's value by its column's kind: ``flag, number, whole, text``, and the ``issue`` that keeps it out."""
+    raw = F.btrim(text)
+    number = F.replace(F.replace(raw, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,2)")
+    flag = F.when(F.lower(raw).isin("true", "tak", "yes", "1"), True).when(F.lower(raw).isin("false", "nie", "no", "0"), False)
+    money = ~F.coalesce(F.upper(F.btrim(currency)), F.lit("")).isin("", "PLN")
+    issue = (
+        F.when((kind == "boolean") & flag.isNull(), "invalid_boolean_value")
+        .when((kind == "money") & money, "unsupported_currency")
+        .when(kind.isin("decimal", "money", "integer") & number.isNull(), "invalid_profile_value")
+        .when((kind == "integer") & (number != F.floor(number)), "non_integral_value")
+        .when((kind == "url") & ~raw.rlike(r"^https?://[^\s/.]+(\.[^\s/.]+)+(/\S*)?$"), "invalid_profile_value")
+    )
+    fits = lambda *kinds: kind.isin(*kinds) & issue.isNull()
+    return F.struct(
+        F.when(fits("boolean"), flag).alias("flag"),
+        F.when(fits("decimal", "money"), number).alias("number"),
+        F.when(fits("integer"), number.cast("bigint")).alias("whole"),
+        F.when(fits("text", "url"), raw).alias("text"),
+        issue.alias("issue"),
+    )

@@ -7,7 +7,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import web
+from tessera.functions import fields, web
 from tessera.functions.evidence import select_pages
 from tessera.plans import evidence
 from tessera.plans.registry import Registry
@@ -497,3 +497,55 @@ def provider_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     titled = F.col("s.title") != ""
     first = F.min_by(F.when(titled, F.col("s.title")), F.when(titled, F.col("page_id")))
     return rows.groupBy(F.col("s.url").alias("source")).agg(F.count("*").alias("actions"), first.alias("title"))
+
+
+# ---- typed values ----
+
+_TYPED = """
+ (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'money' WHEN 'N' THEN 'integer' ELSE 'percentage' END AS kind,
+   CASE WHEN l_linenumber = 7 THEN '07' ELSE concat(l_quantity::INT, CASE WHEN l_linenumber = 6 THEN '.5' ELSE '' END) END AS low, CASE WHEN l_linenumber = 3 THEN '60' WHEN l_linenumber = 4 THEN '1' END AS high,
+   CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'PLN' WHEN l_linenumber = 5 THEN 'pln' WHEN l_returnflag = 'N' AND l_tax >= 0.08 THEN 'EUR' END AS currency, CASE WHEN l_linenumber = 3 AND l_discount < 0.08 THEN 'range' ELSE 'exact' END AS precision_, l_quantity FROM lineitem)"""
+
+
+@_R.query(f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'invalid_numeric_format' WHEN currency = 'pln' THEN 'invalid_currency' WHEN l_linenumber = 4 AND l_quantity > 1 THEN 'descending_numeric_range'
+ WHEN kind = 'integer' AND l_linenumber = 6 THEN 'non_integral_integer' WHEN kind = 'money' AND currency IS NULL THEN 'missing_money_currency' WHEN kind <> 'money' AND currency IS NOT NULL THEN 'unexpected_currency'
+ WHEN l_linenumber = 3 AND precision_ = 'exact' THEN 'invalid_range_precision' END AS issue FROM {_TYPED} t
+""")
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized values and the first rule that each breaks."""
+    nothing = lambda kind: F.lit(None).cast(kind)
+    low = F.expr("CASE WHEN l_linenumber = 7 THEN '07' ELSE concat(cast(l_quantity AS int), CASE WHEN l_linenumber = 6 THEN '.5' ELSE '' END) END")
+    currency = F.expr("CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'PLN' WHEN l_linenumber = 5 THEN 'pln' WHEN l_returnflag = 'N' AND l_tax >= 0.08 THEN 'EUR' END")
+    value = {
+        "task_id": F.col("l_orderkey").cast("string"),
+        "target_field": F.lit("fees.royalty"),
+        "claim_ids": F.array(F.col("l_suppkey").cast("string")),
+        "canonical_text": F.col("l_quantity").cast("string"),
+        "unit": nothing("string"),
+        "notes": F.lit(""),
+        "value_type": F.expr("CASE l_returnflag WHEN 'A' THEN 'money' WHEN 'N' THEN 'integer' ELSE 'percentage' END"),
+        "precision": F.expr("CASE WHEN l_linenumber = 3 AND l_discount < 0.08 THEN 'range' ELSE 'exact' END"),
+        "number_min": low,
+        "number_max": F.expr("CASE WHEN l_linenumber = 3 THEN '60' WHEN l_linenumber = 4 THEN '1' END"),
+        "boolean_value": nothing("boolean"),
+        "date_value": nothing("string"),
+        "currency": currency,
+    }
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fields.typed_issue(value).alias("issue"))
+
+
+@_R.query("""
+SELECT p_partkey, CASE WHEN p_type = 'PROMO' AND p_size <= 25 THEN p_size > 10 END AS flag, CASE WHEN p_type = 'LARGE' AND p_brand <> 'Brand#7' THEN round(p_retailprice, 2)::DOUBLE END AS number, CASE WHEN p_type = 'SMALL' AND p_size <= 40 THEN p_size END AS whole,
+ CASE WHEN p_type NOT IN ('PROMO', 'LARGE', 'SMALL') THEN p_name END AS text, CASE WHEN p_type = 'PROMO' AND p_size > 25 THEN 'invalid_boolean_value' WHEN p_type = 'LARGE' AND p_brand = 'Brand#7' THEN 'unsupported_currency' WHEN p_type = 'SMALL' AND p_size > 40 THEN 'non_integral_value' END AS issue FROM part
+""")
+def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: values as their profile's typed columns, or the issue that keeps them out."""
+    kind = F.expr("CASE p_type WHEN 'PROMO' THEN 'boolean' WHEN 'LARGE' THEN 'money' WHEN 'SMALL' THEN 'integer' ELSE 'text' END")
+    word = F.when(F.col("p_size") > 25, "maybe").when(F.col("p_size") > 10, " Tak").otherwise("nie")
+    price = F.translate(F.format_number("p_retailprice", 2), ",.", " ,")
+    whole = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") > 40, ",5").otherwise(""))
+    text = F.when(kind == "boolean", word).when(kind == "money", price).when(kind == "integer", whole).otherwise(F.col("p_name"))
+    value = fields.typed_column(kind, text, F.when(F.col("p_brand") == "Brand#7", " eur").otherwise("pln"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", value.alias("v"))
+    return rows.select("p_partkey", "v.flag", F.col("v.number").cast("double").alias("number"), "v.whole", "v.text", "v.issue")

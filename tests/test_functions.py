@@ -108,3 +108,35 @@ def test_embedded_json_text():
     assert web.public_text(['["a"]', '{"name": ["one", "two"]}']) == "one\ntwo"
     assert len(web.public_text(['{"name": ["' + '", "'.join(f"item{i}" for i in range(3000)) + '"]}']).split("\n")) == 500
     assert web.public_text([None]) == ""
+
+
+def test_every_rule_of_typed_values(spark):
+    good = {
+        "task_id": "t", "target_field": "f", "claim_ids": ["a"], "canonical_text": "5", "unit": None, "notes": "", "value_type": "decimal", "precision": "exact",
+        "number_min": "5", "number_max": None, "boolean_value": None, "date_value": None, "currency": None,
+    }
+    changes = [
+        ({}, None), ({"task_id": " "}, "blank_task_id"), ({"target_field": ""}, "invalid_target_field"), ({"claim_ids": []}, "invalid_claim_group_size"), ({"claim_ids": ["a", "a"]}, "duplicate_claim_ids"),
+        ({"canonical_text": ""}, "invalid_canonical_text"), ({"unit": "u" * 101}, "invalid_unit"), ({"notes": "n" * 1001}, "invalid_notes"), ({"number_min": "05"}, "invalid_numeric_format"), ({"number_max": "1."}, "invalid_numeric_format"),
+        ({"currency": "pln"}, "invalid_currency"), ({"number_min": None}, "invalid_numeric_value"), ({"boolean_value": True}, "invalid_numeric_value"), ({"number_max": "4"}, "descending_numeric_range"),
+        ({"value_type": "integer", "number_min": "5.5"}, "non_integral_integer"), ({"value_type": "integer", "number_min": "5.0"}, None), ({"value_type": "money"}, "missing_money_currency"), ({"value_type": "money", "currency": "PLN"}, None), ({"currency": "PLN"}, "unexpected_currency"),
+        ({"number_max": "6"}, "invalid_range_precision"), ({"number_max": "6", "precision": "range"}, None), ({"precision": "range"}, "invalid_range_precision"), ({"number_max": "5", "precision": "range"}, "invalid_range_precision"),
+        ({"value_type": "boolean", "number_min": None}, "invalid_boolean_value"), ({"value_type": "boolean", "number_min": None, "boolean_value": False}, None), ({"value_type": "boolean", "boolean_value": True}, "invalid_boolean_value"),
+        ({"value_type": "date", "number_min": None, "date_value": "2024-02-30"}, "invalid_date_value"), ({"value_type": "date", "number_min": None, "date_value": "2024-02-29"}, None), ({"value_type": "date", "number_min": None}, "invalid_date_value"),
+        ({"value_type": "text"}, "unexpected_typed_value"), ({"value_type": "text", "number_min": None}, None), ({"value_type": "url", "number_min": None}, "invalid_url_value"), ({"value_type": "url", "number_min": None, "canonical_text": "https://a.b/c"}, None),
+        ({"value_type": "text", "number_min": None, "precision": "range"}, "invalid_range_precision"),
+    ]
+    ddl = "i int, task_id string, target_field string, claim_ids array<string>, canonical_text string, unit string, notes string, value_type string, precision string, number_min string, number_max string, boolean_value boolean, date_value string, currency string"
+    rows = spark.createDataFrame([(i, *(good | c).values()) for i, (c, _) in enumerate(changes)], ddl)
+    got = rows.select("i", fields.typed_issue({c: F.col(c) for c in good}).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [code for _, code in changes]
+
+
+def test_typed_columns_or_their_issue(spark):
+    rows = [
+        ("boolean", "Tak", None), ("boolean", "maybe", None), ("money", "1 234,50", "PLN"), ("money", "5", "EUR"), ("decimal", "x", None), ("integer", "7", None), ("integer", "7,5", None), ("url", "https://a.pl/x", None), ("url", "a.pl", None), ("text", " t ", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, x string, c string")
+    got = [r.y for r in df.select("i", fields.typed_column(F.col("kind"), F.col("x"), F.col("c")).alias("y")).orderBy("i").collect()]
+    assert [g.issue for g in got] == [None, "invalid_boolean_value", None, "unsupported_currency", "invalid_profile_value", None, "non_integral_value", None, "invalid_profile_value", None]
+    assert got[0].flag is True and float(got[2].number) == 1234.5 and got[5].whole == 7 and got[7].text == "https://a.pl/x" and got[9].text == "t"
