@@ -188,6 +188,34 @@ def canonical_json(**columns: Column) -> Column:
     return F.concat(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])), F.lit("\n"))
 
 
+#: Longest public text of a field; others have 400 characters. Fixed values.
+LONGEST = {
+    "brand.public_summary": 400,
+    "contact.generic_business_route": 240,
+    "offer.unit_formats": 240,
+    "candidate.premises_requirements": 400,
+    "support.training_program": 400,
+}
+
+
+def public_text_issue(target: Column, text: Column, brand: Column) -> Column:
+    """Why a field's text may not be shown as it is; null where it may."""
+    value = F.regexp_replace(text, r"^\s+|\s+$", "")
+    label = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    limits = F.create_map(*[F.lit(x) for pair in LONGEST.items() for x in pair])
+    site, name = target.isin("websites.official", "websites.franchise_offer"), target == "brand.name"
+    return (
+        F.when(F.coalesce(value, F.lit("")) == "", "invalid_public_text")
+        .when(value.rlike(r"[\x00\r]"), "invalid_public_text")
+        .when(value.contains(" | ") | (F.size(F.split(value, "\n")) > 4), "uncompacted_public_text")
+        .when(site & ~value.rlike("^https?://[^/?#]"), "invalid_public_url")
+        .when(name & ~F.length(value).between(2, 160), "invalid_brand_name_length")
+        .when(name & (label(value) != label(brand)), "brand_name_mismatch")
+        .when(~site & ~name & ~F.length(value).between(3, F.coalesce(F.try_element_at(limits, target), F.lit(400))), "invalid_public_text_length")
+        .when(~site & ~name & (F.size(F.regexp_extract_all(value, F.lit(r"([.!?]+(?:\s|$))"), F.lit(1))) > 3), "too_many_public_sentences")
+    )
+
+
 NUMERIC = ("integer", "decimal", "money", "percentage")
 _DECIMAL = r"^-?(0|[1-9]\d*)(\.\d+)?$"
 

@@ -143,16 +143,20 @@ def anti_bot(html: Column) -> Column:
     return F.coalesce(title.rlike(marks) | early.rlike(marks), F.lit(False))
 
 
-def media_type(content: Column) -> Column:
-    """html, pdf, xml, json or text, by the first characters."""
-    head = F.lower(F.ltrim(F.substring(content, 1, 512)))
-    return (
-        F.when(head.startswith("%pdf"), "pdf")
-        .when(head.startswith("<!doctype html") | head.startswith("<html"), "html")
-        .when(head.startswith("<?xml"), "xml")
-        .when(head.rlike(r"^[\[{]"), "json")
-        .otherwise("text")
-    )
+_HTML, _PDF, _PLAIN = ("text/html", "application/xhtml+xml"), ("application/pdf", "application/x-pdf"), ("text/plain", "text/markdown")
+
+
+def detected_media(content: Column, declared: Column, url: Column) -> Column:
+    """Struct of ``media`` by a document's first characters, else as declared (null: not supported), and whether the two disagree."""
+    head = F.lower(F.regexp_replace(F.substring(content, 1, 4096), r"^[\x{FEFF}\x00\s]+", ""))
+    pdf = F.lower(F.substring(content, 1, 1024)).contains("%pdf-")
+    robot = F.lower(F.substring(content, 1, 16_384)).rlike("|".join(ANTI_BOT))
+    html = head.rlike("^<(!doctype html|html|head|body)") | head.contains("<html") | robot
+    is_a = lambda kinds: F.coalesce(declared.isin(*kinds), F.lit(False))
+    named_pdf = (F.coalesce(declared, F.lit("")) == "application/octet-stream") & F.lower(part(url, 5)).endswith(".pdf")
+    media = F.when(pdf, "application/pdf").when(html, "text/html").when(is_a(_PDF), None).when(is_a(_HTML), "text/html").when(is_a(_PLAIN), "text/plain")
+    apart = F.when(pdf, is_a(_HTML + _PLAIN)).when(html, is_a(_PDF) & ~robot).otherwise(is_a(_PDF) | named_pdf)
+    return F.struct(media.alias("media"), apart.alias("mismatch"))
 
 
 #: Keys of embedded JSON whose texts are public. Fixed values.

@@ -549,3 +549,75 @@ def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = fields.typed_column(kind, text, F.when(F.col("p_brand") == "Brand#7", " eur").otherwise("pln"))
     rows = load(spark, sf_dir, "part").select("p_partkey", value.alias("v"))
     return rows.select("p_partkey", "v.flag", F.col("v.number").cast("double").alias("number"), "v.whole", "v.text", "v.issue")
+
+
+# ---- merges, lineage and profiles ----
+
+
+@_R.query("""
+WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, CASE WHEN url LIKE '%/en/%' THEN 'unknown' WHEN url LIKE 'https%' THEN 'official' ELSE 'industry' END AS kind, regexp_extract(html, 'lang="([a-z]*)"', 1) AS task, page_id FROM pages)
+SELECT url, arg_max(title, (length(title), -page_id)) AS title, coalesce(arg_min(kind, page_id) FILTER (kind <> 'unknown'), 'unknown') AS kind, list_sort(list_distinct(list(task))) AS tasks FROM p GROUP BY 1
+""")
+def provider_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what several calls found under one URL: the longest title, the first kind that is known, all tasks."""
+    kind = F.when(F.col("url").contains("/en/"), "unknown").when(F.col("url").startswith("https"), "official").otherwise("industry")
+    rows = load(spark, sf_dir, "pages").select(
+        F.regexp_replace("url", "[?#].*$", "").alias("u"), F.btrim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), kind.alias("kind"), F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("task"), "page_id"
+    )
+    known = F.min_by("kind", F.when(F.col("kind") != "unknown", F.col("page_id")))
+    longest = F.max_by("title", F.struct(F.length("title"), -F.col("page_id")))
+    return rows.groupBy(F.col("u").alias("url")).agg(longest.alias("title"), F.coalesce(known, F.lit("unknown")).alias("kind"), F.sort_array(F.collect_set("task")).alias("tasks"))
+
+
+@_R.query("""
+WITH p AS (SELECT o_custkey AS source, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS content, count(*) AS claims FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1),
+ d AS (SELECT o_custkey AS source, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS content, count(*) AS claims FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1)
+SELECT coalesce(p.source, d.source) AS source, CASE WHEN d.source IS NULL THEN 'preserved' WHEN p.source IS NULL THEN 'new' WHEN p.content = d.content THEN 'additive' ELSE 'replaced' END AS outcome,
+ CASE WHEN d.source IS NULL THEN p.claims WHEN p.content = d.content THEN p.claims + d.claims ELSE d.claims END AS claims FROM p FULL JOIN d ON p.source = d.source
+""")
+def execution_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delta over the prior run by source: same content adds to its claims, other content replaces them, the rest is preserved."""
+    orders, since = load(spark, sf_dir, "orders"), F.expr("TIMESTAMP '1999-01-01 00:00:00'")
+
+    def run(rows: DataFrame, name: str) -> DataFrame:
+        content = F.sha2(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")), 256)
+        return rows.groupBy(F.col("o_custkey").alias("source")).agg(content.alias(f"{name}_content"), F.count("*").alias(f"{name}_claims"))
+
+    rows = run(orders.filter(F.col("o_orderdate") < since), "prior").join(run(orders.filter(F.col("o_orderdate") >= since), "delta"), "source", "full")
+    same = F.col("prior_content") == F.col("delta_content")
+    outcome = F.when(F.col("delta_content").isNull(), "preserved").when(F.col("prior_content").isNull(), "new").when(same, "additive").otherwise("replaced")
+    claims = F.when(F.col("delta_content").isNull(), F.col("prior_claims")).when(same, F.col("prior_claims") + F.col("delta_claims")).otherwise(F.col("delta_claims"))
+    return rows.select("source", outcome.alias("outcome"), claims.alias("claims"))
+
+
+@_R.query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_tax >= 0.08 AND l_linestatus = 'F'")
+def lineage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose plan, by id and hash, is not the one that exists."""
+    plans = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("plan_sha256"))
+    stale = (F.col("l_tax") >= 0.08) & (F.col("l_linestatus") == "F")
+    results = load(spark, sf_dir, "lineitem").join(plans, "l_orderkey").select("l_orderkey", "l_linenumber", F.when(stale, F.reverse("plan_sha256")).otherwise(F.col("plan_sha256")).alias("plan_sha256"))
+    return results.join(plans, ["l_orderkey", "plan_sha256"], "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@_R.query("""
+WITH l AS (SELECT l_partkey AS field, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) AS rule, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber)) AS value_ FROM lineitem GROUP BY 1),
+ p AS (SELECT p_brand, p_partkey, coalesce(rule, 'base') AS rule, CASE WHEN rule = 'A' THEN value_ ELSE p_size END AS value_ FROM part LEFT JOIN l ON field = p_partkey)
+SELECT p_brand AS profile, count(*) AS fields, count(*) FILTER (rule = 'A') AS overridden, sha256(string_agg(p_partkey || '=' || value_, ',' ORDER BY p_partkey)) AS snapshot FROM p WHERE rule <> 'R' GROUP BY 1
+""")
+def profile_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: a profile's fields after all rules in order, the last one of a field wins: it sets, removes or keeps; and the hash of the result."""
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    last = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max_by(F.struct("l_returnflag", "l_suppkey"), at).alias("rule"))
+    rows = load(spark, sf_dir, "part").join(last, "p_partkey", "left").filter(~F.coalesce(F.col("rule.l_returnflag") == "R", F.lit(False)))
+    sets = F.coalesce(F.col("rule.l_returnflag") == "A", F.lit(False))
+    value = F.when(sets, F.col("rule.l_suppkey")).otherwise(F.col("p_size"))
+    each = F.array_sort(F.collect_list(F.struct("p_partkey", value.alias("value"))))
+    lines = F.transform(each, lambda x: F.concat(x["p_partkey"].cast("string"), F.lit("="), x["value"].cast("string")))
+    return rows.groupBy(F.col("p_brand").alias("profile")).agg(F.count("*").alias("fields"), F.count_if(sets).alias("overridden"), F.sha2(F.array_join(lines, ","), 256).alias("snapshot"))
+
+
+@_R.query("SELECT o_orderpriority AS release, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) FILTER (o_orderstatus = 'O') AS edited, count(*) FILTER (o_orderstatus = 'P') AS rejected, count(*) AS total FROM orders GROUP BY 1")
+def release_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of each frozen release."""
+    count = lambda s, name: F.count_if(F.col("o_orderstatus") == s).alias(name)
+    return load(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("release")).agg(count("F", "accepted"), count("O", "edited"), count("P", "rejected"), F.count("*").alias("total"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, numbers, text, web
+from tessera.functions import dates, fields, numbers, text, web
 from tessera.plans.registry import Registry
 from tessera.sources.tables import load
 
@@ -202,10 +202,17 @@ def antibot_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", web.anti_bot(F.col("html")).alias("blocked"))
 
 
-@_R.query("SELECT CASE WHEN lower(ltrim(html)) LIKE '<!doctype html%' THEN 'html' ELSE 'text' END AS media, count(*) AS n FROM pages GROUP BY 1")
+@_R.query("""
+SELECT page_id, CASE WHEN page_id % 6 = 4 THEN NULL ELSE ['text/html', 'application/pdf', 'text/html', 'text/plain', '', 'text/html'][page_id % 6 + 1] END AS media, page_id % 6 IN (1, 2, 4) AS mismatch FROM pages
+""")
 def media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media types by content."""
-    return load(spark, sf_dir, "pages").groupBy(web.media_type(F.col("html")).alias("media")).agg(F.count("*").alias("n"))
+    """Media types by content over what is declared, and where the two disagree, over pages that are spoiled by rule."""
+    which = F.col("page_id") % 6
+    content = F.when(which.isin(0, 2), F.concat(F.lit("\ufeff \n"), "html")).when(which == 1, "\n%PDF-1.7 ...").when(which == 5, "<p>Checking your browser</p>").otherwise("plain words")
+    declared = F.when(which == 1, "text/html").when(which == 2, "application/pdf").when(which == 3, "text/plain").when(which == 4, "application/octet-stream").when(which == 5, "application/pdf")
+    url = F.when(which == 4, "https://x.example/a.PDF?b").otherwise(F.col("url"))
+    rows = load(spark, sf_dir, "pages").select("page_id", web.detected_media(content, declared, url).alias("m"))
+    return rows.select("page_id", "m.media", "m.mismatch")
 
 
 @_R.query("SELECT event_id, coalesce(json_extract(props, '$.k')::INT, 0) AS k, json_extract(props, '$.missing.deep')::INT AS deep FROM events")
@@ -255,17 +262,13 @@ def query_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query("""
-SELECT doc_id, CASE WHEN length(text) = 0 THEN 'empty' WHEN regexp_matches(text, '[\\x00-\\x08]') THEN 'control' WHEN contains(text, ' | ') THEN 'separator' WHEN length(text) > 20000 THEN 'too_long'
-  WHEN len(regexp_extract_all(text, '[.!?]+(?:\\s|$)')) > 3 THEN 'sentences' END AS reason FROM documents
+SELECT doc_id, CASE WHEN v = '' OR contains(v, chr(13)) OR contains(v, chr(0)) THEN 'invalid_public_text' WHEN contains(v, ' | ') OR len(string_split(v, chr(10))) > 4 THEN 'uncompacted_public_text' WHEN length(v) NOT BETWEEN 3 AND CASE WHEN lang = 'en' THEN 240 ELSE 400 END THEN 'invalid_public_text_length'
+  WHEN len(regexp_extract_all(v, '[.!?]+(?:\\s|$)')) > 3 THEN 'too_many_public_sentences' END AS reason FROM (SELECT doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS v FROM documents)
 """)
 def public_text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a text may not be shown; null where it may."""
-    t = F.col("text")
-    reason = (
-        F.when(F.length(t) == 0, "empty").when(t.rlike(r"[\x00-\x08]"), "control").when(t.contains(" | "), "separator")
-        .when(F.length(t) > 20_000, "too_long").when(F.size(F.regexp_extract_all(t, F.lit(r"([.!?]+(?:\s|$))"), F.lit(1))) > 3, "sentences")
-    )
-    return load(spark, sf_dir, "documents").select("doc_id", reason.alias("reason"))
+    target = F.when(F.col("lang") == "en", "offer.unit_formats").otherwise("brand.public_summary")
+    return load(spark, sf_dir, "documents").select("doc_id", fields.public_text_issue(target, F.col("text"), F.lit(None).cast("string")).alias("reason"))
 
 
 @_R.query("SELECT n_nationkey, upper(trim(n_name)) AS country, 'PL:L' || (n_regionkey % 3 + 1) || ':v2' AS profile, n_regionkey % 3 + 1 AS level FROM nation")

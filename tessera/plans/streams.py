@@ -1,6 +1,7 @@
 """Registered streaming queries: drained with an available-now trigger, they equal their batch twins."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
 from tessera.streaming import events
@@ -32,3 +33,23 @@ SELECT event_id, user_id, event_type FROM g WHERE accepted
 def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: the 24-hour gap as a stream with state."""
     return events.drained(events.accepted(events.read_events(spark, f"{sf_dir}/events.parquet")), "append", "stream_accepted")
+
+
+@_R.query("""
+SELECT event_id, user_id, CASE WHEN event_type = 'view' THEN 'feed' END AS source, CASE WHEN value > 50 THEN 'k' || (props->>'$.k') END AS campaign, kind FROM events, (SELECT unnest(['visit', 'page_view']) AS kind) WHERE event_type IN ('view', 'click')
+""")
+def click_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits and page views out of the event stream, appended."""
+    stream = events.read_events(spark, f"{sf_dir}/events.parquet").filter("event_type IN ('view', 'click')")
+    url = F.concat(F.lit("/p/1?a=b"), F.when(F.col("event_type") == "view", "&utm_source=feed").otherwise(""), F.when(F.col("value") > 50, F.concat(F.lit("&utm_campaign=k"), F.get_json_object("props", "$.k"))).otherwise(""), F.lit("#x"))
+    return events.drained(events.visits(stream.withColumn("url", url)), "append", "click_stream")
+
+
+@_R.query("SELECT event_type <> 'error' AS readable, count(*) AS n, sum(CASE WHEN event_type <> 'error' THEN event_id END)::BIGINT AS ids FROM events GROUP BY 1")
+def corrupt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: a stream of JSON lines, some of them broken; these are kept apart and end nothing."""
+    stream = events.read_events(spark, f"{sf_dir}/events.parquet")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    lines = stream.select(F.when(F.col("event_type") == "error", F.concat(F.lit("{oops"), line)).otherwise(line).alias("line"))
+    rows = events.drained(events.parsed(lines, "event_id bigint, user_id bigint, event_type string"), "append", "corrupt_events")
+    return rows.groupBy((~F.col("corrupt")).alias("readable")).agg(F.count("*").alias("n"), F.sum("row.event_id").alias("ids"))

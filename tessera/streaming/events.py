@@ -65,3 +65,16 @@ def accepted(events: DataFrame, seconds: int = 86_400) -> DataFrame:
     return events.groupBy("user_id", "event_type").applyInPandasWithState(
         run, "event_id long, user_id long, event_type string", "last long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """M1: ``line`` read by ``schema`` as ``row``; ``corrupt`` where it is no such document, and the stream goes on."""
+    row = F.from_json("line", schema)
+    return lines.select("line", row.alias("row")).withColumn("corrupt", F.col("row").isNull() | F.col("row.event_id").isNull())
+
+
+def visits(events: DataFrame) -> DataFrame:
+    """Of each page view a visit with the campaign that its URL names, and a ``page_view`` event."""
+    tag = lambda name: F.nullif(F.regexp_extract("url", rf"[?&]utm_{name}=([^&#]*)", 1), F.lit("")).alias(name)
+    kinds = F.explode(F.array(F.lit("visit"), F.lit("page_view"))).alias("kind")
+    return events.select("event_id", "user_id", tag("source"), tag("campaign"), kinds)

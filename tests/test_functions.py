@@ -31,7 +31,6 @@ PAIRS = {
     web.anti_bot: [
         ("<title>Just a moment...</title>", True), ("<p>served by cloudflare</p>", False), ("<p>Cloudflare Ray ID: 7</p>", True), ("<p>" + "word " * 5000 + "captcha</p>", False), ("<title>Shop</title>" + "x" * 17000 + "captcha", False), (None, False),
     ],
-    web.media_type: [("%PDF-1.7", "pdf"), ("  <HTML>", "html"), ("<!doctype html>", "html"), ("<?xml version='1'?>", "xml"), ('[{"a": 1}]', "json"), ("hello", "text")],
     web.url_problem: [("", "empty"), ("http://a/" + "x" * 4000, "too_long"), ("ftp://a.b", "scheme"), ("http://u@a.b", "credentials"), ("http://intranet/x", "local_host"), ("http://127.0.0.1/", "numeric_host"), ("http://a.b:8080/", "port"), ("https://a.b:443/", None)],
     fields.is_unit_format: [("Master  Franchise", True), ("przejęcie istniejącego sklepu", True), ("jednego sklepu", True), ("three shops", False)],
     fields.transient_code: [("request failed (APITimeoutError)", "timeout"), ("request failed (BadRequestError) with timeout", None), ('{"error_code": "rate_limit"}', "rate_limit"), ("fine", None), ("request failed (RateLimitError)" + "x" * 100_000, None)],
@@ -140,3 +139,24 @@ def test_typed_columns_or_their_issue(spark):
     got = [r.y for r in df.select("i", fields.typed_column(F.col("kind"), F.col("x"), F.col("c")).alias("y")).orderBy("i").collect()]
     assert [g.issue for g in got] == [None, "invalid_boolean_value", None, "unsupported_currency", "invalid_profile_value", None, "non_integral_value", None, "invalid_profile_value", None]
     assert got[0].flag is True and float(got[2].number) == 1234.5 and got[5].whole == 7 and got[7].text == "https://a.pl/x" and got[9].text == "t"
+
+
+def test_media_by_content_and_declaration(spark):
+    rows = [
+        ("%PDF-1.7", "text/html", "application/pdf", True), ("  <HTML>", None, "text/html", False), ("x <html>", "application/pdf", "text/html", True), ("hi", "application/pdf", None, True), ("hi", "text/html", "text/html", False),
+        ("hi", "text/plain", "text/plain", False), ("hi", "image/png", None, False), ("just a moment", "application/pdf", "text/html", False), ("hi", "application/octet-stream", None, True), ("hi", None, None, False),
+    ]
+    df = spark.createDataFrame([(i, c, d) for i, (c, d, *_) in enumerate(rows)], "i int, c string, d string")
+    got = [r.m for r in df.select("i", web.detected_media(F.col("c"), F.col("d"), F.lit("http://a.b/c.pdf")).alias("m")).orderBy("i").collect()]
+    assert [(g.media, g.mismatch) for g in got] == [r[2:] for r in rows]
+
+
+def test_reasons_against_public_texts(spark):
+    rows = [
+        ("brand.name", "McX ", None), ("brand.name", "Other", "brand_name_mismatch"), ("brand.name", "M", "invalid_brand_name_length"), ("websites.official", "https://a.b", None), ("websites.official", "a.b", "invalid_public_url"),
+        ("x", " \n ", "invalid_public_text"), ("x", None, "invalid_public_text"), ("x", "a\rb c", "invalid_public_text"), ("x", "a | b", "uncompacted_public_text"), ("x", "a\nb\nc\nd\ne", "uncompacted_public_text"),
+        ("x", "ab", "invalid_public_text_length"), ("x", "a" * 401, "invalid_public_text_length"), ("offer.unit_formats", "a" * 241, "invalid_public_text_length"), ("x", "One. Two! Three? Four.", "too_many_public_sentences"), ("x", "One. Two! Three?", None),
+    ]
+    df = spark.createDataFrame([(i, t, v) for i, (t, v, _) in enumerate(rows)], "i int, t string, v string")
+    got = df.select("i", fields.public_text_issue(F.col("t"), F.col("v"), F.lit("MCX")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [r[2] for r in rows]
