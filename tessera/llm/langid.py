@@ -104,17 +104,17 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame) -> Model:
-    """Counts over a bounded sample: of each language the first ``PER_LANGUAGE`` documents by a hash of doc_id."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Counts over a bounded sample: of each language the first ``per_language`` documents by a hash of doc_id."""
     labelled = docs.select("doc_id", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    some = labelled.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).drop("n")
+    some = labelled.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).drop("n")
     some = cut(some)
-    # PER_LANGUAGE rows a language; with very many languages the ids meet the texts in a shuffle instead.
+    # per_language rows a language; with very many languages the ids meet the texts in a shuffle instead.
     ids = F.broadcast(some) if some.count() <= BROADCAST else some
     sample = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("lang", "text")
     rows = sample.repartition(PARTS).mapInArrow(_counted, _COUNTS)
-    # Counts meet by language, PARTS rows each; one row a language is the model.
+    # Counts meet by language, PARTS rows each; one row a language is the model, which every task holds anyway.
     sums = rows.groupBy("lang").applyInArrow(_summed, _COUNTS).toArrow().to_pylist()
     return Model.of({r["lang"]: (np.frombuffer(r["slots"], np.int64), np.frombuffer(r["scripts"], np.int64)) for r in sums})
 

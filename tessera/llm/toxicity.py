@@ -87,8 +87,12 @@ def train(x: np.ndarray, positive: np.ndarray, prior: float, seed: int, steps: i
     return theta
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], np.ndarray]:
-    """Vocabulary (token hash to feature) and classifiers (a row each, bias last).
+def fit(
+    docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = VOCABULARY
+) -> tuple[dict[int, int], np.ndarray]:
+    """Vocabulary (token hash to feature, ``features`` at most) and classifiers (a row each, bias last).
+
+    They are fitted on a sample of at most ``positives`` confirmed toxic and ``unlabelled`` unlabelled documents.
 
     Confirmed toxic examples are rows of ``labels`` with toxic = 1; the unlabelled sample is drawn from
     all documents. Both are the first by a hash of doc_id, of the fold that may be learned from; the
@@ -101,10 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], np.ndarray]
         return {}, np.full((1, 1), -20.0, np.float32)
     place = F.xxhash64("doc_id", F.lit("sample"))
     some = known.filter("toxic = 1").select("doc_id").distinct()
-    some = some.orderBy(place, "doc_id").limit(POSITIVES).withColumn("positive", F.lit(True))
+    some = some.orderBy(place, "doc_id").limit(positives).withColumn("positive", F.lit(True))
     rest = docs.select("doc_id").filter(fold & F.col("doc_id").isNotNull()).distinct()
-    rest = rest.orderBy(place, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
-    # At most POSITIVES + UNLABELLED rows, so the broadcast is bounded.
+    rest = rest.orderBy(place, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
+    # At most positives + unlabelled rows, so the broadcast is bounded.
     sample = docs.select("doc_id", "text").join(F.broadcast(some.unionByName(rest)), "doc_id")
     rows = cut(sample.select("doc_id", "positive", "text").mapInArrow(_token_rows, "doc_id bigint, positive boolean, tokens array<bigint>"))
     n_pos, n = rows.agg(F.count_if("positive"), F.count("*")).first()
@@ -117,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], np.ndarray]
     )
     gap = F.col("p") - F.col("q")
     z2 = gap * gap / (F.col("p") / n_pos + F.col("q") / n_unl)
-    vocabulary = share.filter((F.col("n") >= 5) & (z2 >= LEAST_Z2)).orderBy(z2.desc(), "token").limit(VOCABULARY).select("token")
+    vocabulary = share.filter((F.col("n") >= 5) & (z2 >= LEAST_Z2)).orderBy(z2.desc(), "token").limit(features).select("token")
     column = {r.token: i for i, r in enumerate(vocabulary.collect())}
     picked = each.join(F.broadcast(vocabulary), "token").groupBy("doc_id", "positive")
     picked = rows.select("doc_id", "positive").join(picked.agg(F.collect_list("token").alias("t")), ["doc_id", "positive"], "left")

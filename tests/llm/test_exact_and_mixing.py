@@ -36,6 +36,21 @@ def test_exact_dedup_spreads_a_hot_group_and_takes_an_empty_table(spark):
     assert exact_dedup.dedup(docs.limit(0)).collect() == []
 
 
+def test_runs_are_sorted_before_they_merge_and_one_repeated_row_stays(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "a b"), (2, "a b"), (None, "a b"), (None, "c"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = exact_dedup.dedup(docs)
+    got = found.collect()
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in got if r.keep_id == 1) == [(1, 5, False)] * 4 + [(1, 5, True)]
+    assert sorted((r.group_size, r.kept) for r in got if r.keep_id is None) == [(2, False), (2, True)]
+    plan = exact_dedup.merged(exact_dedup.leaves(exact_dedup.digest_rows(docs)))._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip(" +-:*()0123456789") for x in plan.split("\n")]
+    window = next(i for i, x in enumerate(lines) if x.startswith("Window ["))
+    # Nothing but the sort of the two runs, and one exchange, stands between the window and the leaves.
+    assert [x.split(" ")[0] for x in lines[window + 1 :] if x.startswith(("Sort ", "Exchange", "SortAggregate", "HashAggregate", "ObjectHashAggregate"))][:2] == ["Sort", "Exchange"]
+    assert "run#" in lines[window + 1] + lines[window + 2] and "sha#" in lines[window + 1] + lines[window + 2]
+
+
 def test_mixing_matches_sql_and_budgets(spark):
     docs = edge_docs(spark).filter("doc_id IS NOT NULL")
     found = mixing.mix(docs).collect()
