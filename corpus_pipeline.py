@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, SentencePiece encoding.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that its predecessor kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Every stage takes nulls in any column, empty and very long texts,
+repeated rows and further columns, and gives no rows for an empty table.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifiers do not reject."""
+    """Documents that the toxicity classifiers do not reject.
+
+    Null and empty texts hold no known word and stay. Repeated rows are each judged. Without a toxic label all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean(docs, toxicity.fit(docs, labels))
 
@@ -38,13 +42,19 @@ def _one_each(docs: DataFrame, winners: DataFrame) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, one row with the smallest doc_id."""
+    """Of documents with equal text, one row with the smallest doc_id.
+
+    Null text counts as empty. A null doc_id stays only where its whole group has none. Repeated rows of the winner: one stays.
+    """
     kept = exact_dedup.dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return _one_each(docs, kept.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, one row with the smallest doc_id."""
+    """Of each component of near-duplicates, one row with the smallest doc_id, and of its texts the least digest.
+
+    Null and empty texts are one component. Null doc_ids as in exact dedup.
+    """
     found = simhash.members(docs, key=_digest()).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     texts = found.groupBy("component", "doc_id", F.col("key").alias("digest")).agg(F.count("*").alias("n"))
     winners = texts.groupBy("component").agg(F.min(F.struct("doc_id", "digest", "n")).alias("w"))
@@ -52,7 +62,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole epochs, and the one that a cut goes through if half of it is in."""
+    """Documents as often as the mix takes them: whole epochs, and the one that a cut goes through if half of it is in.
+
+    Documents without a word have no share of a mix of words, and go. Null source: a source of its own. Rows of one
+    doc_id are taken alike, as often as the one of them that is taken most.
+    """
     taken = mixing.mix(docs).select(
         F.col("doc_id").alias("_taken_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("_copies")
     )
@@ -62,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document."""
+    """Piece ids of each document; none for null and empty texts. Repeated rows are each encoded."""
     return sentencepiece_lattice.encode(docs).select("doc_id", F.size("ids").alias("n_pieces"), "ids")
 
 
