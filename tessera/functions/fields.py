@@ -66,6 +66,17 @@ TRANSIENT = {
     "APIConnectionError": "connection_error",
     "ServiceUnavailableError": "provider_server_error",
 }
+#: Stable codes of a provider's exceptions; others are provider_exception. Fixed values.
+EXCEPTIONS = {
+    "RateLimitError": "rate_limit",
+    "APITimeoutError": "timeout",
+    "AuthenticationError": "authentication_error",
+    "PermissionDeniedError": "permission_denied",
+    "BadRequestError": "invalid_request",
+    "InternalServerError": "provider_server_error",
+    "APIConnectionError": "connection_error",
+    "APIStatusError": "provider_status_error",
+}
 #: What inherited notes begin with. Fixed value.
 INHERITED = "Inherited from exact predecessor Searcher artifact. "
 _WORDS = r"([a-z0-9ąćęłńóśźż]+)"
@@ -146,6 +157,12 @@ def transient_code(log: Column, tail: int = 100_000) -> Column:
     return F.when(named != "", F.try_element_at(codes, named)).otherwise(told)
 
 
+def exception_code(name: Column) -> Column:
+    """Stable code of an exception by its class."""
+    codes = F.create_map(*[F.lit(x) for pair in EXCEPTIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(codes, name), F.lit("provider_exception"))
+
+
 def ledger_paths(log: Column, tail: int = 100_000) -> Column:
     """Distinct ledgers of attempts that a log names, in order."""
     lists = F.regexp_extract_all(F.right(log, F.lit(tail)), F.lit(r"(?:Failure ledger|Provider usage saved to):\s*([^\n]+)"), F.lit(1))

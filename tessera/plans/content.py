@@ -79,6 +79,15 @@ def log_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", fd.transient_code(log).alias("code"), fd.ledger_paths(log).alias("ledgers"))
 
 
+@_R.query("""
+SELECT event_type, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'view' THEN 'permission_denied' WHEN 'click' THEN 'provider_status_error' ELSE 'provider_exception' END AS code, count(*) AS n FROM events GROUP BY 1
+""")
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exceptions by their stable code."""
+    name = F.expr("CASE event_type WHEN 'error' THEN 'RateLimitError' WHEN 'view' THEN 'PermissionDeniedError' WHEN 'click' THEN 'APIStatusError' ELSE 'KeyError' END")
+    return load(spark, sf_dir, "events").groupBy("event_type", fd.exception_code(name).alias("code")).agg(F.count("*").alias("n"))
+
+
 @_R.query("""
 SELECT doc_id, md5(substr('Inherited from exact predecessor Searcher artifact. ' || text, 1, 1000)) AS note FROM documents
 """)

@@ -27,6 +27,13 @@ def status_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.explode(shown).alias("tab"), "p_partkey")
 
 
+@_R.query("SELECT d.doc_id, lang FROM documents d JOIN labels l USING (doc_id) WHERE quality = 1 AND toxic = 0")
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published articles only; the status reaches the scan."""
+    status = load(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return load(spark, sf_dir, "documents").select("doc_id", "lang").join(status, "doc_id")
+
+
 @_R.query("""
 WITH s AS (SELECT l_suppkey AS org, l_orderkey, l_linenumber, l_shipdate <= TIMESTAMP '1998-06-01' AND l_shipdate + to_days(l_quantity::INT) >= TIMESTAMP '1998-06-01' AS active,
   CASE l_returnflag WHEN 'N' THEN l_extendedprice WHEN 'R' THEN l_extendedprice / 12 ELSE 0.0 END AS mrr, l_returnflag FROM lineitem)

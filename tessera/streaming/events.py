@@ -78,3 +78,25 @@ def visits(events: DataFrame) -> DataFrame:
     tag = lambda name: F.nullif(F.regexp_extract("url", rf"[?&]utm_{name}=([^&#]*)", 1), F.lit("")).alias(name)
     kinds = F.explode(F.array(F.lit("visit"), F.lit("page_view"))).alias("kind")
     return events.select("event_id", "user_id", tag("source"), tag("campaign"), kinds)
+
+
+def timeouts(events: DataFrame, hours: int = 2) -> DataFrame:
+    """M4: users whose last event is over ``hours`` old by the stream's own clock, as ``user_id, heartbeat, state``; a later event starts anew.
+
+    The state is one time a user; the timer is the watermark, so a run over old files fails the same users as a live one.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "heartbeat": [last], "state": ["failed"]})
+            return
+        last = max(int(b["ts"].astype("datetime64[us]").astype("int64").max()) for b in batches)
+        last = max(last, state.get[0]) if state.exists else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("ts", "0 seconds").groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, heartbeat long, state string", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
