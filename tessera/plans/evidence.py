@@ -12,6 +12,7 @@ from tessera.functions.numbers import ratio
 from tessera.operators.relational import top_per_key
 from tessera.operators.sequential import take_while_fits
 from tessera.plans.registry import Registry
+from tessera.sources.scratch import scratch
 from tessera.sources.tables import load
 
 _R = Registry()
@@ -62,15 +63,21 @@ FROM (SELECT *, replace(strip_accents(lower(passage)), 'ł', 'l') AS f FROM s) W
 
 
 def _scored(spark, sf_dir):
-    rows = passages(spark, sf_dir)
-    hit = [F.lower("passage").contains(t) for t in _TERMS]
+    rows, low = passages(spark, sf_dir), F.lower("passage")
+    bits = sum((F.when(low.contains(t), 1 << i).otherwise(0) for i, t in enumerate(_TERMS)), F.lit(0))
+    rows = rows.select("doc_id", "pos", "passage", bits.alias("bits"))
+    rows = rows.select("doc_id", "pos", "bits", F.when(F.col("bits") > 0, ev.boilerplate_penalty(F.col("passage"))).alias("penalty"))
+    # Texts are split and searched once; frequencies and scores both read the marks, a few bytes a passage.
+    path = scratch(spark, "marks")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    hit = [F.col("bits").bitwiseAND(1 << i) > 0 for i in range(len(_TERMS))]
     # Frequencies of the few query terms come from one aggregate, and go back as one row.
     df = rows.agg(F.count("*").alias("n"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(hit)])
-    rows = rows.join(F.broadcast(df), how="cross")
+    rows = rows.filter("bits > 0").crossJoin(F.broadcast(df))
     raw = sum((F.when(h, ev.idf(F.col(f"df{i}"), F.col("n"))).otherwise(0.0) for i, h in enumerate(hit)), F.lit(0.0))
     signature = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(h, t) for h, t in zip(hit, _TERMS, strict=True)]))), ",")
-    rows = rows.select("doc_id", "pos", "passage", raw.alias("raw"), signature.alias("signature")).filter("raw > 0")
-    return rows.select("doc_id", "pos", "signature", F.round(F.col("raw") - ev.boilerplate_penalty(F.col("passage")), 6).alias("score"))
+    return rows.select("doc_id", "pos", signature.alias("signature"), F.round(raw - F.col("penalty"), 6).alias("score"))
 
 
 @_R.query(_SCORED)
