@@ -129,9 +129,16 @@ def window_slots(text: str, length: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.int64)
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    h = np.full(n, length, np.uint64)
-    for j in range(length):
-        h = h * np.uint64(_PRIME) + chars[j : j + n]
+    # Hashes of 1, 2, 4, ... characters, each from the one before; the length's binary digits choose which make it up.
+    h, done, size, power, part = np.full(n, length, np.uint64), 0, 1, np.uint64(_PRIME), chars
+    with np.errstate(over="ignore"):
+        while size <= length:
+            if length & size:
+                h = h * power + part[done : done + n]
+                done += size
+            if 2 * size <= length:
+                part = part[:-size] * power + part[size:]
+            size, power = 2 * size, power * power
     h ^= h >> np.uint64(29)
     return (h * _MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
