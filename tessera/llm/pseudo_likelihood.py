@@ -362,7 +362,9 @@ def fit(blocks: DataFrame) -> list[np.ndarray]:
     their words, in a tree: no task ever holds more than ``FAN_IN`` of them.
     """
     words = blocks.select("block", "classes", "lens")
-    first = words.orderBy(F.xxhash64("block", F.lit("warm")), "block").limit(1)
+    # The block is chosen by its number alone, so that only one block's words travel.
+    first = blocks.select("block").orderBy(F.xxhash64("block", F.lit("warm")), "block").first()
+    first = words.filter(F.col("block") == (first.block if first else -1))
     start = first.select("classes", "lens").mapInArrow(_train(packed(initial()), WARM), _MODEL).filter("weight > 0").first()
     start = bytes(start.params) if start else packed(initial())
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
