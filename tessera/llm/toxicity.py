@@ -119,8 +119,10 @@ def fit(
     share = each.groupBy("token").agg(
         (F.count_if("positive") / n_pos).alias("p"), (F.count_if(~F.col("positive")) / n_unl).alias("q"), F.count("*").alias("n")
     )
-    gap = F.col("p") - F.col("q")
-    z2 = gap * gap / (F.col("p") / n_pos + F.col("q") / n_unl)
+    # Both samples share one rate if the feature says nothing, so their pooled rate gives the variance: with few toxic
+    # examples, a common word that none of them happens to hold is no evidence.
+    gap, rate = F.col("p") - F.col("q"), F.col("n") / (n_pos + n_unl)
+    z2 = gap * gap / F.greatest(rate * (1 - rate) * (1 / n_pos + 1 / n_unl), F.lit(1e-12))
     vocabulary = share.filter((F.col("n") >= 5) & (z2 >= LEAST_Z2)).orderBy(z2.desc(), "token").limit(features).select("token")
     column = {r.token: i for i, r in enumerate(vocabulary.collect())}
     picked = each.join(F.broadcast(vocabulary), "token").groupBy("doc_id", "positive")

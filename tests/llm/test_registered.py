@@ -22,9 +22,8 @@ def test_op1_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL")
     rows = queries.op1_toxicity(spark, sf).join(labels, "doc_id").collect()
     toxic, clean = ([r.score for r in rows if r.held_out and r.toxic == k] for k in (1, 0))
-    # Of a toxic and a clean document the toxic one scores higher nearly always; clean ones are let alone.
-    if toxic:
-        assert np.mean(np.array(toxic)[:, None] > np.array(clean)[None, :]) > 0.8
+    # With some tens of toxic examples to learn from, a toxic document mostly scores higher than a clean one; clean ones are let alone.
+    assert np.mean(np.array(toxic)[:, None] > np.array(clean)[None, :]) > 0.65
     assert np.mean(np.array(clean) < 0.5) > 0.9
 
 
