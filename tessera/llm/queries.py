@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, exact_dedup, langid, mixing, pseudo_likelihood, sentencepiece_lattice, simhash, substring_dedup, toxicity, urlfilter
+from tessera.llm import ann, exact_dedup, langid, lexical, mixing, pseudo_likelihood, quality, sentencepiece_lattice, simhash, substring_dedup, toxicity, urlfilter, vafile
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,30 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_simhash, op4_substring, op5_urlfilter, op6_pseudo_likelihood, op7_sentencepiece, op8_exact_dedup, op9_mixing, op10_ann)}
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+def op11_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 40 clusters after five rounds."""
+    return vafile.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict on all documents."""
+    return quality.judged(_documents(spark, sf_dir))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_OPERATORS = (
+    op1_toxicity, op2_langid, op3_simhash, op4_substring, op5_urlfilter, op6_pseudo_likelihood, op7_sentencepiece,
+    op8_exact_dedup, op9_mixing, op10_ann, op11_vafile, op12_quality, op13_lexical,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES = {
+    "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+    "op11_vafile": vafile.ORACLE,
+    "op12_quality": quality.ORACLE,
+    "op13_lexical": lexical.ORACLE,
+}
