@@ -7,7 +7,7 @@ import numpy as np
 from tessera.llm.blocks import squeezed, unsqueezed
 
 #: States that one item takes up in a step, best bounds first.
-BEAM = 64
+BEAM = 256
 _BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
 
 
