@@ -8,7 +8,7 @@ from tessera.llm.blocks import squeezed, unsqueezed
 
 #: States that one item takes up in a step, best bounds first.
 BEAM = 256
-_BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+_BITS = np.array([bin(i).count("1") for i in range(16)], np.int32)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -27,14 +27,14 @@ def build(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> bytes:
     height = max(1, int(max(row.max(initial=0), column.max(initial=0))).bit_length())
     key = (_spread(row) << np.uint64(1)) | _spread(column)
     order = np.argsort(key)
-    key, most = key[order], value[order].astype(np.int64)
+    key, most = key[order], value[order].astype(np.int32)
     masks, lacks = [], []
     for _ in range(height):
         up = key >> np.uint64(2)
         start = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
         many = np.diff(np.append(start, len(key)))
         above = np.maximum.reduceat(most, start)
-        masks.append(np.bitwise_or.reduceat(np.left_shift(1, (key & np.uint64(3)).astype(np.int64)), start))
+        masks.append(np.bitwise_or.reduceat(np.left_shift(1, (key & np.uint64(3)).astype(np.int32), dtype=np.int32), start))
         lacks.append(np.repeat(above, many) - most)
         key, most = up[start], above
     return squeezed(np.array([height, int(most[0])]), *masks[::-1], *lacks[::-1])
@@ -52,12 +52,14 @@ class Tree:
 
 def load(blob: bytes) -> Tree:
     (height, top), *rest = unsqueezed(blob)
-    masks, most = rest[:height], [np.array([top], np.int64)]
+    masks, most = rest[:height], [np.array([top], np.int32)]
     for mask, lack in zip(masks, rest[height:], strict=True):
         most.append(np.repeat(most[-1], _BITS[mask]) - lack)
-    mask = np.concatenate([*masks, np.zeros(len(most[-1]), np.int32)])
-    many = _BITS[mask]
-    return Tree(int(height), mask, 1 + np.cumsum(many) - many, np.concatenate(most))
+    mask = np.concatenate([*masks, np.zeros(len(most[-1]), np.int32)]).astype(np.uint8)
+    child = np.ones(len(mask), np.int32)
+    np.cumsum(_BITS[mask[:-1]], out=child[1:], dtype=np.int32)
+    child[1:] += 1
+    return Tree(int(height), mask, child, np.concatenate(most))
 
 
 def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -97,7 +99,7 @@ def search(tree: Tree, item: np.ndarray, row: np.ndarray, weight: np.ndarray, k:
         halves = []
         for half in (0, 1):
             slot = 2 * bit + half
-            mask = tree.mask[e_node]
+            mask = tree.mask[e_node].astype(np.int64)
             goes = (mask >> slot) & 1 == 1
             below = tree.child[e_node[goes]] + _BITS[mask[goes] & ((1 << slot[goes]) - 1)]
             halves.append((of[goes], below, e_path[goes], e_heavy[goes], half))

@@ -14,7 +14,7 @@ from tessera.llm.blocks import Numbers, squeezed, unsqueezed
 from tessera.llm.common import cut, slices, text_bytes
 
 #: Text bytes of a shard, and items of a block and their text bytes (one item at least).
-SHARD, ITEMS, ITEM_BYTES = 16 << 20, 256, 1 << 20
+SHARD, ITEMS, ITEM_BYTES = 8 << 20, 256, 1 << 20
 #: Items that descend together, which bounds a task's memory.
 TOGETHER = 32
 #: Groups of shards for each of the session's shuffle partitions: items go once to each group.
@@ -84,7 +84,7 @@ def postings(docs: DataFrame) -> DataFrame:
                     yield closed()
                 ids.append(doc_id)
                 lengths.append(len(of))
-                tokens.append(np.fromiter(map(numbers.__getitem__, of), np.int64, len(of)))
+                tokens.append(np.fromiter(map(numbers.__getitem__, of), np.int32, len(of)))
                 size += len(text)
         if ids:
             yield closed()

@@ -144,8 +144,8 @@ WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS tag, coalesce(te
      b AS (SELECT doc_id, lang, source, tag, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                   coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (tag)),
-     j AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, 100 * word_chars // n_words AS chars,
-                  10000 * n_symbols // n_words AS symbols, 10000 * n_dup_lines // n_words AS dup_lines, 10000 * n_repeat_words // n_words AS repeats FROM b),
+     j AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, 100 * word_chars // nullif(n_words, 0) AS chars,
+                  10000 * n_symbols // nullif(n_words, 0) AS symbols, 10000 * n_dup_lines // nullif(n_words, 0) AS dup_lines, 10000 * n_repeat_words // nullif(n_words, 0) AS repeats FROM b),
      v AS (UNPIVOT (SELECT lang, source, {", ".join(MEASURES)} FROM j WHERE NOT base_failed) ON {", ".join(MEASURES)} INTO NAME measure VALUE v),
      sketch AS (SELECT lang, source, measure, (v >> s) << s AS cell, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - {KEPT_BITS}, 0) AS s FROM v) GROUP BY ALL),
      {_LEVEL("own", "lang, source,")}, {_LEVEL("tongue", "lang,")}, {_LEVEL("whole", "")},
