@@ -39,6 +39,15 @@ def _parsed(batch: pa.RecordBatch, hashes: _Hashes, window: int):
     return rows, words, lens, *witnesses(words, lens, window)
 
 
+def _version(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def _texts(batch: pa.RecordBatch, rows: np.ndarray, wanted: np.ndarray) -> list[bytes]:
+    """Texts of the rows, empty where not wanted."""
+    return [batch.column("text")[int(i)].as_py().encode() if wanted[i] else b"" for i in rows]
+
+
 def _symbols(window: int):
     """``symbol, doc_id``: the witnesses of each document's windows, once each."""
 
@@ -61,7 +70,10 @@ def _symbols(window: int):
 
 
 def _windows(window: int):
-    """``symbol, salt, doc_id, first, hashes``: runs of windows under one shared symbol, each window hashed whole."""
+    """``symbol, salt, doc_id, version, first, hashes``: runs of windows under one shared symbol, each window hashed whole.
+
+    ``version`` tells apart the texts of a doc_id that has several; it is 0 for all others.
+    """
 
     def run(batches):
         hashes = _Hashes()
@@ -88,11 +100,13 @@ def _windows(window: int):
             place = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
             head = np.flatnonzero(place % RUN == 0)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)[doc[head]]
+            several = batch.column("several").fill_null(False).to_numpy(zero_copy_only=False)
+            version = np.array([_version(t) if s else 0 for s, t in zip(several[rows].tolist(), _texts(batch, rows, several), strict=True)], np.int64)
             salt = np.where(salts[head] > 0, ids % np.maximum(salts[head], 1), -1)
             lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), pa.array(window_hashes(words, at, window).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found[head]), pa.array(salt, pa.int64()), pa.array(ids), pa.array(at[head] - (np.cumsum(lens) - lens)[doc[head]], pa.int32()), lists],
-                names=["symbol", "salt", "doc_id", "first", "hashes"],
+                [pa.array(found[head]), pa.array(salt, pa.int64()), pa.array(ids), pa.array(version[doc[head]]), pa.array(at[head] - (np.cumsum(lens) - lens)[doc[head]], pa.int32()), lists],
+                names=["symbol", "salt", "doc_id", "version", "first", "hashes"],
             )
 
     return run
@@ -105,8 +119,12 @@ def _kept(window: int):
             places = batch.column("runs")
             for i, text in enumerate(text_bytes(batch, "text")):
                 words = (text or b"").split()
-                if places[i].is_valid:
-                    runs = places[i].values
+                runs = places[i].values if places[i].is_valid else None
+                if runs is not None:
+                    version = runs.field("version").to_numpy(zero_copy_only=False)
+                    if version.any():
+                        runs = runs.filter(pa.array(version == _version(text or b"")))
+                if runs is not None and len(runs):
                     mask = runs.field("mask").to_numpy(zero_copy_only=False).view(np.uint64)
                     bit = (mask[:, None] >> np.arange(RUN, dtype=np.uint64)) & np.uint64(1)
                     run, place = np.nonzero(bit)
@@ -130,7 +148,7 @@ def _kept(window: int):
 
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, first, mask``: windows that also start in a document with a smaller doc_id, at ``first`` + each bit of ``mask``.
+    """``doc_id, version, first, mask``: windows that also start in a document with a smaller doc_id, at ``first`` + each bit of ``mask``.
 
     Symbols that only one document has end their windows' search; documents get the shared ones back and
     hash the windows under them. Windows meet by symbol, runs of them in one row, and the smallest
@@ -142,23 +160,25 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     salts = F.when(F.col("n") > HOT, F.ceil(F.col("n") / HOT)).otherwise(0).cast("bigint")
     shared = shared.filter("low < high").select("symbol", salts.alias("salts"))
     back = symbols.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "salts")).alias("shared"))
+    text = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    back = back.join(text.filter("a <> b").select("doc_id", F.lit(True).alias("several")), "doc_id", "left")
     # A left join without a filter above it, so that this and the last join read the same exchange of texts.
     found = docs.join(back, "doc_id", "left")
-    met = found.mapInArrow(_windows(window), "symbol bigint, salt bigint, doc_id bigint, first int, hashes array<bigint>")
-    each = met.repartition("symbol", "salt").select("symbol", "salt", "doc_id", "first", F.posexplode("hashes").alias("place", "hash"))
+    met = found.mapInArrow(_windows(window), "symbol bigint, salt bigint, doc_id bigint, version bigint, first int, hashes array<bigint>")
+    each = met.repartition("symbol", "salt").select("symbol", "salt", "doc_id", "version", "first", F.posexplode("hashes").alias("place", "hash"))
     # A window, since it is content with the exchange by symbol and salt, where a join would add one of its own.
     each = each.withColumn("low", F.min("doc_id").over(Window.partitionBy("symbol", "salt", "hash")))
     # All that follows reads these rows, one a run, so that everything below is planned alike and its exchange is shared.
-    runs = each.groupBy("symbol", "salt", "doc_id", "first").agg(
+    runs = each.groupBy("symbol", "salt", "doc_id", "version", "first").agg(
         F.bit_or(F.when(F.col("low") < F.col("doc_id"), F.expr("shiftleft(1L, place)")).otherwise(0)).alias("mask"),
         F.collect_list(F.when((F.col("low") == F.col("doc_id")) & (F.col("salt") >= 0), F.struct("place", "hash"))).alias("tops"),
     )
-    done = runs.filter("mask <> 0").select("doc_id", "first", "mask")
+    done = runs.filter("mask <> 0").select("doc_id", "version", "first", "mask")
     # Smallest of their salt: of hot symbols only.
-    hot = runs.select("symbol", "doc_id", "first", F.explode("tops").alias("top")).select("symbol", "doc_id", "first", "top.place", "top.hash")
+    hot = runs.select("symbol", "doc_id", "version", "first", F.explode("tops").alias("top")).select("symbol", "doc_id", "version", "first", "top.place", "top.hash")
     # One row a salt and place, so a window's rows are few even where very many documents hold it; it needs no second reading of them.
     late = hot.withColumn("least", F.min("doc_id").over(Window.partitionBy("symbol", "hash"))).filter("least < doc_id")
-    late = late.groupBy("doc_id", "first").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    late = late.groupBy("doc_id", "version", "first").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     return done.unionByName(late)
 
 
@@ -169,11 +189,11 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     document with a smaller doc_id. Windows are judged on the input. ``kept``: the words left, joined by one space.
 
     Null, empty and shorter texts: nothing to remove. Null doc_id: neither smaller nor larger than
-    another, so nothing is removed for it or from it. Repeated rows of one doc_id are one document: each loses
-    the places at which either has a repeated window. Empty table: no rows. Other columns are ignored.
+    another, so nothing is removed for it or from it. Rows of one doc_id do not remove from
+    each other; each loses what its own text shares with a smaller doc_id. Empty table: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    runs = covered(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("runs"))
+    runs = covered(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("version", "first", "mask")).alias("runs"))
     return docs.join(runs, "doc_id", "left").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 

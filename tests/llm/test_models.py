@@ -81,6 +81,15 @@ def test_toxicity_on_edge_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
 
 
+def test_toxicity_sample_holds_one_row_of_each_doc_id(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("if(id < 19000, 1L, id) AS doc_id", "concat('word', id % 7, if(id % 2 = 0, ' vile', ' kind')) AS text")
+    labels = spark.createDataFrame([(1, 1), (19_001, 1), (19_002, 0), (19_003, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "cut", lambda df: seen.append(df) or df)
+    toxicity.fit(docs, labels, positives=10, unlabelled=40)
+    assert seen[0].count() <= 50 and seen[0].groupBy("doc_id", "positive").count().filter("count > 1").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_nnpu_risk_prefers_the_positive_feature(seed):
     rng = np.random.default_rng(seed)

@@ -146,3 +146,10 @@ def test_vectors_that_take_no_part(spark):
     found = sorted((r.query_id, r.rank, r.vec_id) for r in ann.neighbours(df, every=50, k=5).collect())
     assert found == [(0, 1, 3), (0, 2, 100), (0, 3, 4), (100, 1, 0), (100, 2, 3), (100, 3, 4)]
     assert ann.neighbours(df.limit(0), every=50, k=5).collect() == []
+
+
+def test_vectors_whose_squares_leave_the_double_range(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1.0, 0.1]), (2, [1e-200, 1e-200]), (3, [3e300, -3e299]), (4, [0.0, 5e-324])]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=5).collect()
+    got = [(r.vec_id, round(r.score, 9)) for r in sorted(found, key=lambda r: r["rank"])]
+    assert got == [(1, round(1 / 1.01**0.5, 9)), (3, round(1 / 1.01**0.5, 9)), (2, round(0.5**0.5, 9)), (4, 0.0)]

@@ -31,11 +31,10 @@ def test_near_dups_on_edge_rows(spark):
     assert simhash.near_dups(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("clusters,n,spread,leaf,links", [(1, 1500, 6, 256, 10**6), (1, 1500, 6, 4, 0), (5, 3000, 9, 256, 0), (40, 2000, 4, 8, 10**6)])
-def test_index_loses_no_link(spark, monkeypatch, clusters, n, spread, leaf, links):
+@pytest.mark.parametrize("clusters,n,spread,leaf", [(1, 1500, 6, 256), (1, 1500, 6, 4), (5, 3000, 9, 256), (40, 2000, 4, 8)])
+def test_index_loses_no_link(spark, monkeypatch, clusters, n, spread, leaf):
     """Dense clusters, many of them in one top node and over several leaves and levels of upper nodes; nodes' links in parts."""
     monkeypatch.setattr(simhash, "LEAF", leaf)
-    monkeypatch.setattr("tessera.llm.components.TASK_LINKS", links)
     rng = np.random.default_rng(n)
     centres = rng.integers(0, 1 << 63, clusters, dtype=np.uint64)
     found = set()
@@ -123,3 +122,13 @@ def test_equal_windows_have_equal_witnesses():
         seen.add(tuple(found[np.searchsorted(at, np.arange(len(left), len(left) + 31))].tolist()))
         assert len(at) == len(text) - 49
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_texts_of_one_doc_id_lose_only_their_own_windows(spark, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, f"{c} {b}"), (4, b), (4, None), (4, c), (5, f"{a} z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup(docs).collect())
+    assert got == [(1, 60, 0), (2, 60, 0), (2, 60, 0), (2, 60, 60), (3, 120, 60), (4, 0, 0), (4, 60, 60), (4, 60, 60), (5, 61, 60)]
