@@ -92,7 +92,8 @@ def fit(
 ) -> tuple[dict[int, int], np.ndarray]:
     """Vocabulary (token hash to feature, ``features`` at most) and classifiers (a row each, bias last).
 
-    They are fitted on a sample of at most ``positives`` confirmed toxic and ``unlabelled`` unlabelled documents.
+    They are fitted on a sample of at most ``positives`` confirmed toxic and ``unlabelled`` unlabelled documents. Of
+    several rows of one doc_id, the sample has the text of smallest hash.
 
     Confirmed toxic examples are rows of ``labels`` with toxic = 1; the unlabelled sample is drawn from
     all documents. Both are the first by a hash of doc_id, of the fold that may be learned from; the
@@ -110,6 +111,8 @@ def fit(
     rest = rest.orderBy(place, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
     # At most positives + unlabelled rows, so the broadcast is bounded.
     sample = docs.select("doc_id", "text").join(F.broadcast(some.unionByName(rest)), "doc_id")
+    # One row an id and half, merged before it is exchanged: repeats neither add to the sample nor meet in one task.
+    sample = sample.groupBy("doc_id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = cut(sample.select("doc_id", "positive", "text").mapInArrow(_token_rows, "doc_id bigint, positive boolean, tokens array<bigint>"))
     n_pos, n = rows.agg(F.count_if("positive"), F.count("*")).first()
     n_unl = n - n_pos
