@@ -6,19 +6,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpointed, met
 
 
-#: Links up to which all of them may meet at one node in one task; beyond, a node's links are dealt to parts.
-TASK_LINKS = 1_000_000
-
-
-def _star(edges: DataFrame, large: bool, parted: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger (or smaller and own) neighbours to the smallest of its neighbourhood."""
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # The minimum is aggregated before the join; with very many links it comes back in parts, as one node may have most of them.
+    # The minimum is aggregated before the join and comes back in parts, as one node may have most of the links.
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = met(around, least, "a", "b") if parted else around.join(least, "a")
+    moved = met(around, least, "a", "b")
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -35,10 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     as many as they were. Nodes without a link to another node are not returned.
     """
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    # Rounds never add links, so the first count bounds all of them.
-    parted, state = edges.count() > TASK_LINKS, None
+    state = None
     while True:
-        edges = checkpointed(_star(_star(edges, True, parted), False, parted))
+        edges = checkpointed(_star(_star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
