@@ -28,8 +28,15 @@ def _packed(table: pa.Table, dtype) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(table.num_rows, -1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two that brings their largest component near 1: cosines stay the same, and squares stay doubles."""
     wide = x.astype(np.float64)
+    _, power = np.frexp(np.abs(wide).max(axis=1, keepdims=True))
+    return np.ldexp(wide, -power)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    wide = _scaled(x)
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -93,7 +100,7 @@ def neighbours(vectors: DataFrame, every: int, k: int) -> DataFrame:
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
     without vec_id. Vectors of different lengths are never compared. Repeated rows are one candidate; a
-    query never finds its own vec_id. Fewer candidates than ``k``: all of them. Empty table: no rows.
+    query never finds its own vec_id. Components of any size in the double range count. Fewer candidates than ``k``: all of them. Empty table: no rows.
     Other columns are ignored.
     """
     rows = valid(vectors)
@@ -121,7 +128,7 @@ def neighbours(vectors: DataFrame, every: int, k: int) -> DataFrame:
                 near = hnsw.search(_unit(x), level, _graph(row), _unit(q))[:, : 2 * k + 8]
                 of, spot = np.nonzero(near >= 0)
                 point = near[of, spot]
-                a, b = q[of], x[point].astype(np.float64)
+                a, b = _scaled(q)[of], _scaled(x[point])
                 score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
                 many = offsets[point + 1] - offsets[point]
                 of, score = np.repeat(of, many), np.repeat(score, many)
