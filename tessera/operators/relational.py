@@ -24,6 +24,20 @@ def contains_any(columns: Sequence[str], needle: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).contains(needle.lower()), F.lit(False)) for c in columns])
 
 
+#: Parts that the rows of one key are dealt to, see ``join_hot``.
+PARTS = 64
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``facts`` (one row a ``key``), where one key may hold a third of all rows.
+
+    A key's rows are dealt to ``PARTS`` parts by a hash of ``by``; facts go to the parts that exist, and from there to the rows.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    parts = dealt.select(key, "_part").distinct().join(facts, key)
+    return dealt.join(parts, [key, "_part"], how).drop("_part")
+
+
 def valid_at(start: str, end: str, at: Column) -> Column:
     """Inside a validity interval whose end may be open."""
     return (F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) >= at))
