@@ -10,8 +10,8 @@ from tessera.operators.relational import join_hot
 
 #: An item's choices, in order of preference: the name of an action, what it draws on, and the ids of its pool.
 #: ``pool``: ids that were granted before are free, others cost one of the first budget each; the choice gives something if any
-#: id is had. ``search``: the item's task, free if granted before, else one of the second budget. ``forced``: the task is
-#: granted whatever is left, and counts. ``always``: gives something and costs nothing.
+#: id is had. ``search``: the item's task, free if granted before, else one of the second budget. ``forced``, as the first choice only: the task
+#: is granted whatever is left, and counts. ``always``: gives something and costs nothing.
 CHOICES = "array<struct<action: string, kind: string, ids: array<bigint>>>"
 
 
@@ -38,7 +38,7 @@ def deciding(items: DataFrame, sources: int, searches: int) -> DataFrame:
     first = F.try_element_at("choices", F.lit(1))
     forced = items.filter(first["kind"] == "forced")
     place = F.row_number().over(Window.partitionBy("run").orderBy("seq"))
-    forced = forced.withColumn("_place", place).filter(F.col("_place") <= searches).drop("_place")
+    forced = forced.withColumn("_place", place).filter(F.col("_place") <= searches).select(*alike.columns)
     ids = alike.filter(first["kind"] == "pool").select("run", "seq", F.explode(first["ids"]).alias("id")).groupBy("run", "id").agg(F.min("seq").alias("seq"))
     tasks = alike.filter(first["kind"] == "search").groupBy("run", "task").agg(F.min("seq").alias("seq"))
     demands = tasks.select("run", "seq").unionByName(forced.select("run", "seq"))

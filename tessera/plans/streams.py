@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
-from tessera.streaming import events
+from tessera.sources.scratch import scratch
+from tessera.sources.tables import load
+from tessera.streaming import effects, events
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -53,3 +55,19 @@ def corrupt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = stream.select(F.when(F.col("event_type") == "error", F.concat(F.lit("{oops"), line)).otherwise(line).alias("line"))
     rows = events.drained(events.parsed(lines, "event_id bigint, user_id bigint, event_type string"), "append", "corrupt_events")
     return rows.groupBy((~F.col("corrupt")).alias("readable")).agg(F.count("*").alias("n"), F.sum("row.event_id").alias("ids"))
+
+
+@_R.query("""
+SELECT event_id, event_type <> 'error' OR event_id % 2 = 0 AS processed, CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'no such subscription: ' || event_id ELSE '' END AS error FROM events
+""")
+def exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events delivered in waves, each of them twice, take effect once; those that fail are kept and tried again."""
+    rows, waves = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "waves")
+    rows.select("*", F.explode(F.array(F.pmod("event_id", F.lit(3)), F.pmod("event_id", F.lit(3)) + 1)).alias("wave")).write.partitionBy("wave").parquet(waves)
+    error = F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 1), F.concat(F.lit("no such subscription: "), F.col("event_id")))
+    error = error.when((F.col("event_type") == "error") & (F.col("attempts") == 0), "temporary failure")
+    ledger = effects.Ledger(spark, scratch(spark, "ledger"), "event_id", "ts", lambda batch: batch.withColumn("error", error))
+    stream = spark.readStream.schema(spark.read.parquet(waves).schema).option("maxFilesPerTrigger", 64).parquet(waves)
+    effects.run(stream.drop("wave"), ledger, scratch(spark, "ledger-state"))
+    ledger.retry()
+    return effects.states(ledger)
