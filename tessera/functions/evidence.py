@@ -186,45 +186,55 @@ def head_places(lengths: list[int], slots: list[int]):
     return run
 
 
-def page_order(scores: list[int], sample: int = 20) -> list[int]:
-    """Pages in order of interest: those with a score, best first; the first; an even sample; all others."""
-    n, k = len(scores), min(sample, len(scores))
-    ranked = sorted((i for i in range(n) if scores[i] > 0), key=lambda i: (-scores[i], i))
-    even = [round(i * (n - 1) / max(k - 1, 1)) for i in range(k)]
-    return list(dict.fromkeys([*ranked, *range(min(n, 1)), *even, *range(n)]))
+#: Characters that a page needs at least, that part two pages, and pages of the even sample.
+LEAST_PAGE, BETWEEN, SAMPLE = 10, 3, 20
 
 
-def chosen_pages(pages: list[str], terms: list[str], most: int) -> tuple[list[int], int, bool]:
-    """Numbers (from 1) of the pages that fit ``most`` characters, the characters that they take, and whether any is cut or left out.
+def ranked_pages(pages: Column, terms: list[str]) -> Column:
+    """Pages that are not blank as ``tier, points, page, size``, in the order in which a reader would want them.
 
-    Each page costs its text, a heading with its number, and a separator between pages. The page that no longer
-    fits is cut, unless fewer than ten characters are left for it; later, shorter ones may still fit.
+    Tier 0 holds pages with wanted terms, those with most of them first; then come the first page, an even
+    sample, and the rest, each by number. ``size`` are the characters without white space at the ends.
     """
-    full = [i for i, p in enumerate(pages) if p.strip()]
-    wanted = set(terms)
-    scores = [len(wanted & set(re.findall(r"[^\W_]+", folded_text(pages[i])))) for i in full]
-    kept, used, cut = [], 0, False
-    for i in (full[j] for j in page_order(scores)):
-        extra = len(f"[PDF page {i + 1}]\n") + (3 if kept else 0)
-        room = most - used - extra
-        if room < 10:
-            continue
-        size = len(pages[i].strip())
-        if size > room:
-            size, cut = len(pages[i].strip()[:room].rstrip()), True
-        kept.append(i + 1)
-        used += extra + size
-        if used >= most:
-            break
-    return sorted(kept), used, cut or len(kept) < len(full)
-
-
-def select_pages(terms: list[str], most: int):
-    """``chosen_pages`` of an array of pages, as a function of columns."""
-
-    @F.pandas_udf("pages array<int>, chars int, truncated boolean")
-    def run(pages: pd.Series) -> pd.DataFrame:
-        rows = [chosen_pages(list(p) if p is not None else [], terms, most) for p in pages]
-        return pd.DataFrame(rows, columns=["pages", "chars", "truncated"])
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    words = lambda p: F.regexp_extract_all(fold(p), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    full = F.filter(F.transform(pages, lambda p, i: F.struct(i.alias("page"), trimmed(p).alias("text"))), lambda p: p["text"] != "")
+    last, steps = F.size(full) - 1, F.least(F.size(full), F.lit(SAMPLE)) - 1
+    # The i-th of the full pages is sampled if some step falls on it, which can only be one of the two next to its share.
+    falls = lambda i, step: (step >= 0) & (step <= steps) & (F.bround(step * last / F.greatest(steps, F.lit(1))) == i)
+
+    def place(p: Column, i: Column) -> Column:
+        points = F.size(F.array_intersect(words(p["text"]), wanted))
+        near = F.floor(i * steps / F.greatest(last, F.lit(1)))
+        tier = F.when(points > 0, 0).when(i == 0, 1).when(falls(i, near) | falls(i, near + 1), 2).otherwise(3)
+        order = F.when(tier == 0, -points).otherwise(0)
+        return F.struct(tier.alias("tier"), order.alias("points"), p["page"].alias("page"), F.length(p["text"]).alias("size"))
+
+    return F.array_sort(F.transform(full, place))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def pages_that_fit(pages: Column, terms: list[str], most: int) -> Column:
+    """``pages`` (numbers from 1), the ``chars`` they take of ``most``, and whether any page is cut or left out.
+
+    A fold over the ranked pages: each costs its text, a heading with its number, and a separator from the one before. A
+    page that does not fit is cut where the room ends; with less room than ``LEAST_PAGE`` it is passed over.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("cut"))
+
+    def take(state: Column, p: Column) -> Column:
+        head = F.length(F.concat(F.lit("[PDF page "), (p["page"] + 1).cast("string"), F.lit("]\n")))
+        room = most - state["used"] - head - F.when(F.size(state["kept"]) > 0, BETWEEN).otherwise(0)
+        whole = trimmed(F.element_at(pages, p["page"] + 1))
+        fits = p["size"] <= room
+        chars = F.when(fits, p["size"]).otherwise(F.length(F.regexp_replace(F.substring(whole, F.lit(1), room), r"\s+$", "")))
+        taken = F.struct(F.array_append(state["kept"], p["page"] + 1).alias("kept"), (most - room + chars).cast("int").alias("used"), (state["cut"] | ~fits).alias("cut"))
+        return F.when((room >= LEAST_PAGE) & (state["used"] < most), taken).otherwise(state)
+
+    ranked = ranked_pages(pages, terms)
+    left_out = lambda s: F.struct(F.array_sort(s["kept"]).alias("pages"), s["used"].alias("chars"), (s["cut"] | (F.size(s["kept"]) < F.size(ranked))).alias("truncated"))
+    return F.aggregate(ranked, start, take, left_out)
 
-    return run

@@ -1,13 +1,16 @@
 """URLs, pages and media."""
 
+import contextlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: Query parameters that only track, beside all that begin with utm_. Fixed values.
 TRACKING = (
@@ -195,40 +198,165 @@ _NODES, _CHILDREN = 2000, 500
 _CODE = re.compile(r"function\s*\(|=>|webpack|__next", re.IGNORECASE)
 
 
-def _leaves(value, key: str, budget: list[int]) -> Iterator[str]:
-    """Texts under public keys, depth first, while the budget of nodes lasts."""
-    if not budget[0]:
-        return
-    budget[0] -= 1
-    if isinstance(value, dict):
-        for name, child in value.items():
-            yield from _leaves(child, re.sub("[^a-z]", "", name.casefold()), budget)
-    elif isinstance(value, list):
-        for child in value[:_CHILDREN]:
-            yield from _leaves(child, key, budget)
-    elif isinstance(value, str) and key in PUBLIC_KEYS:
-        yield " ".join(value.split())
+def _parsed(blocks) -> Iterator:
+    """The JSON blocks that can be read."""
+    for block in blocks:
+        with contextlib.suppress(TypeError, ValueError, RecursionError):
+            yield json.loads(block)
+
+
+def _nodes(document) -> Iterator[tuple]:
+    """Key and value of every node in the document's order; items of a list have its key."""
+    open_ = [iter([("", document)])]
+    while open_:
+        if (node := next(open_[-1], None)) is None:
+            open_.pop()
+            continue
+        yield node
+        key, value = node
+        if isinstance(value, dict):
+            open_.append(iter([(re.sub("[^a-z]", "", k.casefold()), v) for k, v in value.items()]))
+        elif isinstance(value, list):
+            open_.append(zip(itertools.repeat(key), value[:_CHILDREN]))
 
 
 def public_text(blocks, most: int = 100_000) -> str:
     """Lines of text of JSON blocks: 2 to 1,000 characters, no code, each once, ``most`` characters in all."""
-    lines: dict[str, None] = {}
-    budget, held = [_NODES], 0
-    for block in blocks:
-        try:
-            found = json.loads(block)
-        except (TypeError, ValueError):
-            continue
-        for line in _leaves(found, "", budget):
-            if held >= most:
-                break
-            if 2 <= len(line) <= 1000 and line not in lines and not _CODE.search(line):
-                lines[line] = None
-                held += len(line)
-    return "\n".join(lines)[:most].strip()
+    nodes = itertools.islice(itertools.chain.from_iterable(map(_nodes, _parsed(blocks))), _NODES)
+    texts = (" ".join(value.split()) for key, value in nodes if key in PUBLIC_KEYS and isinstance(value, str))
+    lines = list(dict.fromkeys(t for t in texts if 2 <= len(t) <= 1000 and not _CODE.search(t)))
+    before = itertools.accumulate(map(len, lines), initial=0)
+    return "\n".join(t for t, n in zip(lines, before, strict=False) if n < most)[:most].strip()
 
 
 @F.pandas_udf(StringType())
 def embedded_text(blocks: pd.Series) -> pd.Series:
     """``public_text`` of each array of JSON blocks; null for null."""
     return blocks.map(lambda b: None if b is None else public_text(b))
+
+
+#: Elements whose content is not shown, and elements that end a line. Fixed values.
+HIDDEN = frozenset(("canvas", "noscript", "script", "style", "svg", "template"))
+BLOCKS = frozenset(
+    (
+        "address",
+        "article",
+        "aside",
+        "blockquote",
+        "br",
+        "dd",
+        "div",
+        "dl",
+        "dt",
+        "figcaption",
+        "footer",
+        "h1",
+        "h2",
+        "h3",
+        "h4",
+        "h5",
+        "h6",
+        "header",
+        "hr",
+        "li",
+        "main",
+        "nav",
+        "ol",
+        "p",
+        "pre",
+        "section",
+        "table",
+        "tbody",
+        "td",
+        "tfoot",
+        "th",
+        "thead",
+        "tr",
+        "ul",
+    )
+)
+#: Elements that hold text alone: nothing but their own end tag ends them.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style", "title")}
+#: What follows a name up to the end of its tag; a mark of its end in quotes ends nothing. Never gives back what it has read.
+_REST = re.compile(r"""(?>[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
+_NAME = re.compile(r"/?+([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+_DATA = ("application/ld+json", "application/json")
+
+
+def _is_data(attributes: str) -> bool:
+    """Whether a script tag says that it holds JSON."""
+    found = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    return found.get("type") in _DATA or found.get("id") == "__next_data__"
+
+
+def markup(html: str) -> Iterator[tuple[str, str, str]]:
+    """Tokens of a page in one pass: ``text``; ``open``, ``close`` with name and attributes; ``raw`` content of an element by name.
+
+    Comments and declarations give nothing. What follows a tag or comment that never ends is text. Each character is
+    searched by a bounded number of scans, so time grows with the page alone.
+    """
+    at = start = 0
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at) + 1
+        elif name := _NAME.match(html, at + 1):
+            rest = _REST.match(html, name.end())
+            end = rest.end() if rest else 0
+        else:  # a mere sign
+            at += 1
+            continue
+        if end < at + 1 or end == 2:
+            break
+        if at > start:
+            yield "text", html[start:at], ""
+        if html[at + 1] not in "!?":
+            tag, closes = name[1].lower(), html[at + 1] == "/"
+            attributes = html[name.end() : end - 1]
+            yield "close" if closes else "open", tag, attributes
+            if not closes and tag in _RAW and not attributes.endswith("/"):
+                stop = _RAW[tag].search(html, end)
+                inner = html[end : stop.start()] if stop else html[end:]
+                yield "raw", inner, tag
+                end += len(inner)
+        at = start = end
+    if start < len(html):
+        yield "text", html[start:], ""
+
+
+def page_parts(html: str) -> tuple[str, str, list[str]]:
+    """A page's title, its visible text in lines, and the contents of its JSON scripts.
+
+    Nothing inside a hidden element shows, however it is nested; one that is never closed hides the rest. A block tag ends a line,
+    also one that stands alone; lines are squeezed, and of several empty ones in a row one stays.
+    """
+    shown, title, data = [], [], []
+    hidden, json_next = 0, False
+    for kind, value, more in markup(html):
+        if kind == "text":
+            if not hidden:
+                shown.append(unescape(value))
+        elif kind == "raw":
+            if value and json_next:
+                data.append(value)
+            elif more == "title" and not hidden:
+                title.append(unescape(value))
+        else:
+            alone = kind == "open" and more.endswith("/")
+            json_next = kind == "open" and value == "script" and _is_data(more)
+            if value in HIDDEN and not alone:
+                hidden = max(0, hidden + (1 if kind == "open" else -1))
+            if value in BLOCKS and not hidden:
+                shown.append("\n")
+    lines = [re.sub(r"[ \t\f\v]+", " ", x).strip() for x in re.split(r"\r\n?|\n", "".join(shown))]
+    text = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    return " ".join("".join(title).split()), text, data
+
+
+@F.pandas_udf(StructType().add("title", "string").add("text", "string").add("data", ArrayType(StringType())))
+def page_content(pages: pd.Series) -> pd.DataFrame:
+    """``page_parts`` of each page; null for null."""
+    rows = [(None, None, None) if p is None else page_parts(p) for p in pages]
+    return pd.DataFrame(rows, columns=["title", "text", "data"])

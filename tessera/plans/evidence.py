@@ -41,12 +41,12 @@ def passages_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query("""
 WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents)
-SELECT term, count(*) AS df FROM w GROUP BY 1 HAVING count(*) >= 50
+SELECT term, count(*) AS df FROM w GROUP BY 1
 """)
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold each term; terms are made distinct inside the document, before the exchange."""
     terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))
-    return load(spark, sf_dir, "documents").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter("df >= 50")
+    return load(spark, sf_dir, "documents").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 _SCORED = f"""

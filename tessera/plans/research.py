@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fields, web
-from tessera.functions.evidence import select_pages
+from tessera.functions.evidence import pages_that_fit
 from tessera.plans import evidence
 from tessera.plans.registry import Registry
 from tessera.sources.tables import load
@@ -184,14 +184,29 @@ def nearest_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", nearest["at"].alias("start_"))
 
 
-@_R.query()
+_PAGES = """
+WITH RECURSIVE g AS (SELECT doc_id, i AS page, regexp_replace(array_to_string(l[i * 10 + 1:i * 10 + 10], chr(10)), '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range((len(l) + 9) // 10)) AS i)),
+ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, len(list_intersect(regexp_extract_all(replace(replace(strip_accents(lower(t)), 'ł', 'l'), 'ß', 'ss'), '[\\p{L}\\p{N}]+'), ['the', 'der', 'les', 'que'])) AS points FROM g WHERE t <> ''),
+ e AS (SELECT doc_id, round_even(k * (n - 1) / greatest(least(n, 20) - 1, 1), 0)::BIGINT AS i FROM (SELECT DISTINCT doc_id, n FROM f), range(20) t(k) WHERE k < least(n, 20)),
+ o AS MATERIALIZED (SELECT doc_id, page, n, t, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN points > 0 THEN 0 WHEN i = 0 THEN 1 WHEN (doc_id, i) IN (SELECT doc_id, i FROM e) THEN 2 ELSE 3 END, CASE WHEN points > 0 THEN -points ELSE 0 END, page) AS k FROM f),
+ w AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS kept, 0::BIGINT AS used, false AS cut FROM documents
+  UNION ALL SELECT doc_id, k, CASE WHEN takes THEN list_append(kept, page + 1) ELSE kept END, CASE WHEN takes THEN 3000 - room + length(piece) ELSE used END, cut OR takes AND length(t) > room FROM (
+   SELECT *, room >= 10 AND used < 3000 AS takes, CASE WHEN length(t) <= room THEN t ELSE regexp_replace(substr(t, 1, room), '\\s+$', '') END AS piece FROM (
+    SELECT o.doc_id, o.k, o.page, o.t, w.kept, w.used, w.cut, 3000 - used - length('[PDF page ' || (page + 1) || ']' || chr(10)) - CASE WHEN len(kept) > 0 THEN 3 ELSE 0 END AS room FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1)))
+SELECT doc_id, array_to_string(list_sort(kept), ',') AS pages, used::INTEGER AS chars, cut OR len(kept) < k AS truncated FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1
+"""
+
+
+@_R.query(_PAGES)
 def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of each document (its lines in tens) under 3,000 characters: relevant ones, the first, an even sample, the rest."""
     lines = F.split("text", "\n")
     groups = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(10))
     pages = F.transform(groups, lambda i: F.array_join(F.slice(lines, i + 1, 10), "\n"))
-    picked = select_pages(["the", "der", "les", "que"], 3000)
-    return load(spark, sf_dir, "documents").select("doc_id", picked(pages).alias("p")).select("doc_id", "p.pages", "p.chars", "p.truncated")
+    # A generator keeps the pages from being cut out of the text again for each of their uses.
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.coalesce(pages, F.array().cast("array<string>")))).alias("pages"))
+    picked = rows.select("doc_id", pages_that_fit(F.col("pages"), ["the", "der", "les", "que"], 3000).alias("p"))
+    return picked.select("doc_id", F.array_join(F.col("p.pages").cast("array<string>"), ",").alias("pages"), "p.chars", "p.truncated")
 
 
 # ---- extraction ----

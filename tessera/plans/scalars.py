@@ -192,6 +192,23 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
 
 
+_BLOCK_TAGS = "|".join(sorted(web.BLOCKS))
+_DATA_PAGE = "html || '<script type=\"application/ld+json\">{\"name\": \"page ' || page_id || '\", \"offers\": [{\"Price_Currency\": \"PLN\", \"id\": 1}], \"url\": \"' || url || '\"}</script><template>x<b>y</template> &lt;end&gt;'"
+
+
+@_R.query(rf"""
+WITH h AS (SELECT page_id, url, {_DATA_PAGE} AS html FROM pages),
+ a AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_replace(html, '(?is)<(script|style|noscript|svg|template|canvas|title)[^>]*>.*?</(script|style|noscript|svg|template|canvas|title)>', '', 'g') AS t FROM h),
+ b AS (SELECT page_id, url, title, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!.*?>', '', 'g'), '(?i)</?({_BLOCK_TAGS})(\s[^>]*|/)?>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM a),
+ c AS (SELECT page_id, url, title, list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ' || chr(160))) AS l FROM b)
+SELECT page_id, replace(title, '&amp;', '&') AS title, md5(regexp_replace(trim(array_to_string(l, chr(10)), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS text_md5, 'page ' || page_id || chr(10) || 'PLN' || chr(10) || url AS data FROM c
+""")
+def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, visible lines and embedded data of whole pages, which end in a JSON block and a hidden element."""
+    rows = load(spark, sf_dir, "pages").select("page_id", web.page_content(F.expr(_DATA_PAGE)).alias("p"))
+    return rows.select("page_id", "p.title", F.md5(F.col("p.text").cast("binary")).alias("text_md5"), web.embedded_text("p.data").alias("data"))
+
+
 @_R.query(r"""
 WITH p AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, lower(substr(html, 1, 16384)) AS early, length(regexp_replace(html, '(?s)<[^>]+>', '', 'g')) < 15000 AS short FROM pages),
  m AS (SELECT unnest(['access denied', 'are you a robot', 'attention required', 'bot verification', 'captcha', 'cf-chl-', 'cf-turnstile', 'checking your browser', 'cloudflare ray id', 'enable javascript and cookies', 'g-recaptcha', 'hcaptcha', 'human verification', 'incapsula incident id', 'just a moment', 'security verification', 'verify you are human']) AS m)

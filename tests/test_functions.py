@@ -3,6 +3,8 @@
 import hashlib
 import hmac
 import random
+import re
+import time
 import uuid
 
 import pytest
@@ -90,17 +92,68 @@ def test_windows_hold_short_neighbours_up_to_the_limit():
     assert windows and all(len(w) <= 600 and all(len(x) <= 200 for x in w.split("\n\n")) for w in windows)
 
 
-def test_page_order_and_budget():
-    assert evidence.page_order([0, 2, 5, 0]) == [2, 1, 0, 3] and evidence.page_order([]) == []
-    assert evidence.page_order([0] * 40)[:3] == [0, 2, 4] and sorted(evidence.page_order([0] * 40)) == list(range(40))
-    pages = ["intro", "fees and royalty", " ", "x" * 500]
-    assert evidence.chosen_pages(pages, ["royalty"], 10_000) == ([1, 2, 4], 5 + 16 + 500 + 3 * 13 + 6, False)
-    kept, used, cut = evidence.chosen_pages(pages, ["royalty"], 100)
-    assert kept == [1, 2, 4] and used == 100 and cut
-    assert evidence.chosen_pages(["", " "], [], 100) == ([], 0, False)
+def _fitting(pages, terms, most):
+    """What a loop over the pages in order would take."""
+    full = [(i, p.strip()) for i, p in enumerate(pages) if p.strip()]
+    points = [len(set(terms) & set(re.findall(r"[^\W_]+", p.lower()))) for _, p in full]
+    n, k = len(full), min(20, len(full))
+    even = {round(j * (n - 1) / max(k - 1, 1)) for j in range(k)}
+    tier = lambda j: 0 if points[j] else 1 if j == 0 else 2 if j in even else 3
+    kept, used, cut = [], 0, False
+    for j in sorted(range(n), key=lambda j: (tier(j), -points[j] if tier(j) == 0 else 0, j)):
+        page, text = full[j]
+        room = most - used - len(f"[PDF page {page + 1}]\n") - (3 if kept else 0)
+        if room >= 10 and used < most:
+            cut |= len(text) > room
+            kept.append(page + 1)
+            used = most - room + len(text[:room].rstrip())
+    return sorted(kept), used, cut or len(kept) < n
+
+
+def test_pages_that_fit_equal_the_walk(spark):
+    rng = random.Random(4)
+    rows = [([rng.choice(["", " ", "fees", "x y " * rng.randint(1, 40), "royalty fees " * rng.randint(1, 9)]) for _ in range(rng.choice([0, 1, 5, 60]))],) for _ in range(80)]
+    rows += [(["intro", "fees and royalty", " ", "x" * 500],)]
+    frame = spark.createDataFrame(rows, "pages array<string>")
+    for most in (0, 100, 700, 100_000):
+        got = frame.select("pages", evidence.pages_that_fit(F.col("pages"), ["royalty", "fees"], most).alias("p")).collect()
+        for r in got:
+            assert (r.p.pages, r.p.chars, r.p.truncated) == _fitting(r.pages, ["royalty", "fees"], most)
     assert evidence.locator("a\fb", 2, 3) == "page:0002" and evidence.locator("ab", 1, 2) == "chars:1-2"
 
 
+def test_page_parts():
+    parts = web.page_parts
+    assert parts("<p>a<p>b<br/>c &amp; d&nbsp;<b>e</b>") == ("", "a\nb\nc & d\xa0e", [])
+    assert parts("<title> A &lt;b> \n c</title><div>x</div><svg><p>no<svg></svg>no</svg>yes") == ("A <b> c", "x\n\nyes", [])[:1] + ("x\nyes", [])
+    assert parts('<a title="1 > 0" href=\'x>y\'>in</a> 1 < 2 <3') == ("", "in 1 < 2 <3", [])
+    assert parts("a<!-- <p> -->b<!doctype html>c<?x y?>d") == ("", "abcd", [])
+    assert parts("<noscript>n<p>m</noscript>a<template>b") == ("", "a", [])  # never closed: hides the rest
+    assert parts("</svg></p>a</div></div>") == ("", "a", [])
+    assert parts("<SCRIPT>var a = '</p><b>' </script x>t<style>p{}") == ("", "t", [])
+    data = '<script type="application/LD+json">{"name": "<b>"}</script><script id=__NEXT_DATA__>[1]</script><script>no</script><script type="application/json"></script>'
+    assert parts(data) == ("", "", ['{"name": "<b>"}', "[1]"])
+    assert parts("a <b title=\"never closed") == ("", 'a <b title="never closed', []) and parts("a<!-- b") == ("", "a<!-- b", [])
+    assert parts("l1\r\n\r\n\r\n  l2\t x \r l3") == ("", "l1\n\nl2 x\nl3", []) and parts("") == ("", "", [])
+
+
+@pytest.mark.parametrize("piece", ["<p>word ", '<a b="', "<", "<!--", "<svg>", "</p", "<title>", "&amp;"])
+def test_pages_of_ten_megabytes_take_linear_time(piece):
+    def seconds(n):
+        began = time.process_time()
+        web.page_parts(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    seconds(100_000)
+    small, large = max(seconds(1_000_000), 0.02), seconds(10_000_000)
+    assert large < 40 * small
+
+
+def test_page_content_takes_nulls(spark):
+    rows = spark.createDataFrame([("<p>a",), (None,)], "html string").select(web.page_content("html").alias("p")).select("p.*").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("", "a", []), (None, None, None)], key=str)
+
+
 def test_embedded_json_text():
     blocks = ['{"name": " A  b ", "price": "9", "Price-Currency": "PLN", "x": "hidden", "list": [{"title": "TT"}, "no key"]}', "{broken", '{"text": "a => b", "label": "A b", "url": "x", "name": "' + "y" * 1001 + '"}']
     assert web.public_text(blocks) == "A b\nPLN\nTT"
