@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Leaf runs, a power of two: each round merges neighbours, 32 -> 16 -> 8 -> 4 -> 2 -> 1.
-RUNS = 32
+#: Leaf runs at least, and rows of a leaf run on average; runs are a power of two, and each round merges neighbours: 32 -> 16 -> ... -> 1.
+RUNS, RUN_ROWS = 32, 1 << 22
 #: A digest run's key. Equal texts agree in all three; the last two verify the first.
 _KEY = ["sha", "n_bytes", "check"]
 
@@ -18,17 +18,21 @@ def folded(text: Column) -> Column:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``tag`` (a number of its own), leaf ``run`` and digest key of every row; a null text counts as empty."""
+    """``doc_id``, ``tag`` (a number of its own) and digest key of every row; a null text counts as empty."""
     return docs.select("doc_id", folded(F.col("text")).alias("t")).select(
         "doc_id",
         F.monotonically_increasing_id().alias("tag"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
         F.unhex(F.sha2("t", 256)).alias("sha"),
         F.octet_length("t").alias("n_bytes"),
         F.xxhash64("t").alias("check"),
     )
 
 
+def dealt(rows: DataFrame, runs: int) -> DataFrame:
+    """``rows`` with their leaf ``run``, by a hash of the row's own number: equal texts and equal ids are in all runs alike."""
+    return rows.withColumn("run", F.pmod(F.xxhash64("tag"), F.lit(runs)).cast("int"))
+
+
 def leaves(rows: DataFrame) -> DataFrame:
     """``run``, digest key, ``first`` (order, doc_id and tag of the row that stays so far) and rows ``n``: a row per run and digest."""
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
@@ -52,8 +56,8 @@ def merged(runs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """Groups of equal texts: ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row.
 
-    Texts are equal when identical after each run of white space became one space. Documents are dealt
-    to leaf runs by a hash of doc_id, and a run has one row a digest, so one that a third of all rows
+    Texts are equal when identical after each run of white space became one space. Rows are dealt
+    to leaf runs, as many as the rows need, and a run has one row a digest, so one that a third of all rows
     share is a row a run. Binomial rounds merge neighbouring sorted runs, retaining at every level the
     smallest doc_id of each digest, verified by length and a second hash. Winners go down the same
     tree: first to the leaf runs, at most one row per run and digest, then to the run's documents.
@@ -63,8 +67,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     Empty table: no rows. Other columns are ignored.
     """
     rows = cut(digest_rows(docs))
+    runs = max(RUNS, 1 << (max(1, -(-rows.count() // RUN_ROWS)) - 1).bit_length())
+    rows = dealt(rows, runs)
     leaf = level = leaves(rows)
-    for _ in range(RUNS.bit_length() - 1):
+    for _ in range(runs.bit_length() - 1):
         level = merged(level)
     winners = level.select(*_KEY, "first", "n")
     down = leaf.select("run", *_KEY).join(winners, _KEY)

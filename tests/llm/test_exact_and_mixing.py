@@ -31,7 +31,7 @@ def test_exact_dedup_spreads_a_hot_group_and_takes_an_empty_table(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE cast(id AS string) END AS text")
     rows = exact_dedup.dedup(docs).filter("group_size > 1").collect()
     assert len(rows) == 1000 and {r.keep_id for r in rows} == {0} and {r.group_size for r in rows} == {1000}
-    per_run = exact_dedup.digest_rows(docs).filter("n_bytes = 4").groupBy("run").count().collect()
+    per_run = exact_dedup.dealt(exact_dedup.digest_rows(docs), 32).filter("n_bytes = 4").groupBy("run").count().collect()
     assert max(r["count"] for r in per_run if r["count"]) < 200
     assert exact_dedup.dedup(docs.limit(0)).collect() == []
 
@@ -43,7 +43,7 @@ def test_runs_are_sorted_before_they_merge_and_one_repeated_row_stays(spark):
     got = found.collect()
     assert sorted((r.keep_id, r.group_size, r.kept) for r in got if r.keep_id == 1) == [(1, 5, False)] * 4 + [(1, 5, True)]
     assert sorted((r.group_size, r.kept) for r in got if r.keep_id is None) == [(2, False), (2, True)]
-    plan = exact_dedup.merged(exact_dedup.leaves(exact_dedup.digest_rows(docs)))._jdf.queryExecution().executedPlan().toString()
+    plan = exact_dedup.merged(exact_dedup.leaves(exact_dedup.dealt(exact_dedup.digest_rows(docs), 32)))._jdf.queryExecution().executedPlan().toString()
     lines = [x.strip(" +-:*()0123456789") for x in plan.split("\n")]
     window = next(i for i, x in enumerate(lines) if x.startswith("Window ["))
     # Nothing but the sort of the two runs, and one exchange, stands between the window and the leaves.
@@ -51,6 +51,16 @@ def test_runs_are_sorted_before_they_merge_and_one_repeated_row_stays(spark):
     assert "run#" in lines[window + 1] + lines[window + 2] and "sha#" in lines[window + 1] + lines[window + 2]
 
 
+@pytest.mark.parametrize("rows_a_run", [1, 40])
+def test_runs_grow_with_the_rows_and_rows_without_an_id_spread(spark, monkeypatch, rows_a_run):
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", rows_a_run)
+    docs = spark.range(400).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id END AS doc_id", "concat('t', id % 3) AS text").repartition(4)
+    rows = exact_dedup.dedup(docs).collect()
+    assert len(rows) == 400 and sum(r.kept for r in rows) == 3 and {r.keep_id for r in rows} == {1, 3, 5}
+    per_run = exact_dedup.dealt(exact_dedup.digest_rows(docs.filter("doc_id IS NULL")), 32).groupBy("run").count().collect()
+    assert len(per_run) == 32 and max(r["count"] for r in per_run) < 25
+
+
 def test_mixing_matches_sql_and_budgets(spark):
     docs = edge_docs(spark).filter("doc_id IS NOT NULL")
     found = mixing.mix(docs).collect()
