@@ -88,4 +88,4 @@ class Loop:
 
     def audit(self) -> DataFrame:
         """A row for each run and round it was worked on."""
-        return reduce(DataFrame.unionByName, [self.table(i).filter(F.col("round") == i) for i in range(self.done() + 1)])
+        return reduce(DataFrame.unionByName, [self.table(i).filter(F.col("round") == i) for i in range(1, self.done() + 1)], self.table(0).limit(0))

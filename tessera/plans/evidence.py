@@ -121,18 +121,15 @@ def budget_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take_while_fits(rows, ["source"], ["round", "doc_id", "pos"], "chars", 20_000)
 
 
-@_R.query("""
-SELECT d.doc_id, strpos(d.text, b.text) - 1 AS start_char, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
-""")
-def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference passages found in documents at exact offsets, of any length.
+def grounded_quotes(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, start_char``: where each quote (``item_id, text``) first stands in each document.
 
     A document gives only the places where a window of a quote's head length may be a head (a bitmap of fixed size
     says so, never wrongly no). They meet the quotes by head in a hash-partitioned join without texts. A quote no
     longer than a head is then found; longer ones are compared whole, with the documents that still have a candidate."""
-    quotes = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL")
+    quotes = benchmark.select("item_id", F.col("text").alias("quote")).filter("quote IS NOT NULL")
     quotes = quotes.withColumn("head", F.substring("quote", 1, ev.HEAD))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents.select("doc_id", "text")
     # At most HEAD + 1 lengths and as many slots as the bitmap has, whatever the number of quotes.
     lengths = sorted(r[0] for r in quotes.select(F.length("head")).distinct().collect())
     slots = [r.slot for r in quotes.select("head").mapInArrow(ev.head_slots, "slot int").distinct().collect()]
@@ -145,6 +142,14 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.unionByName(long_).groupBy("doc_id", "item_id").agg(F.min("at").cast("bigint").alias("start_char"))
 
 
+@_R.query("""
+SELECT d.doc_id, strpos(d.text, b.text) - 1 AS start_char, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+""")
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference passages found in documents at exact offsets, of any length."""
+    return grounded_quotes(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 _POLICY = "CASE WHEN source IN ('src0', 'src1') THEN 'registry' WHEN source IN ('src2', 'src3', 'src4') THEN 'official' WHEN source LIKE 'src1%' THEN 'news' ELSE 'unknown' END"
 _RELIABILITY = "least(CASE kind WHEN 'registry' THEN 95 WHEN 'official' THEN 80 WHEN 'news' THEN 55 ELSE 30 END, CASE WHEN n_chars < 100 THEN 10 WHEN n_chars > 15000 THEN 70 ELSE 100 END)"
 

@@ -1,6 +1,6 @@
 """Product analytics over ``events`` (visits) and ``orders`` (leads)."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import micros
@@ -16,6 +16,12 @@ def _zero(c: str):
     return F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
 
 
+def _days_back(events: DataFrame, days: int) -> Column:
+    """The time ``days`` before the newest event, read first: as a constant it reaches the scan, which then skips what is older."""
+    bound = events.agg((F.max("ts") - F.expr(f"INTERVAL {days} DAYS")).cast("string")).first()[0]
+    return F.lit(bound).cast(events.schema["ts"].dataType)
+
+
 @_R.query("""
 WITH v AS (SELECT user_id AS entity, count(*) AS views FROM events
            WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1),
@@ -31,9 +37,8 @@ WHERE views IS NOT NULL OR leads IS NOT NULL
 def entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views, leads, qualified leads and conversion of each entity; either side may be missing."""
     events = load(spark, sf_dir, "events")
-    as_of = events.agg(F.max("ts").alias("as_of"))
     views = (
-        events.filter("event_type = 'view'").join(F.broadcast(as_of), F.expr("ts >= as_of - INTERVAL 30 DAYS"))
+        events.filter((F.col("event_type") == "view") & (F.col("ts") >= _days_back(events, 30)))
         .groupBy(F.col("user_id").alias("entity")).agg(F.count("*").alias("views"))
     )
     leads = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(
@@ -271,6 +276,5 @@ SELECT event_type, count(*) AS n FROM events, (SELECT max(ts) AS m FROM events)
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, H8: events of the last seven days, both ends included."""
     events = load(spark, sf_dir, "events")
-    as_of = events.agg(F.max("ts").alias("m"))
-    rows = events.join(F.broadcast(as_of), F.expr("ts BETWEEN m - INTERVAL 7 DAYS AND m"))
+    rows = events.filter(F.col("ts") >= _days_back(events, 7))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))

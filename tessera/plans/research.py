@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fields, web
 from tessera.functions.evidence import pages_that_fit
+from tessera.operators.rebasing import nearest_start
 from tessera.plans import evidence
 from tessera.plans.registry import Registry
+from tessera.sources.scratch import written
 from tessera.sources.tables import load
 
 _R = Registry()
@@ -172,16 +174,10 @@ SELECT doc_id, list_sort(list_transform(list_filter(at_, lambda i: text[i:i+3] =
 def nearest_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a quote's occurrences, the one nearest to where it stood (here the middle of the text).
 
-    The pieces between occurrences give their places, so a text is never compared at each of its characters."""
-    quote = " de "
-    # A zero-width split keeps each occurrence at the head of its piece, overlapping ones too.
-    pieces = F.transform(F.split("text", f"(?={quote})"), F.length)
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    starts = F.filter(F.slice(ends, 1, F.size(ends) - 1), lambda i: F.substring("text", i + 1, F.lit(len(quote))) == quote)
-    middle = F.floor(F.length("text") / 2)
-    nearest = F.array_min(F.transform(starts, lambda i: F.struct(F.abs(i - middle).alias("far"), i.cast("bigint").alias("at"))))
+    The one after the place and the one before it are searched, no others, so time grows with the text alone."""
+    quote, middle = " de ", F.floor(F.length("text") / 2).cast("int")
     rows = load(spark, sf_dir, "documents").filter(F.col("text").contains(quote))
-    return rows.select("doc_id", nearest["at"].alias("start_"))
+    return rows.select("doc_id", nearest_start(F.col("text"), F.lit(quote), middle).cast("bigint").alias("start_"))
 
 
 _PAGES = """
@@ -224,10 +220,12 @@ def extraction_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task's sources selected, looked up in the cache, read as passages, and their grounded claims counted."""
     w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
     chosen = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").withColumn("place", F.row_number().over(w)).filter("place <= 10")
+    chosen = written(chosen, "chosen")
     hits = load(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("hit"))
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "pos")
-    top = evidence.passage_scores(spark, sf_dir).withColumn("place", F.row_number().over(best)).filter("place <= 3").groupBy("doc_id").agg(F.count("*").alias("passages"))
-    claims = evidence.quote_grounding(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("claims"))
+    top = evidence.passage_scores(spark, sf_dir).join(chosen.select("doc_id"), "doc_id", "left_semi").withColumn("place", F.row_number().over(best)).filter("place <= 3").groupBy("doc_id").agg(F.count("*").alias("passages"))
+    texts = load(spark, sf_dir, "documents").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    claims = evidence.grounded_quotes(texts, load(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.count("*").alias("claims"))
     rows = chosen.join(hits, "doc_id", "left").join(top, "doc_id", "left").join(claims, "doc_id", "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     tasks = rows.groupBy("source").agg(F.count("*").alias("selected"), F.count("hit").alias("cached"), total("passages"), total("claims"))

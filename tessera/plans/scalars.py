@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, fields, numbers, text, web
+from tessera.functions import addresses, dates, fields, numbers, text, web
 from tessera.plans.registry import Registry
 from tessera.sources.tables import load
 
@@ -318,3 +318,26 @@ SELECT doc_id, '{"id":"doc-' || doc_id || '","lang":"' || lang || '"}' AS payloa
 def payload_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the fields that a stage may see."""
     return load(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "lang")).alias("payload"))
+
+
+_HOSTS = ["", "127.0.0.1", "[::1]", "[2001:db8::8]", "2130706433", "127.1", "intranet.local", "bücher.example", "8.8.8.8"]
+_RESOLVED = ["93.184.216.34", "10.0.0.8", "2606:2800:220:1::1", "::ffff:192.168.1.9", "fe80::1%eth0", "192.0.0.9", "2001:20::7", "100.64.1.1", "nowhere", "240.0.0.1", "::ffff:9.9.9.9", "2002::1"]
+
+
+@_R.query(f"""
+WITH p AS (SELECT page_id, {_HOSTS}[page_id % 11 + 1] AS h, {_RESOLVED}[page_id % 12 + 1] AS a, {_RESOLVED}[page_id % 5 + 1] AS b, page_id % 13 = 7 AS eight, url FROM pages),
+ u AS (SELECT *, regexp_replace(CASE WHEN h <> '' THEN regexp_replace(url, '://[^/?#]*', '://' || h) ELSE url END, '://([^/?#]*)', CASE WHEN eight THEN '://\\1:8080' ELSE '://\\1' END) AS u FROM p),
+ v(text, public_) AS (SELECT unnest({_RESOLVED}), unnest([true, false, true, false, NULL, true, true, false, NULL, false, true, false])),
+ c AS (SELECT u.*, CASE WHEN eight THEN 'blocked_port' WHEN h = 'intranet.local' THEN 'local_hostname' WHEN h IN ('127.0.0.1', '[::1]', '[2001:db8::8]', '8.8.8.8') THEN 'ip_literal' WHEN h IN ('2130706433', '127.1') THEN 'numeric_host'
+  WHEN a LIKE '%\\%%' ESCAPE '\\' THEN 'scoped_ip' WHEN va.public_ IS NULL THEN 'invalid_dns_address' WHEN NOT va.public_ THEN 'non_public_address' WHEN b LIKE '%\\%%' ESCAPE '\\' THEN 'scoped_ip' WHEN vb.public_ IS NULL THEN 'invalid_dns_address' WHEN NOT vb.public_ THEN 'non_public_address' END AS code FROM u JOIN v va ON va.text = a JOIN v vb ON vb.text = b)
+SELECT page_id, code, CASE WHEN code IS NULL THEN regexp_replace(CASE WHEN h LIKE 'b%' THEN replace(u, h, 'xn--bcher-kva.example') ELSE u END, '#.*$', '') END AS target, CASE WHEN code IS NULL THEN CASE WHEN a = b THEN a ELSE a || ' ' || b END END AS addresses FROM c
+""")
+def url_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages' URLs, some on numeric, local or foreign hosts, with what they resolve to: refused by code, or in canonical form."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    h = F.coalesce(F.try_element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 11 + 1).cast("int")), F.lit(""))
+    moved = F.when(h != "", F.regexp_replace(F.col("url"), F.lit("://[^/?#]*"), F.concat(F.lit("://"), h))).otherwise(F.col("url"))
+    moved = F.when(F.col("page_id") % 13 == 7, F.regexp_replace(moved, r"://([^/?#]*)", "://$1:8080")).otherwise(moved)
+    found = F.array(pick(_RESOLVED, 12), pick(_RESOLVED[:5], 5))
+    rows = load(spark, sf_dir, "pages").select("page_id", addresses.url_target(moved, found).alias("t"))
+    return rows.select("page_id", "t.code", F.col("t.url").alias("target"), F.array_join("t.addresses", " ").alias("addresses"))

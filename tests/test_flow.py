@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import allocation, graph, inheritance, rebasing
+from tessera.operators import allocation, graph, inheritance, rebasing, releases, rounds
 from tessera.streaming import effects
 
 # ---- allocation ----
@@ -282,3 +282,117 @@ def test_a_batch_killed_at_its_commit_changes_nothing(spark, tmp_path, dies):
     assert _done(again) == ([("a", "x"), ("b", "later"), ("d", "x")], [])
     again.retry()
     assert _done(again) == ([("a", "x"), ("b", "later"), ("d", "x")], [])
+
+
+# ---- repair ----
+
+
+def _loop(spark, tmp_path, moves, limits):
+    """``moves`` are run, round, quality, passed, cost."""
+    table = spark.createDataFrame(moves, "run long, n int, q double, p boolean, c double")
+    asked = []
+
+    def step(open_):
+        asked.append(sorted(r.run for r in open_.select("run").collect()))
+        now = open_.select("run", (F.col("round") + 1).alias("n")).join(table, ["run", "n"])
+        return now.select("run", F.col("q").alias("quality"), F.col("p").alias("passed"), F.col("c").alias("cost"))
+
+    return rounds.Loop(spark, str(tmp_path / "loop"), step, limits), asked
+
+
+MOVES = [
+    (1, 1, 50.0, False, 0.1), (1, 2, 96.0, True, 0.1),
+    (2, 1, 10.0, False, 0.1), (2, 2, 11.0, False, 0.1), (2, 3, 12.0, False, 0.1),
+    (3, 1, 10.0, False, None),
+    (4, 1, 10.0, False, 0.6), (4, 2, 20.0, False, 0.6), (4, 3, 30.0, False, 0.6),
+    (5, 1, 10.0, False, 0.0), (5, 2, 20.0, False, 0.0), (5, 3, 30.0, False, 0.0), (5, 4, 40.0, False, 0.0),
+    (7, 1, None, None, 0.1),
+]
+RUNS = [(1, 0.0, False), (2, 0.0, False), (3, 0.0, False), (4, 0.0, False), (5, 0.0, False), (6, 99.0, True), (7, 0.0, None), (8, 0.0, False)]
+WANT = {1: (2, "passed"), 2: (3, "stagnant"), 3: (1, "cost_unknown"), 4: (2, "budget"), 5: (3, "limit"), 6: (0, "passed"), 7: (1, "nothing_to_do"), 8: (0, "nothing_to_do")}
+
+
+def test_each_run_stops_for_its_own_reason(spark, tmp_path):
+    loop, asked = _loop(spark, tmp_path, MOVES, rounds.Limits(rounds=3, cost=1.0, gain=3, stagnant=2))
+    runs = spark.createDataFrame(RUNS, "run long, quality double, passed boolean")
+    got = loop.run(runs).collect()
+    assert {r.run: (r.round, r.stop) for r in got} == WANT and len(got) == len(RUNS)
+    # A round sees the runs that the last one left open, no others.
+    assert asked == [[1, 2, 3, 4, 5, 7, 8], [1, 2, 4, 5, 7], [2, 5]]
+    assert sorted((r.run, r.round) for r in loop.audit().collect() if r.run == 5) == [(5, 1), (5, 2), (5, 3)]
+
+
+@pytest.mark.parametrize("lost", [1, 2])
+def test_a_loop_goes_on_after_a_lost_round(spark, tmp_path, lost):
+    limits = rounds.Limits(rounds=3, cost=1.0, gain=3, stagnant=2)
+    loop, _ = _loop(spark, tmp_path, MOVES, limits)
+    runs = spark.createDataFrame(RUNS, "run long, quality double, passed boolean")
+    own = loop.write
+
+    def dies(number, before):
+        own(number, before)
+        if number == lost:
+            (tmp_path / "loop" / f"round-{number:05d}" / "_SUCCESS").unlink()  # written in part
+            raise RuntimeError("lost")
+
+    loop.write = dies
+    with pytest.raises(RuntimeError):
+        loop.run(runs)
+    again, asked = _loop(spark, tmp_path, MOVES, limits)
+    assert {r.run: (r.round, r.stop) for r in again.run(runs).collect()} == WANT and len(asked) == 4 - lost
+    assert again.run(runs).count() == len(RUNS) and len(asked) == 4 - lost  # nothing is done twice
+
+
+def test_a_loop_over_no_runs(spark, tmp_path):
+    loop, _ = _loop(spark, tmp_path, MOVES, rounds.Limits(rounds=3, cost=1.0, gain=3, stagnant=2))
+    assert loop.run(spark.createDataFrame([], "run long, quality double, passed boolean")).collect() == []
+
+
+# ---- releases ----
+
+
+def _log(spark, events, fields):
+    frame = spark.createDataFrame(events, "entity string, seq long, kind string, target long, payload string").repartition(3)
+    times = releases.timeline(frame)
+    return releases.versions(times, spark.createDataFrame(fields, "entity string, release long, field string, value string")), times
+
+
+EVENTS = [("a", 1, "release", None, "p"), ("a", 2, "release", None, "q"), ("a", 3, "release", None, "r"), ("a", 4, "withdraw", 2, None), ("a", 5, "withdraw", 3, None), ("a", 6, "withdraw", 3, None), ("a", 7, "withdraw", 1, None), ("b", 1, "withdraw", 9, None), ("b", 2, "release", None, None)]
+VALUES = [("a", 1, "fee", "10"), ("a", 1, "site", "x"), ("a", 2, "fee", "20"), ("a", 3, "fee", "30"), ("a", 3, "staff", "5"), ("b", 2, "fee", "1")]
+
+
+def test_a_withdrawal_brings_back_what_stood_before(spark):
+    log, _ = _log(spark, EVENTS, VALUES)
+    at = lambda t: sorted((r.entity, r.field, r.value) for r in releases.as_of(log, t).collect() if r.entity == "a")
+    assert at(0) == [] and at(1) == [("a", "fee", "10"), ("a", "site", "x")] and at(2) == [("a", "fee", "20")]
+    assert at(3) == at(4) == [("a", "fee", "30"), ("a", "staff", "5")]  # a release in the middle of the chain goes: nothing changes yet
+    assert at(5) == at(6) == [("a", "fee", "10"), ("a", "site", "x")]  # the one in the middle is passed over
+    assert at(7) == []
+    previous = {(r.valid_from, r.field): r.previous for r in log.collect() if r.entity == "a"}
+    assert previous == {(1, "fee"): None, (1, "site"): None, (2, "fee"): "10", (3, "fee"): "20", (3, "staff"): None, (5, "fee"): "30", (5, "site"): None}
+
+
+def test_versions_against_a_walk(spark):
+    rng = random.Random(6)
+    events = []
+    for e in "abcdef":
+        for seq in range(1, 40):
+            back = rng.random() < 0.5 and seq > 1
+            events.append((e, seq, "withdraw" if back else "release", rng.randint(1, seq - 1) if back else None, "x"))
+    fields = [(e, s, f, f"{e}{s}{f}") for e, s, k, _, _ in events if k == "release" for f in rng.sample("uvw", 2)]
+    log, _ = _log(spark, events, fields)
+    rows = log.collect()
+    for e in "abcdef":
+        alive = []
+        for _, seq, kind, target, _ in (x for x in events if x[0] == e):
+            alive = [*alive, seq] if kind == "release" else [x for x in alive if x != target]
+            want = {f: v for n, s, f, v in fields if n == e and alive and s == alive[-1]}
+            assert {r.field: r.value for r in rows if r.entity == e and r.valid_from <= seq and (r.valid_to is None or r.valid_to > seq)} == want
+
+
+def test_the_chain_of_hashes_shows_a_change_in_the_past(spark):
+    hashes = lambda events: {(r.entity, r.seq): r.sha256 for r in _log(spark, events, VALUES)[1].collect()}
+    first = hashes(EVENTS)
+    second = hashes([(*EVENTS[1][:4], "other") if i == 1 else e for i, e in enumerate(EVENTS)])
+    assert {k for k in first if first[k] != second[k]} == {("a", s) for s in range(2, 8)}
+    assert len(hashes(EVENTS[:3] + EVENTS[4:])) == len(first) - 1 and hashes(EVENTS[:3] + EVENTS[4:])["a", 5] != first["a", 5]

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import ipaddress
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, evidence, fields, keys, text, web
+from tessera.functions import addresses, dates, evidence, fields, keys, text, web
 
 
 def values(spark, build, inputs, kind="string"):
@@ -213,3 +214,54 @@ def test_reasons_against_public_texts(spark):
     df = spark.createDataFrame([(i, t, v) for i, (t, v, _) in enumerate(rows)], "i int, t string, v string")
     got = df.select("i", fields.public_text_issue(F.col("t"), F.col("v"), F.lit("MCX")).alias("y")).orderBy("i").collect()
     assert [r.y for r in got] == [r[2] for r in rows]
+
+
+def _addresses():
+    rng = random.Random(12)
+    yield from ("1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "1.2.3.-4", "", ":", "::", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "12345::", "g::", ":1::", "1::2:", "::1.2.3.4", "::ffff:1.2.3.256", "1.2.3.4::", "::1.2.3.4:5", "::ffff:0:1", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "FE80::A", " 1.2.3.4", "1.2.3.4 ", "::%1")
+    for net in (*addresses.RESERVED, *addresses.PUBLIC):
+        net = ipaddress.ip_network(net)
+        first, last = int(net.network_address), int(net.broadcast_address)
+        kind, top = (ipaddress.IPv4Address, 2**32) if net.version == 4 else (ipaddress.IPv6Address, 2**128)
+        for n in (first - 1, first, last, last + 1, rng.randint(first, last)):
+            if 0 <= n < top:
+                yield str(kind(n))
+    for _ in range(300):
+        yield str(ipaddress.IPv4Address(rng.getrandbits(32)))
+        six = ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([-1, ~(2**80 - 1), 2**64 - 1, 2**16 - 1, ~(0xFFFFFF << 40)]))
+        yield rng.choice([str(six), six.exploded, str(six).upper()])
+        yield f"::ffff:{ipaddress.IPv4Address(rng.getrandbits(32))}"
+
+
+def test_addresses_equal_the_library(spark):
+    texts = list(_addresses())
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", addresses.address_key(F.col("t")).alias("k"))
+    for r in frame.withColumn("reserved", addresses.is_reserved(F.col("k"))).collect():
+        try:
+            want = ipaddress.ip_address(r.t) if r.t is not None else None
+        except ValueError:
+            want = None
+        if want is None or "%" in r.t:
+            assert r.k is None and r.reserved is None, r
+            continue
+        real = getattr(want, "ipv4_mapped", None) or want
+        assert int(r.k[1:], 16) == int(real) and r.k[0] == str(real.version), r
+        assert r.reserved == (not real.is_global), r
+
+
+def test_url_targets(spark):
+    good = ["93.184.216.34"]
+    cases = [
+        ("https://Example.COM./a?b#c", good, None, "https://example.com/a?b"), ("http://example.com:80", good, None, "http://example.com/"), ("http://example.com:443/", good, None, "http://example.com:443/"),
+        ("https://bücher.example/ä", good, None, "https://xn--bcher-kva.example/ä"), ("https://example.com:/", good, None, "https://example.com/"),
+        (None, good, "invalid_url", None), ("", good, "invalid_url", None), ("https://a.b/" + "x" * 4000, good, "invalid_url", None), ("https://[::1/", good, "invalid_url", None), ("https://[a]/", good, "invalid_url", None),
+        ("https://a.b/x y", good, "unsafe_characters", None), ("https://a.b\\c", good, "unsafe_characters", None), ("https://a.b/ ", good, "unsafe_characters", None), ("https://a.b/\x01", good, "unsafe_characters", None),
+        ("file:///etc/passwd", good, "unsupported_scheme", None), ("a.b/c", good, "unsupported_scheme", None), ("https://u:p@a.b/", good, "userinfo", None), ("https:///x", good, "missing_hostname", None), ("https://:443/", good, "missing_hostname", None),
+        ("https://a..b/", good, "invalid_host", None), ("https://a.b:x/", good, "invalid_host", None), ("https://a.b:70000/", good, "invalid_host", None), ("https://" + "a" * 64 + ".b/", good, "invalid_host", None), ("https://a.b:8443/", good, "blocked_port", None),
+        ("https://localhost/", good, "local_hostname", None), ("https://x.internal/", good, "local_hostname", None), ("http://127.0.0.1/", good, "ip_literal", None), ("http://[::1]/", good, "ip_literal", None), ("http://[fe80::1%25eth0]/", good, "ip_literal", None),
+        ("http://2130706433/", good, "numeric_host", None), ("http://127.1/", good, "numeric_host", None), ("https://a.b/", [], "no_address", None), ("https://a.b/", None, "no_address", None),
+        ("https://a.b/", [*good, "10.0.0.8"], "non_public_address", None), ("https://a.b/", ["fe80::1%eth0"], "scoped_ip", None), ("https://a.b/", ["x"], "invalid_dns_address", None), ("https://a.b/", ["::ffff:127.0.0.1"], "non_public_address", None),
+    ]
+    frame = spark.createDataFrame([(i, u, a) for i, (u, a, _, _) in enumerate(cases)], "i int, u string, a array<string>")
+    for r in frame.select("i", addresses.url_target(F.col("u"), F.col("a")).alias("t")).collect():
+        assert (r.t.code, r.t.url) == cases[r.i][2:], cases[r.i]
