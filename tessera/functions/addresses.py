@@ -1,6 +1,7 @@
 """Internet addresses as fixed-width keys, looked up in a sorted table of reserved ranges; and which URLs may be fetched."""
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,6 +75,11 @@ def intervals() -> list[tuple[str, str]]:
     return sorted(out)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written into the expression once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _ipv4_hex(text: Column) -> Column:
     """Eight hexadecimal digits; null for anything but four numbers up to 255 without leading zeros."""
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -83,20 +89,22 @@ def _ipv4_hex(text: Column) -> Column:
 
 def _ipv6_hex(text: Column) -> Column:
     """32 hexadecimal digits; null for anything but eight groups, of which one run may be ``::`` and the last two an IPv4 address."""
-    tail = _ipv4_hex(F.regexp_extract(text, r":([0-9.]+)$", 1))
-    dotted = text.contains(".")
-    groups = F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
-    text = F.when(dotted, groups).otherwise(text)
-    halves = F.split(text, "::")
+    groups = bound(_ipv4_hex(F.regexp_extract(text, r":([0-9.]+)$", 1)), lambda tail: F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
     parts = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
-    left, right = parts(halves[0]), parts(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    gap = 8 - F.size(left) - F.size(right)
-    short = F.size(halves) == 2
-    # A lone colon at an end, or three in a row, would vanish in the filter of empty groups.
-    shape = text.rlike(r"^[0-9a-fA-F:]+$") & ~text.rlike(r":::|^:[^:]|[^:]:$") & ~text.rlike(r"[0-9a-fA-F]{5}")
-    fits = shape & F.when(short, gap >= 1).otherwise((F.size(halves) == 1) & (gap == 0))
-    whole = F.concat(left, F.when(short, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))).otherwise(F.array().cast("array<string>")), right)
-    return F.when(fits, F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+
+    def padded(h: Column) -> Column:
+        gap, short = 8 - F.size(h["left"]) - F.size(h["right"]), h["halves"] == 2
+        fits = F.when(short, gap >= 1).otherwise((h["halves"] == 1) & (gap == 0))
+        zeros = F.when(short, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+        return F.when(fits, F.lower(F.array_join(F.transform(F.concat(h["left"], zeros, h["right"]), lambda g: F.lpad(g, 4, "0")), "")))
+
+    def read(whole: Column) -> Column:
+        # A lone colon at an end, or three in a row, would vanish in the filter of empty groups.
+        shape = whole.rlike(r"^[0-9a-fA-F:]+$") & ~whole.rlike(r":::|^:[^:]|[^:]:$|[0-9a-fA-F]{5}")
+        halves = bound(F.split(whole, "::"), lambda h: F.struct(F.size(h).alias("halves"), parts(h[0]).alias("left"), parts(F.coalesce(F.get(h, F.lit(1)), F.lit(""))).alias("right")))
+        return F.when(shape, bound(halves, padded))
+
+    return bound(F.when(text.contains("."), groups).otherwise(text), read)
 
 
 def address_key(text: Column) -> Column:
@@ -104,17 +112,18 @@ def address_key(text: Column) -> Column:
 
     An IPv4 address that is written as an IPv6 one (``::ffff:a.b.c.d``) is the IPv4 address.
     """
-    four, six = _ipv4_hex(text), _ipv6_hex(text)
-    mapped = F.substring(six, 1, 24) == "0" * 20 + "ffff"
-    return F.when(four.isNotNull(), F.concat(F.lit("4"), four)).when(mapped, F.concat(F.lit("4"), F.substring(six, 25, 8))).when(six.isNotNull(), F.concat(F.lit("6"), six))
+    mapped = lambda six: F.substring(six, 1, 24) == "0" * 20 + "ffff"
+    unwrapped = lambda six: F.when(mapped(six), F.concat(F.lit("4"), F.substring(six, 25, 8))).otherwise(F.concat(F.lit("6"), six))
+    four = F.concat(F.lit("4"), _ipv4_hex(text))
+    return F.coalesce(four, F.when(text.contains(":"), bound(_ipv6_hex(text), unwrapped)))
 
 
 def is_reserved(key: Column) -> Column:
     """Whether an address lies in a reserved range: the last range that starts at or before it is looked at. Null for null."""
     table = intervals()
     starts, ends = (F.array(*[F.lit(x[i]) for x in table]) for i in (0, 1))
-    before = F.size(F.filter(starts, lambda s: s <= key))
-    return F.when(key.isNotNull(), F.coalesce(F.try_element_at(ends, before) >= key, F.lit(False)) & (before > 0))
+    last = lambda before: (before > 0) & F.coalesce(F.get(ends, before - 1) >= key, F.lit(False))
+    return F.when(key.isNotNull(), bound(F.size(F.filter(starts, lambda s: s <= key)), last))
 
 
 @F.pandas_udf(StringType())
@@ -142,34 +151,47 @@ def url_target(url: Column, addresses: Column) -> Column:
     boxed = place.startswith("[")
     name = F.lower(F.when(boxed, F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(place, r"^([^:]*)", 1)))
     port_text = F.when(boxed, F.regexp_extract(place, r"^\[[^\]]*\](.*)$", 1)).otherwise(F.regexp_extract(place, r"^[^:]*(.*)$", 1))
-    odd_port = ~port_text.rlike(r"^(:\d{0,9})?$")
-    given = F.nullif(F.regexp_replace(port_text, ":", ""), F.lit("")).try_cast("int")
-    default = F.when(scheme == "https", 443).otherwise(80)
-    port = F.when(given > 0, given).otherwise(default)
-    broken = (boxed != place.contains("]")) | (boxed & _ipv6_hex(F.regexp_replace(name, "%.*$", "")).isNull())
     bare = F.regexp_replace(name, r"\.+$", "")
-    host = F.when(boxed, bare).otherwise(idna(bare))
-    labels = F.split(host, r"\.")
-    bad_host = host.isNull() | (~boxed & F.exists(labels, lambda x: (x == "") | (F.length(x) > 63))) | odd_port | (given > 65535)
-    literal = address_key(host).isNotNull()
-    wrong = F.filter(F.transform(addresses, lambda a: F.when(a.isNull(), "invalid_dns_address").when(a.contains("%"), "scoped_ip").when(address_key(a).isNull(), "invalid_dns_address").when(is_reserved(address_key(a)), "non_public_address")), lambda c: c.isNotNull())
-    none = F.coalesce(F.size(addresses), F.lit(0)) == 0
+    # The function in Python stands outside of what follows, which is built of its result.
+    read = F.struct(scheme.alias("scheme"), net.alias("net"), path.alias("path"), query.alias("query"), place.alias("place"), name.alias("name"), port_text.alias("port_text"), idna(bare).alias("host"))
+    return bound(read, lambda p: _judged(url, addresses, p))
+
+
+def _address_problem(address: Column) -> Column:
+    """Why a resolved address may not be used; null if it may."""
+    known = lambda key: F.when(key.isNull(), "invalid_dns_address").when(is_reserved(key), "non_public_address")
+    return F.when(address.contains("%"), "scoped_ip").otherwise(bound(address_key(address), known))
+
+
+def _judged(url: Column, addresses: Column, p: Column) -> Column:
+    host, boxed = p["host"], p["place"].startswith("[")
+    given = F.nullif(F.regexp_replace(p["port_text"], ":", ""), F.lit("")).try_cast("int")
+    default = F.when(p["scheme"] == "https", 443).otherwise(80)
+    port = F.when(given > 0, given).otherwise(default)
+    broken = (boxed != p["place"].contains("]")) | (boxed & _ipv6_hex(F.regexp_replace(p["name"], "%.*$", "")).isNull())
+    labels = F.exists(F.split(host, r"\."), lambda x: (x == "") | (F.length(x) > 63))
+    bad_host = host.isNull() | (~boxed & labels) | ~p["port_text"].rlike(r"^(:\d{0,9})?$") | (given > 65535)
+    wrong = F.filter(F.transform(addresses, _address_problem), lambda c: c.isNotNull())
     code = (
         F.when(url.isNull() | (url == "") | (F.length(url) > 4000), "invalid_url")
         .when(url.rlike(r"[\\\x00-\x20\x7f-\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"), "unsafe_characters")
         .when(broken, "invalid_url")
-        .when(~scheme.isin("http", "https"), "unsupported_scheme")
-        .when(net.contains("@"), "userinfo")
-        .when(name == "", "missing_hostname")
+        .when(~p["scheme"].isin("http", "https"), "unsupported_scheme")
+        .when(p["net"].contains("@"), "userinfo")
+        .when(p["name"] == "", "missing_hostname")
         .when(bad_host, "invalid_host")
         .when(~port.isin(*PORTS), "blocked_port")
         .when((host == "localhost") | host.rlike("(" + "|".join(x.replace(".", r"\.") for x in LOCAL) + ")$"), "local_hostname")
-        .when(literal | name.contains("%"), "ip_literal")
+        .when(p["name"].contains("%") | address_key(host).isNotNull(), "ip_literal")
         .when(host.rlike(r"^[0-9.]+$"), "numeric_host")
-        .when(none, "no_address")
-        .when(F.size(wrong) > 0, wrong[0])
+        .when(F.coalesce(F.size(addresses), F.lit(0)) == 0, "no_address")
+        .otherwise(F.get(wrong, F.lit(0)))
     )
     own_port = F.when(port == default, "").otherwise(F.concat(F.lit(":"), port.cast("string")))
-    canonical = F.concat(scheme, F.lit("://"), host, own_port, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    fine = code.isNull()
-    return F.struct(code.alias("code"), F.when(fine, canonical).alias("url"), F.when(fine, host).alias("host"), F.when(fine, port).alias("port"), F.when(fine, F.array_distinct(addresses)).alias("addresses"))
+    canonical = F.concat(p["scheme"], F.lit("://"), host, own_port, F.when(p["path"] == "", "/").otherwise(p["path"]), F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
+
+    def told(code: Column) -> Column:
+        fine = code.isNull()
+        return F.struct(code.alias("code"), F.when(fine, canonical).alias("url"), F.when(fine, host).alias("host"), F.when(fine, port).alias("port"), F.when(fine, F.array_distinct(addresses)).alias("addresses"))
+
+    return bound(code, told)
