@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import Registry
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import load
-from tessera.streaming import effects, events
+from tessera.streaming import effects, events, latches
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -71,3 +71,30 @@ def exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     effects.run(stream.drop("wave"), ledger, scratch(spark, "ledger-state"))
     ledger.retry()
     return effects.states(ledger)
+
+
+_RUNNING = """
+ o AS (SELECT *, row_number() OVER w AS rn, CASE WHEN ts - lag(ts) OVER w > INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY rn) AS session FROM o),
+ m AS (SELECT *, count(*) OVER w AS n, sum(value) OVER w AS total FROM s WINDOW w AS (PARTITION BY user_id, session ORDER BY rn))"""
+
+
+@_R.query(f"WITH {_RUNNING} SELECT user_id, event_id, n AS events FROM m WHERE n >= 3 AND total / n >= 55 QUALIFY row_number() OVER (PARTITION BY user_id, session ORDER BY rn) = 1")
+def latched_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: users' first events whose mean is over 55, told once until they have been silent for twelve hours."""
+    stream = events.read_events(spark, f"{sf_dir}/events.parquet")
+    with latches.typed_state(spark):
+        return events.drained(latches.told(stream, latches.Latch(55.0, 3, 12 * 3_600_000)), "append", "latched_alarms")
+
+
+@_R.query("""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  g AS (SELECT event_id, user_id, ts, rn, ts AS kept_ts, true AS accepted FROM o WHERE rn = 1
+        UNION ALL SELECT o.event_id, o.user_id, o.ts, o.rn, CASE WHEN o.ts - g.kept_ts > INTERVAL 6 HOUR THEN o.ts ELSE g.kept_ts END, o.ts - g.kept_ts > INTERVAL 6 HOUR FROM g JOIN o ON o.user_id = g.user_id AND o.rn = g.rn + 1)
+SELECT user_id, event_id, 1::BIGINT AS events FROM g WHERE accepted
+""")
+def expiring_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: users' events over six hours after the last accepted one, by state that expires."""
+    stream = events.read_events(spark, f"{sf_dir}/events.parquet")
+    with latches.typed_state(spark):
+        return events.drained(latches.told(stream, latches.Gap(6 * 3_600_000)), "append", "expiring_gap")
