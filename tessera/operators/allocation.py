@@ -37,10 +37,13 @@ def deciding(items: DataFrame, sources: int, searches: int) -> DataFrame:
     alike = items.groupBy("run", "task", "choices").agg(F.min("seq").alias("seq"))
     first = F.try_element_at("choices", F.lit(1))
     forced = items.filter(first["kind"] == "forced")
+    # A task that is forced at any time may cost a search nothing, so its searches are no demand to count on.
+    free = forced.select("run", "task").distinct()
     place = F.row_number().over(Window.partitionBy("run").orderBy("seq"))
     forced = forced.withColumn("_place", place).filter(F.col("_place") <= searches).select(*alike.columns)
     ids = alike.filter(first["kind"] == "pool").select("run", "seq", F.explode(first["ids"]).alias("id")).groupBy("run", "id").agg(F.min("seq").alias("seq"))
     tasks = alike.filter(first["kind"] == "search").groupBy("run", "task").agg(F.min("seq").alias("seq"))
+    tasks = tasks.join(free, (tasks["run"] == free["run"]) & tasks["task"].eqNullSafe(free["task"]), "left_anti")
     demands = tasks.select("run", "seq").unionByName(forced.select("run", "seq"))
     rows = alike.filter(F.coalesce(first["kind"], F.lit("")) != "forced").unionByName(forced)
     if sources and searches:
