@@ -19,7 +19,7 @@ LEAST_Z2 = 16
 #: Classifiers whose probabilities are averaged; each is trained on its own resample.
 CLASSIFIERS = 3
 _OTHER = re.compile(r"[\W\d_]+")
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 class _Features(dict):
