@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed (files go when the frame does): for loops."""
+    """``df`` checkpointed, for loops; its files stay unless ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     folder = shared_dir(df.sparkSession)
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         df.sparkSession.sparkContext.setCheckpointDir(folder)

@@ -145,7 +145,8 @@ def _met(shards: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each shard with each block of items, which goes once to each group of shards."""
     groups = SPREAD * int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     to_all = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return shards.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(to_all, "group").drop("group")
+    # Spark's estimate of the items' size does not count their copies, so it must not choose to broadcast them.
+    return shards.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(to_all.hint("merge"), "group").drop("group")
 
 
 def frequencies(shards: DataFrame, blocks: DataFrame) -> DataFrame:
