@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import allocation, graph, inheritance, rebasing, releases, rounds
+from tessera.operators import allocation, claims, graph, inheritance, rebasing, releases, rounds
 from tessera.streaming import effects
 
 # ---- allocation ----
@@ -396,3 +396,45 @@ def test_the_chain_of_hashes_shows_a_change_in_the_past(spark):
     second = hashes([(*EVENTS[1][:4], "other") if i == 1 else e for i, e in enumerate(EVENTS)])
     assert {k for k in first if first[k] != second[k]} == {("a", s) for s in range(2, 8)}
     assert len(hashes(EVENTS[:3] + EVENTS[4:])) == len(first) - 1 and hashes(EVENTS[:3] + EVENTS[4:])["a", 5] != first["a", 5]
+
+
+# ---- claims and queries ----
+
+
+def test_bounded_claims_against_a_walk(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        run = "hot" if rng.random() < 0.5 else rng.choice("ab")
+        rows.append((run, i, rng.choice("tu"), rng.choice(["fee", "site", "secret"]), rng.choice(["v", "v", " ", None]), rng.choice(["not_reviewed", "not_reviewed", "accepted", None]), rng.choice([False, False, True, None]), rng.choice([None, [], [1], [1, 1], [1, 2], [2, 3, 9], [None, 4]])))
+    frame = spark.createDataFrame(rows, "run string, claim long, task string, field string, value string, verdict string, unsafe boolean, sources array<long>").repartition(4)
+    kinds = {1: "official", 2: "registry", 3: "news", 4: "official"}
+    policy = {"fee": (["official", "registry"], 2), "site": (["official"], 1)}
+    sources = spark.createDataFrame(list(kinds.items()), "source long, source_type string")
+    policies = spark.createDataFrame([(f, *p) for f, p in policy.items()], "field string, accepted array<string>, minimum int")
+    want, taken = [], {}
+    for run, claim, task, field, value, verdict, unsafe, cited in rows:
+        if verdict != "not_reviewed" or unsafe or not (value or "").strip() or field not in policy:
+            continue
+        accepted, minimum = policy[field]
+        if len({s for s in cited or [] if kinds.get(s) in accepted}) < minimum:
+            continue
+        mine = taken.setdefault(run, [])
+        if len(mine) < 7 and mine.count((task, field)) < 3:
+            mine.append((task, field))
+            want.append((run, task, field, claim))
+    got = claims.bounded_claims(frame, sources, policies, per_field=3, per_run=7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert claims.bounded_claims(frame.limit(0), sources, policies).collect() == []
+
+
+def test_queries_go_to_the_tasks_that_planned_them(spark):
+    tasks = spark.createDataFrame([("t1", 1, ["Fee  of X", None]), ("t2", 0, ["fee of x"]), ("t3", 2, ["other"]), ("t4", 3, None)], "task string, place int, queries array<string>")
+    reported = spark.createDataFrame([("t3", "fee of x"), ("t3", "free"), ("t4", " FREE "), ("gone", "free"), ("t1", None)], "task string, query string")
+    actions = spark.createDataFrame(
+        [(1, ["t1", "t2", "t3"], ["FEE of x ", "free", "nothing", None]), (2, ["t3"], ["fee of x"]), (3, ["t4", "t3"], ["Free"]), (4, None, ["other"]), (5, ["t1"], None)],
+        "action long, scope array<string>, queries array<string>",
+    )
+    got = {(r.action, r.at): (r.query, r.tasks) for r in claims.attributed(actions, tasks, reported).collect()}
+    # A query that was planned is not the reporters', not even where its planners are out of scope (action 2).
+    assert got == {(1, 0): ("FEE of x ", ["t2", "t1"]), (1, 1): ("free", ["t3"]), (3, 0): ("Free", ["t3", "t4"])}
