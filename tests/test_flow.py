@@ -166,6 +166,28 @@ def test_a_question_comes_back_after_it_was_excluded(spark):
     assert ("b", "fees") not in got and [tuple(x) for x in got["c", "fees"].fields] == [("vat", "public")] and got["c", "fees"].requirement == 2
 
 
+def test_pairs_that_only_depths_touch_are_not_exchanged(spark):
+    profiles = spark.range(1, 201).selectExpr("cast(id AS string) AS profile", "cast(nullif(id div 4, 0) AS string) AS parent", "concat('a', id % 3) AS availability", "id % 5 = 0 AS reset", "cast(CASE WHEN id % 6 = 1 THEN 2 END AS int) AS depth")
+    questions = spark.range(2000).selectExpr("cast(id AS string) AS question", "cast(1 + id % 3 AS int) AS min_depth", "array('x', 'y') AS fields", "1 AS requirement", "2 AS min_sources", "array('s', 's') AS source_types", "3 AS max_age")
+    rules = spark.createDataFrame([_rule("1", "3", 1, field="z", field_availability="m"), _rule("7", "4", 1, "exclude")], RULES)
+    asked = inheritance.materialised(profiles, rules, questions)
+    found = {(int(r.profile), int(r.question)): r for r in asked.collect()}
+    up = lambda p: [p] + (up(p // 4) if p // 4 else [])
+    reached = {p for p in range(1, 201) if any(a % 6 == 1 for a in up(p))}
+    under = {p for p in range(1, 201) if 7 in up(p)}
+    expected = {(p, q) for p in reached for q in range(2000) if q % 3 < 2} | {(p, 3) for p in range(1, 201) if 1 in up(p)}
+    # An exclusion takes the question from the profile itself and all that a deeper depth does not give it back.
+    back = {p for p in under if any(a % 6 == 1 for a in up(p)[: up(p).index(7)])}
+    assert set(found) == expected - {(p, 4) for p in under - back}
+    for (p, q), r in found.items():
+        if q not in (3, 4):
+            first = next(a for a in reversed(up(p)) if a % 6 == 1)
+            later = any(a % 5 == 0 for a in up(p)[: up(p).index(first)])
+            assert [tuple(f) for f in r.fields] == [("x", f"a{first % 3}"), ("y", f"a{first % 3}")] and r.source_types == (["s"] if later else ["s", "s"])
+    # Rows that are exchanged or written are rules and lists of a profile or block, far fewer than the pairs.
+    assert inheritance._ruled(*inheritance._chains(profiles), rules, questions).count() < 1000 < len(found)
+
+
 # ---- merged runs ----
 
 CLAIMS = "claim long, task string, field string, value string, citations array<struct<source: string, quote: string, near: int>>"
