@@ -4,7 +4,7 @@ import contextlib
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -326,9 +326,22 @@ def markup(html: str) -> Iterator[tuple[str, str, str]]:
         yield "text", html[start:], ""
 
 
-def page_parts(html: str) -> tuple[str, str, list[str]]:
+def listed_references(*names: tuple[str, str]) -> Callable[[str], str]:
+    """Decodes the given character references alone, one after another; all others stay as they are."""
+
+    def decode(text: str) -> str:
+        for name, sign in names:
+            text = text.replace(name, sign)
+        return text
+
+    return decode
+
+
+def page_parts(html: str, decode: Callable[[str], str] = unescape, title_decode: Callable[[str], str] = unescape) -> tuple[str, str, list[str]]:
     """A page's title, its visible text in lines, and the contents of its JSON scripts.
 
+    ``decode`` and ``title_decode``: which character references of the text and of the title are read, by default all of HTML's.
+
     Nothing inside a hidden element shows, however it is nested; one that is never closed hides the rest. A block tag ends a line,
     also one that stands alone; lines are squeezed, and of several empty ones in a row one stays.
     """
@@ -337,12 +350,12 @@ def page_parts(html: str) -> tuple[str, str, list[str]]:
     for kind, value, more in markup(html):
         if kind == "text":
             if not hidden:
-                shown.append(unescape(value))
+                shown.append(decode(value))
         elif kind == "raw":
             if value and json_next:
                 data.append(value)
             elif more == "title" and not hidden:
-                title.append(unescape(value))
+                title.append(title_decode(value))
         else:
             alone = kind == "open" and more.endswith("/")
             json_next = kind == "open" and value == "script" and _is_data(more)
@@ -355,8 +368,16 @@ def page_parts(html: str) -> tuple[str, str, list[str]]:
     return " ".join("".join(title).split()), text, data
 
 
-@F.pandas_udf(StructType().add("title", "string").add("text", "string").add("data", ArrayType(StringType())))
-def page_content(pages: pd.Series) -> pd.DataFrame:
-    """``page_parts`` of each page; null for null."""
-    rows = [(None, None, None) if p is None else page_parts(p) for p in pages]
-    return pd.DataFrame(rows, columns=["title", "text", "data"])
+def page_reader(*decodes: Callable[[str], str]):
+    """A function of columns: ``page_parts`` of each page, with its ways to decode; null for null."""
+
+    @F.pandas_udf(StructType().add("title", "string").add("text", "string").add("data", ArrayType(StringType())))
+    def page_content(pages: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if p is None else page_parts(p, *decodes) for p in pages]
+        return pd.DataFrame(rows, columns=["title", "text", "data"])
+
+    return page_content
+
+
+#: Pages with all of HTML's character references.
+page_content = page_reader()

@@ -150,6 +150,19 @@ def test_pages_of_ten_megabytes_take_linear_time(piece):
     assert large < 40 * small
 
 
+def test_only_listed_references_are_read_where_a_list_is_given():
+    some = web.listed_references(("&lt;", "<"), ("&amp;", "&"))
+    assert web.page_parts("<title>a &amp; &quot;b&amp</title>c &lt;d&amp &eacute;", some, web.listed_references(("&amp;", "&"))) == ("a & &quot;b&amp", "c <d&amp &eacute;", [])
+    assert web.page_parts("<title>&quot;&amp</title>&eacute;") == ('"&', "é", [])
+
+
+def test_a_long_query_takes_linear_time(spark):
+    rows = spark.createDataFrame([("a b " * 20_000,), ('"x y" ' * 9,), (None,)], "q string")
+    began = time.time()
+    found = [r.q for r in rows.select(text.query_normalize(F.col("q")).alias("q")).collect()]
+    assert found == [("a b " * 20_000).strip(), '"x y"', None] and time.time() - began < 30
+
+
 def test_page_content_takes_nulls(spark):
     rows = spark.createDataFrame([("<p>a",), (None,)], "html string").select(web.page_content("html").alias("p")).select("p.*").collect()
     assert sorted(map(tuple, rows), key=str) == sorted([("", "a", []), (None, None, None)], key=str)
