@@ -299,7 +299,8 @@ def resolution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     An item is granted just if its id is among the first twelve distinct ids, so the greedy walk is a rank, not a loop."""
     lines = load(spark, sf_dir, "lineitem")
     first = lines.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("first"))
+    # Ids that are first asked for by lines of one number are taken in their own order, on every run.
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("first", "l_partkey"))
     granted = first.withColumn("place", place).filter("place <= 12").select("l_suppkey", "l_partkey")
     action = F.when(F.col("l_returnflag") == "A", "extract").when(F.col("l_returnflag") == "R", "search").otherwise("check")
     rows = lines.join(granted, ["l_suppkey", "l_partkey"]).groupBy("l_suppkey", action.alias("action"))
