@@ -1,11 +1,12 @@
-"""Steps that depend on what was chosen before: one pass of Python over each small, keyed group."""
+"""Steps that depend on what was chosen before: one pass of Python over sorted rows, or over each small, keyed group."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Parts that rows of one key and size are dealt to before they meet.
 SALTS = 32
@@ -14,21 +15,27 @@ SALTS = 32
 def accept_after_gap(df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int) -> DataFrame:
     """Adds ``accepted``: true over ``seconds`` after the last accepted row of the key.
 
-    The state is one timestamp, so each step jumps by binary search to the first row past the gap.
+    Rows arrive sorted by key and time, and the state is the last accepted time, so a key of any size is one pass over
+    batches, and many small keys share one. Rows without a time come last: null, or true for the first of a key that has no other.
     """
+    names = list(df.columns)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([ts, tie], kind="stable")
-        micros = group[ts].astype("datetime64[us]").astype("int64").to_numpy()
-        accepted = np.zeros(len(group), bool)
-        at = 0
-        while at < len(group):
-            accepted[at] = True
-            at = int(np.searchsorted(micros, micros[at] + seconds * 1_000_000, "right"))
-        return group.assign(accepted=accepted)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", accepted boolean"
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = (), None
+        for batch in batches:
+            times = batch.column(len(names)).to_pylist()
+            found = []
+            for key, at in zip(zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True), times, strict=True):
+                takes = key != of or (at - last > seconds * 1_000_000 if at is not None else None)
+                if takes:
+                    of, last = key, at
+                found.append(takes)
+            columns = [*batch.columns[: len(names)], pa.array(found, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "accepted"])
+
+    rows = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(*keys)
+    rows = rows.sortWithinPartitions(*keys, F.col("_at").asc_nulls_last(), tie)
+    return rows.mapInArrow(run, StructType([*df.schema.fields, StructField("accepted", BooleanType())]))
 
 
 def take_while_fits(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
