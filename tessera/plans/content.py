@@ -224,10 +224,11 @@ def task_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of a task's words without stop words, with the hints of its fields."""
     docs = load(spark, sf_dir, "documents")
     words = F.array_distinct(F.regexp_extract_all(text.fold(F.col("text")), F.lit("([a-z0-9]+)"), F.lit(1)))
-    stems = docs.select("doc_id", F.explode(words).alias("w")).select("doc_id", text.stem(F.col("w")).alias("t"))
-    stems = stems.filter((F.length("t") >= 3) & ~F.col("t").isin(*text.stop_stems()))
+    # Stems of a text are made and told apart in its row; one row a text is exchanged, not one a word.
+    stems = F.array_distinct(F.transform(words, text.stem))
+    stems = docs.select("doc_id", F.filter(stems, lambda t: (F.length(t) >= 3) & ~t.isin(*text.stop_stems())).alias("t"))
     target = docs.select("doc_id", F.when(F.col("lang") == "en", "offer.unit_formats").otherwise("brand.name").alias("field"))
     hints = F.broadcast(spark.createDataFrame(text.field_hints(), "prefix string, t string"))
-    hinted = target.join(hints, F.col("field").startswith(F.col("prefix"))).select("doc_id", "t")
-    terms = stems.unionByName(hinted).groupBy("doc_id").agg(F.sort_array(F.collect_set("t")).alias("t"))
+    hinted = target.join(hints, F.col("field").startswith(F.col("prefix"))).groupBy("doc_id").agg(F.collect_set("t").alias("t"))
+    terms = stems.unionByName(hinted).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("t")).filter(F.size("t") > 0)
     return terms.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("terms"))
