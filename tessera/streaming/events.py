@@ -51,16 +51,20 @@ def accepted(events: DataFrame, seconds: int = 86_400) -> DataFrame:
     """M3: events over ``seconds`` after the last accepted one of their user and type; the state is one time a key."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        # A key has few rows, and there are many keys: plain arrays, no frames but the one that goes out.
+        pairs = [(b["ts"].to_numpy().astype("datetime64[us]").astype("int64"), b["event_id"].to_numpy()) for b in batches]
+        micros, ids = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.lexsort((ids, micros))
+        micros, ids = micros[order], ids[order]
         last = state.get[0] if state.exists else None
         keep, at = [], 0 if last is None else int(np.searchsorted(micros, last + seconds * 1_000_000, "right"))
-        while at < len(rows):
+        while at < len(micros):
             keep.append(at)
             last = int(micros[at])
             at = int(np.searchsorted(micros, last + seconds * 1_000_000, "right"))
         state.update((last,))
-        yield rows.iloc[keep][["event_id", "user_id", "event_type"]]
+        if keep:
+            yield pd.DataFrame({"event_id": ids[keep], "user_id": key[0], "event_type": key[1]})
 
     return events.groupBy("user_id", "event_type").applyInPandasWithState(
         run, "event_id long, user_id long, event_type string", "last long", "append", GroupStateTimeout.NoTimeout
