@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import join_hot
+
 #: Claims of a field, and of a run, that are taken without review.
 PER_FIELD, PER_RUN = 3, 24
 
@@ -19,8 +21,10 @@ def bounded_claims(claims: DataFrame, sources: DataFrame, policies: DataFrame, p
     Null verdict, null value and null sources: not fit.
     """
     fit = claims.filter((F.col("verdict") == "not_reviewed") & ~F.coalesce(F.col("unsafe"), F.lit(False)) & (F.trim("value") != ""))
-    fit = fit.join(policies.select("field", "accepted", "minimum"), "field")
-    cited = fit.select("run", "claim", "accepted", F.explode(F.array_distinct("sources")).alias("source")).join(sources.select("source", "source_type"), "source")
+    # Fields and sources may be few, and a third of all claims may have the same: neither is what rows are dealt by.
+    fit = join_hot(fit, policies.select("field", "accepted", "minimum"), "field", "claim")
+    cited = fit.select("run", "claim", "accepted", F.explode(F.array_distinct("sources")).alias("source"))
+    cited = join_hot(cited, sources.select("source", "source_type"), "source", "claim")
     support = cited.filter(F.array_contains("accepted", F.col("source_type"))).groupBy("run", "claim").agg(F.countDistinct("source").alias("support"))
     fit = fit.join(support, ["run", "claim"], "left").filter(F.coalesce("support", F.lit(0)) >= F.col("minimum"))
     for keys, most in ((["run", "task", "field"], per_field), (["run"], per_run)):
