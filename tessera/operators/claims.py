@@ -47,8 +47,9 @@ def attributed(actions: DataFrame, tasks: DataFrame, reported: DataFrame) -> Dat
     planned = tasks.select("task", "place", F.explode("queries").alias("q")).select(query_key(F.col("q")).alias("key"), "task", "place").dropna(subset=["key"]).distinct()
     told = reported.join(tasks.select("task", "place"), "task").select(query_key(F.col("query")).alias("key"), "task", "place").dropna(subset=["key"]).distinct()
     told = told.join(planned.select("key").distinct(), "key", "left_anti")
-    asked = actions.select("action", "scope", F.posexplode("queries").alias("at", "query")).withColumn("key", query_key(F.col("query")))
-    # Each query meets its key once, however many actions ask it; what is outside their scope goes before tasks are gathered.
-    met = asked.join(planned.unionByName(told), "key").filter(F.array_contains("scope", F.col("task")))
+    asked = actions.select("action", F.posexplode("queries").alias("at", "query")).withColumn("key", query_key(F.col("query")))
+    # An action's scope leads to its tasks' keys before queries meet them, so a key that many tasks share costs nothing outside the scope.
+    scoped = actions.select("action", F.explode(F.array_distinct("scope")).alias("task")).distinct().join(planned.unionByName(told), "task")
+    met = asked.join(scoped, ["action", "key"])
     found = met.groupBy("action", "at").agg(F.first("query").alias("query"), F.array_sort(F.collect_set(F.struct("place", "task"))).alias("t"))
     return found.select("action", "at", "query", F.transform("t", lambda t: t["task"]).alias("tasks"))

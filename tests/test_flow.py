@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -460,3 +462,25 @@ def test_queries_go_to_the_tasks_that_planned_them(spark):
     got = {(r.action, r.at): (r.query, r.tasks) for r in claims.attributed(actions, tasks, reported).collect()}
     # A query that was planned is not the reporters', not even where its planners are out of scope (action 2).
     assert got == {(1, 0): ("FEE of x ", ["t2", "t1"]), (1, 1): ("free", ["t3"]), (3, 0): ("Free", ["t3", "t4"])}
+
+
+def test_a_key_of_all_tasks_meets_only_tasks_in_scope(spark):
+    tasks = spark.range(40_000).selectExpr("id AS task", "id AS place", "array('Same  query') AS queries")
+    actions = spark.range(40_000).selectExpr("id AS action", "array(id, id) AS scope", "array('same query', 'other') AS queries")
+    reported = spark.createDataFrame([], "task long, query string")
+    began = time.time()
+    rows = claims.attributed(actions, tasks, reported)
+    assert rows.filter("tasks = array(action) AND at = 0").count() == rows.count() == 40_000 and time.time() - began < 60
+
+
+def test_claims_are_not_dealt_by_field_or_source_alone(spark):
+    frame = spark.createDataFrame([], "run long, claim long, task long, field string, value string, verdict string, unsafe boolean, sources array<long>")
+    sources, policies = spark.createDataFrame([], "source long, source_type string"), spark.createDataFrame([], "field string, accepted array<string>, minimum int")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = claims.bounded_claims(frame.repartition(2), sources.repartition(2), policies.repartition(2))
+        plan = rows._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert re.search(r"hashpartitioning\(field#\d+, _part#\d+", plan) and re.search(r"hashpartitioning\(source#\d+L?, _part#\d+", plan)
