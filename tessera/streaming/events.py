@@ -54,14 +54,18 @@ def accepted(events: DataFrame, seconds: int = 86_400) -> DataFrame:
         # A key has few rows, and there are many keys: plain arrays, no frames but the one that goes out.
         pairs = [(b["ts"].to_numpy().astype("datetime64[us]").astype("int64"), b["event_id"].to_numpy()) for b in batches]
         micros, ids = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        # Events without a time come last, and are accepted only where a key has no other before.
+        never = np.iinfo(np.int64).max
+        micros = np.where(micros == np.iinfo(np.int64).min, never, micros)
         order = np.lexsort((ids, micros))
         micros, ids = micros[order], ids[order]
         last = state.get[0] if state.exists else None
-        keep, at = [], 0 if last is None else int(np.searchsorted(micros, last + seconds * 1_000_000, "right"))
-        while at < len(micros):
+        past = lambda at: int(np.searchsorted(micros, min(at + seconds * 1_000_000, int(never)), "right"))
+        keep, at = [], 0 if last is None else past(last)
+        while at < len(micros) and (micros[at] < never or last is None):
             keep.append(at)
             last = int(micros[at])
-            at = int(np.searchsorted(micros, last + seconds * 1_000_000, "right"))
+            at = past(last)
         state.update((last,))
         if keep:
             yield pd.DataFrame({"event_id": ids[keep], "user_id": key[0], "event_type": key[1]})

@@ -75,3 +75,11 @@ def test_an_alarm_latches_over_batches_and_starts_anew_after_silence(spark, tmp_
 def test_an_expiring_gap_holds_over_batches(spark, tmp_path):
     stream = _valued(spark, tmp_path, [(1, 0, 7, 0.0), (2, 10, 7, 0.0)], [(3, 24, 7, 0.0), (4, 24.5, 7, 0.0)], [(5, 30, 7, 0.0), (6, 49, 7, 0.0)])
     assert _told(spark, stream, latches.Gap(86_400_000), "gap") == [(7, 1), (7, 4), (7, 6)]
+
+
+def test_events_without_a_time_come_last(spark, tmp_path):
+    rows = [(1, 1, "a", "2024-01-01 00:00:00"), (2, 1, "a", None), (3, 1, "a", "2024-01-03 00:00:00"), (4, 2, "a", None), (5, 2, "a", None), (6, None, "a", "2024-01-01 00:00:00")]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, at string").selectExpr("event_id", "user_id", "event_type", "cast(at AS timestamp) AS ts").coalesce(1).write.parquet(path)
+    got = events.drained(events.accepted(events.read_events(spark, path)), "append", "accepted").collect()
+    assert sorted((r.event_id, r.user_id) for r in got) == [(1, 1), (3, 1), (4, 2), (6, None)]
