@@ -240,6 +240,20 @@ def test_claims_are_carried_over_whole_or_not_at_all(spark, monkeypatch):
     assert rows[1].claim_id.startswith("claim-") and rows[1].claim_id != rows[4].claim_id and rows[3].claim_id is None
 
 
+def test_a_text_is_read_once_for_the_citations_of_a_source(spark, monkeypatch):
+    text = "".join(f"{i:03d} " for i in range(200))
+    monkeypatch.setattr(rebasing, "CHUNK", 50)
+    claims = spark.createDataFrame([(i, "t", f"f{i}", "v", [(s, f"{i % 200:03d} ", i)]) for s, ids in (("s1", range(40)), ("s2", range(500, 900))) for i in ids], CLAIMS)
+    cited = claims.select("claim", F.posexplode("citations").alias("at", "c")).select("claim", "at", "c.source")
+    parts = {r.source: r["count"] for r in rebasing.dealt(cited)[0].select("source", "_part").distinct().groupBy("source").count().collect()}
+    assert parts == {"s1": 1, "s2": 8}
+    documents = spark.createDataFrame([(s, s, text, ["t"]) for s in ("s1", "s2")], "source string, document string, text string, tasks array<string>")
+    rows = rebasing.rebased(claims, claims.selectExpr("task", "field", "value", "array('none') AS sources"), documents, documents.select("source"))
+    assert {(r.claim, r.outcome, r.citations[0].start) for r in rows.collect()} == {(i, "carried", text.index(f"{i % 200:03d} ")) for i in [*range(40), *range(500, 900)]}
+    # What the first claim of a key and those after it ask for is searched before, not in the plan of each.
+    assert "locate(" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- exactly once ----
 
 EVENT = "event_id string, ts long, body string"
