@@ -102,6 +102,22 @@ def test_closure_cycles_and_depths(spark):
     assert graph.closure(frame.limit(0)).collect() == []
 
 
+def _counted(monkeypatch):
+    rows, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.append((df := write(df, name)).count()) or df)
+    return rows
+
+
+def test_rounds_of_a_closure_double_its_reach(spark, monkeypatch):
+    rows = _counted(monkeypatch)
+    ring = {(200 + i, 200 + (i + 1) % 5) for i in range(5)}
+    frame = spark.createDataFrame([*((i, i + 1) for i in range(40)), *ring, (40, 200)], "node long, needs long")
+    found = {tuple(r) for r in graph.closure(frame).collect()}
+    ends = set(range(200, 205))
+    assert found == {(i, j) for i in range(41) for j in range(i + 1, 41)} | {(i, j) for i in [*range(41), *ends] for j in ends}
+    assert len(rows) <= 16
+
+
 def test_a_chain_that_comes_back_is_an_error(spark):
     with pytest.raises(ValueError):
         graph.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
