@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import allocation, claims, graph, inheritance, rebasing, releases, rounds
+from tessera.plans import catalog
 from tessera.streaming import effects
 
 # ---- allocation ----
@@ -118,6 +119,21 @@ def test_rounds_of_a_closure_double_its_reach(spark, monkeypatch):
     assert len(rows) <= 16
 
 
+def test_tasks_reach_questions_once(spark, monkeypatch, tmp_path):
+    rows = _counted(monkeypatch)
+    spark.range(1, 4001).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("p_brand")).write.parquet(str(tmp_path / "part.parquet"))
+    found = {r.task: (r.questions, r.depends_on) for r in catalog.QUERIES["plan_dependencies"](spark, str(tmp_path)).collect()}
+    assert found == {"a": (2000, "b"), "b": (2000, "a")}
+    assert sum(rows) < 20_000 < graph.closure(spark.range(2, 4001).selectExpr("id AS node", "id div 2 AS needs")).count()
+
+
+def test_labels_reach_what_their_nodes_lead_to(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 6), (None, 1), (6, None)], "node long, needs long")
+    starts = spark.createDataFrame([("x", 2), ("x", 2), ("y", 4), ("z", 5), ("z", 9), (None, 1), ("n", None)], "label string, node long")
+    assert sorted(map(tuple, graph.reached(starts, edges).collect())) == [("x", 1), ("x", 2), ("x", 3), ("y", 1), ("y", 2), ("y", 3), ("y", 4), ("z", 5), ("z", 6), ("z", 9)]
+    assert graph.reached(starts.limit(0), edges).collect() == []
+
+
 def test_a_chain_that_comes_back_is_an_error(spark):
     with pytest.raises(ValueError):
         graph.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
