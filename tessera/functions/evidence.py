@@ -1,6 +1,7 @@
 """Passages, grounding and typed values."""
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.addresses import bound
 from tessera.functions.text import fold, folded_text
 
 #: Longest passage, longest window of short blocks, and longest block that a window takes.
@@ -190,31 +192,48 @@ def head_places(lengths: list[int], slots: list[int]):
 LEAST_PAGE, BETWEEN, SAMPLE = 10, 3, 20
 
 
+def _counts(text: Column, terms: list[str]) -> Column:
+    """How many of the terms are words of ``text``; a page is looked through for a term only until it is found."""
+    if not terms:
+        return F.lit(0)
+    # Terms that are no single word are words of no text.
+    words = [t for t in dict.fromkeys(terms) if t and all(unicodedata.category(c)[0] in "LN" for c in t)]
+    bare = r"[^\p{L}\p{N}]"
+    hits = lambda folded: sum(((folded.contains(t) & folded.rlike(rf"(?:^|{bare}){t}(?:{bare}|\z)")).cast("int") for t in words), F.lit(0))
+    return bound(fold(text), hits)
+
+
 def ranked_pages(pages: Column, terms: list[str]) -> Column:
-    """Pages that are not blank as ``tier, points, page, size``, in the order in which a reader would want them.
+    """Pages that are not blank as ``tier, points, page, size, text``, in the order in which a reader would want them.
 
     Tier 0 holds pages with wanted terms, those with most of them first; then come the first page, an even
-    sample, and the rest, each by number. ``size`` are the characters without white space at the ends.
+    sample, and the rest, each by number. ``text`` is without white space at the ends, ``size`` its characters.
     """
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    words = lambda p: F.regexp_extract_all(fold(p), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     full = F.filter(F.transform(pages, lambda p, i: F.struct(i.alias("page"), trimmed(p).alias("text"))), lambda p: p["text"] != "")
-    last, steps = F.size(full) - 1, F.least(F.size(full), F.lit(SAMPLE)) - 1
-    # The i-th of the full pages is sampled if some step falls on it, which can only be one of the two next to its share.
-    falls = lambda i, step: (step >= 0) & (step <= steps) & (F.bround(step * last / F.greatest(steps, F.lit(1))) == i)
+    # Inside a lambda an expression is made again for each of its uses, so what is used twice is bound as an argument before.
+    full = F.transform(full, lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"), _counts(p["text"], terms).alias("points")))
+
+    def ranked(full: Column) -> Column:
+        last, steps = F.size(full) - 1, F.least(F.size(full), F.lit(SAMPLE)) - 1
+        # The i-th of the full pages is sampled if some step falls on it, which can only be one of the two next to its share.
+        falls = lambda i, step: (step >= 0) & (step <= steps) & (F.bround(step * last / F.greatest(steps, F.lit(1))) == i)
+
+        def place(p: Column, i: Column) -> Column:
+            near = F.floor(i * steps / F.greatest(last, F.lit(1)))
+            tier = F.when(p["points"] > 0, 0).when(i == 0, 1).when(falls(i, near) | falls(i, near + 1), 2).otherwise(3)
+            return F.struct(tier.alias("tier"), (-p["points"]).alias("points"), p["page"].alias("page"), F.length(p["text"]).alias("size"), p["text"].alias("text"))
 
-    def place(p: Column, i: Column) -> Column:
-        points = F.size(F.array_intersect(words(p["text"]), wanted))
-        near = F.floor(i * steps / F.greatest(last, F.lit(1)))
-        tier = F.when(points > 0, 0).when(i == 0, 1).when(falls(i, near) | falls(i, near + 1), 2).otherwise(3)
-        order = F.when(tier == 0, -points).otherwise(0)
-        return F.struct(tier.alias("tier"), order.alias("points"), p["page"].alias("page"), F.length(p["text"]).alias("size"))
+        return F.array_sort(F.transform(full, place))
 
-    return F.array_sort(F.transform(full, place))
+    return bound(full, ranked)
+
+
+#: White space at the ends of a page.
+WHITE = " \t\n\x0b\f\r"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def pages_that_fit(pages: Column, terms: list[str], most: int) -> Column:
@@ -227,14 +246,18 @@ def pages_that_fit(pages: Column, terms: list[str], most: int) -> Column:
 
     def take(state: Column, p: Column) -> Column:
         head = F.length(F.concat(F.lit("[PDF page "), (p["page"] + 1).cast("string"), F.lit("]\n")))
-        room = most - state["used"] - head - F.when(F.size(state["kept"]) > 0, BETWEEN).otherwise(0)
-        whole = trimmed(F.element_at(pages, p["page"] + 1))
-        fits = p["size"] <= room
-        chars = F.when(fits, p["size"]).otherwise(F.length(F.regexp_replace(F.substring(whole, F.lit(1), room), r"\s+$", "")))
-        taken = F.struct(F.array_append(state["kept"], p["page"] + 1).alias("kept"), (most - room + chars).cast("int").alias("used"), (state["cut"] | ~fits).alias("cut"))
-        return F.when((room >= LEAST_PAGE) & (state["used"] < most), taken).otherwise(state)
+        left = most - state["used"] - head - F.when(F.size(state["kept"]) > 0, BETWEEN).otherwise(0)
+
+        def taken(room: Column) -> Column:
+            fits = p["size"] <= room
+            chars = F.when(fits, p["size"]).otherwise(F.length(F.rtrim(F.substring(p["text"], F.lit(1), room), F.lit(WHITE))))
+            more = F.struct(F.array_append(state["kept"], p["page"] + 1).alias("kept"), (most - room + chars).cast("int").alias("used"), (state["cut"] | ~fits).alias("cut"))
+            return F.when((room >= LEAST_PAGE) & (state["used"] < most), more).otherwise(state)
+
+        return bound(left, taken)
 
-    ranked = ranked_pages(pages, terms)
-    left_out = lambda s: F.struct(F.array_sort(s["kept"]).alias("pages"), s["used"].alias("chars"), (s["cut"] | (F.size(s["kept"]) < F.size(ranked))).alias("truncated"))
-    return F.aggregate(ranked, start, take, left_out)
+    def folded(ranked: Column) -> Column:
+        left_out = lambda s: F.struct(F.array_sort(s["kept"]).alias("pages"), s["used"].alias("chars"), (s["cut"] | (F.size(s["kept"]) < F.size(ranked))).alias("truncated"))
+        return F.aggregate(ranked, start, take, left_out)
 
+    return bound(ranked_pages(pages, terms), folded)

@@ -123,6 +123,17 @@ def test_pages_that_fit_equal_the_walk(spark):
     assert evidence.locator("a\fb", 2, 3) == "page:0002" and evidence.locator("ab", 1, 2) == "chars:1-2"
 
 
+def test_pages_are_looked_through_once(spark):
+    pages = ["a fees-b", "feest", "x1fees", "Fées", "royalty\nFEES fees", "fees", "é royalty", "royaltyé", "\x0b fees1 \t", "straße łan"]
+    frame = spark.createDataFrame([(pages,), ([],), (None,)], "pages array<string>")
+    ranked = frame.select(evidence.ranked_pages(F.col("pages"), ["royalty", "fees", "fees", "Fees", "fees-b", "strasse", "lan", ""]).alias("r")).collect()
+    points = {p["page"]: -p["points"] for p in ranked[0].r}
+    assert points == {0: 1, 1: 0, 2: 0, 3: 1, 4: 2, 5: 1, 6: 1, 7: 0, 8: 0, 9: 2} and ranked[1].r == [] and ranked[2].r is None
+    assert {p["page"]: p["size"] for p in ranked[0].r}[8] == 5
+    plan = frame.select(evidence.pages_that_fit(F.col("pages"), ["royalty", "fees"], 100).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") == 1
+
+
 def test_page_parts():
     parts = web.page_parts
     assert parts("<p>a<p>b<br/>c &amp; d&nbsp;<b>e</b>") == ("", "a\nb\nc & d\xa0e", [])
