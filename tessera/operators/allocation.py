@@ -40,11 +40,15 @@ def deciding(items: DataFrame, sources: int, searches: int) -> DataFrame:
     # A task that is forced at any time may cost a search nothing, so its searches are no demand to count on.
     free = forced.select("run", "task").distinct()
     place = F.row_number().over(Window.partitionBy("run").orderBy("seq"))
-    forced = forced.withColumn("_place", place).filter(F.col("_place") <= searches).select(*alike.columns)
+    # The first one of a task counts at any place: what searches for that task has it, and asks for nothing else.
+    again = F.row_number().over(Window.partitionBy("run", "task").orderBy("seq"))
+    forced = forced.withColumn("_place", place).withColumn("_again", again).filter((F.col("_place") <= searches) | (F.col("_again") == 1))
+    demands = forced.filter(F.col("_place") <= searches).select("run", "seq")
+    forced = forced.select(*alike.columns)
     ids = alike.filter(first["kind"] == "pool").select("run", "seq", F.explode(first["ids"]).alias("id")).groupBy("run", "id").agg(F.min("seq").alias("seq"))
     tasks = alike.filter(first["kind"] == "search").groupBy("run", "task").agg(F.min("seq").alias("seq"))
     tasks = tasks.join(free, (tasks["run"] == free["run"]) & tasks["task"].eqNullSafe(free["task"]), "left_anti")
-    demands = tasks.select("run", "seq").unionByName(forced.select("run", "seq"))
+    demands = tasks.select("run", "seq").unionByName(demands)
     rows = alike.filter(F.coalesce(first["kind"], F.lit("")) != "forced").unionByName(forced)
     if sources and searches:
         spent = _reached(ids, sources, "spent_ids").join(_reached(demands, searches, "spent_tasks"), "run")
@@ -57,6 +61,8 @@ def grants(rows: DataFrame, sources: int, searches: int) -> DataFrame:
     """``run, kind, id, seq``: what each run's fold over its items in order grants, and when.
 
     Items arrive sorted, so the state of a run is its grants, of which there are no more than the budgets and forced items.
+    They are dealt by a hash of the run: dealt by the run itself, as a join before has it, Spark takes the join's exchange
+    for this one, and reads it as its writers left it once the join's other side is small enough to be sent to all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +97,7 @@ def grants(rows: DataFrame, sources: int, searches: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["run", "kind", "id", "seq"])
 
     kind = dict(rows.dtypes)["run"]
-    return rows.repartition("run").sortWithinPartitions("run", "seq").mapInArrow(run, f"run {kind}, kind string, id bigint, seq bigint")
+    return rows.repartition(F.xxhash64("run")).sortWithinPartitions("run", "seq").mapInArrow(run, f"run {kind}, kind string, id bigint, seq bigint")
 
 
 def allocate(items: DataFrame, sources: int, searches: int) -> DataFrame:

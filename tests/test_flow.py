@@ -80,6 +80,22 @@ def test_only_items_that_budgets_can_reach_are_folded(spark):
     assert 0 < len(left) <= 24 and max(r.seq for r in left) < 24
 
 
+def test_a_run_is_folded_in_one_task_whatever_joins_came_before(spark):
+    pool, search = allocation.choice("known", "pool", F.array(F.col("seq") % 97, F.col("seq") % 31)), allocation.choice("search", "search")
+    rows = spark.range(0, 40_000, numPartitions=8).select((F.col("id") * 7 % 40).cast("string").alias("run"), F.col("id").alias("seq"), (F.col("id") % 13).alias("task"))
+    folded = allocation.deciding(rows.withColumn("choices", F.when(F.col("seq") % 3 == 0, F.array(pool, search)).otherwise(F.array(search, pool))), 12, 4)
+    found = allocation.grants(folded.hint("shuffle_hash").join(spark.range(40).select(F.col("id").cast("string").alias("run")), "run"), 12, 4)
+    assert "hashpartitioning(xxhash64(run" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.run, r.kind): r.n for r in found.groupBy("run", "kind").agg(F.count("*").alias("n")).collect()} == {(str(i), k): n for i in range(40) for k, n in (("pool", 12), ("search", 4))}
+
+
+def test_a_task_forced_past_the_budget_is_searched_at_no_cost(spark):
+    forced, late = [("scope", "forced", [])], [("search", "search", []), ("retry", "pool", [7])]
+    items = [("a", n, task, forced, "x") for n, task in enumerate((1, 1, 1, 2))] + [("a", 4, 2, late, "x"), ("a", 5, 9, [("known", "pool", [8, 9])], "x")]
+    got = allocation.allocate(spark.createDataFrame(items, ITEMS), 2, 3).collect()
+    assert {(r.run, r.seq): (r.action, r.ids) for r in got} == _walk(items, 2, 3)
+
+
 # ---- graphs ----
 
 
