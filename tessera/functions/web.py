@@ -193,7 +193,7 @@ PUBLIC_KEYS = frozenset(
         "value",
     )
 )
-#: Nodes of a page's JSON that are looked at, and children of one list. Fixed values.
+#: Nodes of a page's JSON that ``public_text`` looks at, and children of one list, if it is not told otherwise. Fixed values.
 _NODES, _CHILDREN = 2000, 500
 _CODE = re.compile(r"function\s*\(|=>|webpack|__next", re.IGNORECASE)
 
@@ -205,8 +205,8 @@ def _parsed(blocks) -> Iterator:
             yield json.loads(block)
 
 
-def _nodes(document) -> Iterator[tuple]:
-    """Key and value of every node in the document's order; items of a list have its key."""
+def _nodes(document, children: int | None = None) -> Iterator[tuple]:
+    """Key and value of every node in the document's order, of a list's items the first ``children`` or all; items of a list have its key."""
     open_ = [iter([("", document)])]
     while open_:
         if (node := next(open_[-1], None)) is None:
@@ -217,22 +217,22 @@ def _nodes(document) -> Iterator[tuple]:
         if isinstance(value, dict):
             open_.append(iter([(re.sub("[^a-z]", "", k.casefold()), v) for k, v in value.items()]))
         elif isinstance(value, list):
-            open_.append(zip(itertools.repeat(key), value[:_CHILDREN]))
+            open_.append(zip(itertools.repeat(key), value[:children]))
 
 
-def public_text(blocks, most: int = 100_000) -> str:
-    """Lines of text of JSON blocks: 2 to 1,000 characters, no code, each once, ``most`` characters in all."""
-    nodes = itertools.islice(itertools.chain.from_iterable(map(_nodes, _parsed(blocks))), _NODES)
+def public_text(blocks, most: int | None = 100_000, nodes: int | None = _NODES, children: int | None = _CHILDREN, longest: int | None = 1000) -> str:
+    """Lines of text of JSON blocks: 2 to ``longest`` characters, no code, each once, ``most`` characters in all. A limit that is None is none."""
+    nodes = itertools.islice(itertools.chain.from_iterable(_nodes(x, children) for x in _parsed(blocks)), nodes)
     texts = (" ".join(value.split()) for key, value in nodes if key in PUBLIC_KEYS and isinstance(value, str))
-    lines = list(dict.fromkeys(t for t in texts if 2 <= len(t) <= 1000 and not _CODE.search(t)))
+    lines = list(dict.fromkeys(t for t in texts if len(t) >= 2 and (longest is None or len(t) <= longest) and not _CODE.search(t)))
     before = itertools.accumulate(map(len, lines), initial=0)
-    return "\n".join(t for t, n in zip(lines, before, strict=False) if n < most)[:most].strip()
+    return "\n".join(t for t, n in zip(lines, before, strict=False) if most is None or n < most)[:most].strip()
 
 
 @F.pandas_udf(StringType())
 def embedded_text(blocks: pd.Series) -> pd.Series:
-    """``public_text`` of each array of JSON blocks; null for null."""
-    return blocks.map(lambda b: None if b is None else public_text(b))
+    """``public_text`` of each array of JSON blocks, whole: none of its limits holds; null for null."""
+    return blocks.map(lambda b: None if b is None else public_text(b, most=None, nodes=None, children=None, longest=None))
 
 
 #: Elements whose content is not shown, and elements that end a line. Fixed values.

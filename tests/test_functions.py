@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import ipaddress
+import json
 import random
 import re
 import time
@@ -187,6 +188,13 @@ def test_embedded_json_text():
     assert web.public_text([None]) == ""
 
 
+def test_embedded_text_of_a_page_is_whole(spark):
+    names = [f"item{i}" for i in range(30_000)]
+    blocks = [json.dumps({"name": names}), json.dumps([{"x": i, "url": "u" * 3000, "title": f"t{i}"} for i in range(3000)])]
+    found = spark.createDataFrame([(blocks,), (None,)], "b array<string>").select(web.embedded_text("b").alias("t")).collect()
+    assert [r.t for r in found] == ["\n".join([*names, "u" * 3000, *(f"t{i}" for i in range(3000))]), None]
+
+
 def test_every_rule_of_typed_values(spark):
     good = {
         "task_id": "t", "target_field": "f", "claim_ids": ["a"], "canonical_text": "5", "unit": None, "notes": "", "value_type": "decimal", "precision": "exact",
