@@ -238,6 +238,16 @@ def test_pairs_that_only_depths_touch_are_not_exchanged(spark):
     assert inheritance._ruled(*inheritance._chains(profiles), rules, questions).count() < 1000 < len(found)
 
 
+def test_hashes_of_pairs_that_only_depths_touch_are_not_exchanged(spark):
+    profiles = spark.range(1, 201).selectExpr("cast(id AS string) AS profile", "cast(nullif(id div 4, 0) AS string) AS parent", "concat('a', id % 3) AS availability", "id % 5 = 0 AS reset", "cast(CASE WHEN id % 6 = 1 THEN 1 + id % 2 END AS int) AS depth")
+    questions = spark.range(600).selectExpr("cast(id AS string) AS question", "cast(1 + id % 3 AS int) AS min_depth", "array('x', 'y') AS fields", "cast(id % 4 AS int) AS requirement", "2 AS min_sources", "array('s', 's') AS source_types", "3 AS max_age")
+    rules = [_rule("2", "3", 1, field="z", field_availability="m"), _rule("7", "4", 1, "exclude"), _rule("200", "5", 1, all_fields=True), _rule("3", "none", 1, all_fields=True)]
+    frames = profiles, spark.createDataFrame(rules, RULES), questions.unionByName(questions.filter("question IN (3, 6)").withColumn("max_age", F.lit(9)))
+    expected = inheritance.snapshots(inheritance.materialised(*frames)).collect()
+    made = inheritance.profile_snapshots(*frames)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, expected)) and sum(r.questions for r in expected) > 10_000
+
+
 # ---- merged runs ----
 
 CLAIMS = "claim long, task string, field string, value string, citations array<struct<source: string, quote: string, near: int>>"
